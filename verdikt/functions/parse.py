@@ -6,7 +6,9 @@ label and mode travel through later shuffles, never the text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .text import Col, col, nonblank, strip
 
@@ -27,9 +29,9 @@ def _parsed(value: Column, mode: Column) -> Column:
     return F.struct(value.alias("value"), mode.alias("mode"))
 
 
-def letter_answer(text: Col, letters: str = "ABCD", strict_only: bool = False) -> Column:
+def letter_answer(text: Col, letters: str = "ABCD", strict_only: bool = False, stripped: bool = False) -> Column:
     """A choice letter: alone is strict, the first free-standing one in a text is recoverable."""
-    t = strip(F.coalesce(col(text), F.lit("")))
+    t = col(text) if stripped else strip(F.coalesce(col(text), F.lit("")))
     alone = t.rlike(f"(?i)^[{letters}]$")
     found = F.upper(F.regexp_extract(t, rf"(?iU)\b([{letters}])\b", 1))
     if strict_only:
@@ -68,10 +70,8 @@ def _near_opposites(text: Column, words: Column) -> Column:
     return F.aggregate(marks, zero, step, lambda acc: acc["hit"])
 
 
-def verdict(text: Col) -> Column:
-    """Success/Fail reading of a free text."""
-    t = F.lower(strip(F.coalesce(col(text), F.lit(""))))
-    words = F.regexp_extract_all(t, F.lit(VERDICT_PATTERN), F.lit(1))
+def _verdict(t: Column, words: Column) -> Column:
+    """Success/Fail reading of a stripped lower-case text and its verdict words."""
     has_good = F.exists(words, lambda w: w.isin(SUCCESS_WORDS))
     has_bad = F.exists(words, lambda w: w.isin(FAIL_WORDS))
     first_good = F.get(words, F.lit(0)).isin(SUCCESS_WORDS)
@@ -82,18 +82,46 @@ def verdict(text: Col) -> Column:
         F.when(t.isin(SUCCESS_WORDS), F.lit("Success"))
         .when(t.isin(FAIL_WORDS), F.lit("Fail"))
         .when(negated, F.lit("Fail"))
-        .when(has_good & ~has_bad, F.lit("Success"))
-        .when(has_bad & ~has_good, F.lit("Fail"))
-        .when(has_good & has_bad, F.when(first_good & ~_near_opposites(t, words), F.lit("Success")).otherwise(F.lit("Fail")))
+        .when(F.size(words) == 0, F.lit(None))
+        .when(~has_bad, F.lit("Success"))
+        .when(~has_good, F.lit("Fail"))
+        .when(first_good & ~_near_opposites(t, words), F.lit("Success"))
+        .otherwise(F.lit("Fail"))
     )
     mode = (
         F.when(t.isin(SUCCESS_WORDS + FAIL_WORDS), F.lit("strict"))
-        .when(negated | has_good | has_bad, F.lit("recoverable"))
+        .when(negated | (F.size(words) > 0), F.lit("recoverable"))
         .otherwise(F.lit("fail"))
     )
     return _parsed(value, mode)
 
 
+def _words(t: Column) -> Column:
+    return F.regexp_extract_all(t, F.lit(VERDICT_PATTERN), F.lit(1))
+
+
+def verdict(text: Col) -> Column:
+    """Success/Fail reading of a free text as one expression; ``read_answers`` shares its parts."""
+    t = F.lower(strip(F.coalesce(col(text), F.lit(""))))
+    return _verdict(t, _words(t))
+
+
+def read_answers(df: DataFrame, text: Column, kinds: Sequence[str] = ("letter", "verdict", "json")) -> DataFrame:
+    """Add the readings ``as_letter``, ``as_verdict`` and ``as_json`` of a text.
+
+    The stripped text and its verdict words are columns of their own, so each is worked out once per row.
+    """
+    out = df.withColumn("_text", strip(F.coalesce(text, F.lit(""))))
+    if "verdict" in kinds:
+        out = out.withColumn("_low", F.lower("_text")).withColumn("_words", _words(F.col("_low")))
+    made = {
+        "letter": lambda: letter_answer("_text", stripped=True),
+        "verdict": lambda: _verdict(F.col("_low"), F.col("_words")),
+        "json": lambda: json_answer("_text", stripped=True),
+    }
+    return out.withColumns({f"as_{k}": made[k]() for k in kinds}).drop("_text", "_low", "_words")
+
+
 def alias_verdict(text: Col, prompt: Col | None = None) -> Column:
     """Whole-text alias map; other texts stay as they are.  A yes/no prompt turns the result into Yes/No."""
     t = strip(F.lower(F.coalesce(col(text), F.lit(""))))
@@ -111,9 +139,9 @@ def _answer_field(t: Column) -> Column:
     )
 
 
-def json_answer(text: Col) -> Column:
+def json_answer(text: Col, stripped: bool = False) -> Column:
     """Label in ``{"answer": …}``: the whole text is strict, a fenced part or a single line recoverable."""
-    t = strip(F.coalesce(col(text), F.lit("")))
+    t = col(text) if stripped else strip(F.coalesce(col(text), F.lit("")))
     whole = _answer_field(t)
 
     def first_of(parts: Column) -> Column:

@@ -11,9 +11,12 @@ def col(c: Col) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Every white-space character (``trim`` alone removes blanks only).
+WHITE_SPACE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Col) -> Column:
-    """Remove every kind of leading and trailing white space; ``trim`` only removes blanks."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(col(c), F.lit(WHITE_SPACE))
 
 
 def nonblank(c: Col) -> Column:

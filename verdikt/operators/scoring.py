@@ -23,14 +23,8 @@ def parse_responses(responses: DataFrame, prefer: str = "raw", error_prefix: str
     CPU but keeps whole answer texts out of every shuffle that follows.
     """
     text = P.scored_text("raw", "pred", prefer)
-    return responses.withColumns(
-        {
-            "is_error": P.is_error("ok", "error", "raw", error_prefix),
-            "as_letter": P.letter_answer(text),
-            "as_verdict": P.verdict(text),
-            "as_json": P.json_answer(text),
-        }
-    ).drop("raw", "pred", "error", "ok")
+    flagged = responses.withColumn("is_error", P.is_error("ok", "error", "raw", error_prefix))
+    return P.read_answers(flagged, text).drop("raw", "pred", "error", "ok")
 
 
 def dedupe(parsed: DataFrame, keep: str = "first") -> DataFrame:

@@ -274,43 +274,54 @@ def linspace_int(lo: Column, hi: Column, k: int) -> Column:
     )
 
 
-def storyboard(env: Column, actions: Column, visible: Column, n_frames: Column, k: int) -> Column:
-    """k key-frame numbers of a trajectory by the rules of its environment family."""
-    n, zero = n_frames.cast("int"), F.lit(0)
-    last = n - 1
-    after = lambda t: F.least(last, t + 1)
-    tidy = lambda *xs: F.array_sort(F.array_distinct(F.array(*xs)))
-    sight, act = (lambda kind, s=zero: seen_at(visible, kind, s)), (lambda a, s=zero: acted_at(actions, a, s))
-
-    key, pick = sight("key"), act(PICKUP)
-    door = sight("door", pick)
-    toggle = act(TOGGLE, door)
-    unlock = tidy(zero, key, pick, after(pick), door, toggle, after(toggle), last)
-
-    cue = F.greatest(sight("ball"), key)
-    recall = F.array_sort(F.array_distinct(F.concat(F.array(zero, cue, last), linspace_int(cue, last, max(2, k - 2)))))
-
-    lava = sight("lava")
-    goal = sight("goal", lava)
-    hazard = tidy(zero, lava, F.floor((lava + goal) / 2).cast("int"), goal, last)
-
-    door1, toggle1 = sight("door"), act(TOGGLE)
-    rooms = tidy(zero, door1, toggle1, after(toggle1), sight("goal", toggle1), last)
-
-    door2 = sight("door", toggle1)
-    two_doors = tidy(zero, door1, toggle1, after(toggle1), door2, act(TOGGLE, door2), last)
-
-    e = F.lower(env)
-    has = lambda s: F.contains(e, F.lit(s))
-    raw = (
-        F.when(has("doorkey"), unlock)
-        .when(has("memory"), recall)
-        .when(has("lavagap"), hazard)
-        .when(has("multiroom"), rooms)
-        .when(has("keycorridor"), unlock)
-        .when(has("redblue"), two_doors)
-        .otherwise(linspace_int(zero, last, k))
+def with_storyboard(df: DataFrame, k: int, env: str = "env_family", actions: str = "actions", visible: str = "visible", n_frames: Column | None = None) -> DataFrame:
+    """``board``: k key-frame numbers of a trajectory by the rules of its environment family.
+
+    The look-ups depend on each other, so they are added in stages and each runs once per row.
+    """
+    zero, a, v = F.lit(0), F.col(actions), F.col(visible)
+    n = (n_frames if n_frames is not None else F.size(actions) + 1).cast("int")
+    last = F.col("_last")
+    after = lambda t: F.least(last, F.col(t) + 1)
+    tidy = lambda *xs: F.array_sort(F.array_distinct(F.array(*[F.col(x) if isinstance(x, str) else x for x in xs])))
+    d = df.withColumns(
+        {
+            "_last": n - 1,
+            "_key": seen_at(v, "key", zero),
+            "_ball": seen_at(v, "ball", zero),
+            "_lava": seen_at(v, "lava", zero),
+            "_door1": seen_at(v, "door", zero),
+            "_pick": acted_at(a, PICKUP, zero),
+            "_tog1": acted_at(a, TOGGLE, zero),
+        }
+    )
+    d = d.withColumns(
+        {
+            "_cue": F.greatest("_ball", "_key"),
+            "_door": seen_at(v, "door", F.col("_pick")),
+            "_goal_l": seen_at(v, "goal", F.col("_lava")),
+            "_goal_t": seen_at(v, "goal", F.col("_tog1")),
+            "_door2": seen_at(v, "door", F.col("_tog1")),
+        }
+    )
+    d = d.withColumns({"_tog": acted_at(a, TOGGLE, F.col("_door")), "_tog2": acted_at(a, TOGGLE, F.col("_door2"))})
+    mid = F.floor((F.col("_lava") + F.col("_goal_l")) / 2).cast("int")
+    recall = F.concat(F.array(zero, F.col("_cue"), last), linspace_int(F.col("_cue"), last, max(2, k - 2)))
+    unlock = tidy(zero, "_key", "_pick", after("_pick"), "_door", "_tog", after("_tog"), last)
+    rules = [
+        ("doorkey", unlock),
+        ("memory", F.array_sort(F.array_distinct(recall))),
+        ("lavagap", tidy(zero, "_lava", mid, "_goal_l", last)),
+        ("multiroom", tidy(zero, "_door1", "_tog1", after("_tog1"), "_goal_t", last)),
+        ("keycorridor", unlock),
+        ("redblue", tidy(zero, "_door1", "_tog1", after("_tog1"), "_door2", "_tog2", last)),
+    ]
+    raw = F.when(F.lit(False), F.array(zero))
+    for name, frames in rules:
+        raw = raw.when(F.contains(F.lower(F.col(env)), F.lit(name)), frames)
+    d = d.withColumn("_raw", raw.otherwise(linspace_int(zero, last, k)))
+    d = d.withColumn("_raw", F.when(F.size("_raw") < 2, F.array(zero, last)).otherwise(F.col("_raw")))
+    picked = F.transform(
+        linspace_int(zero, F.size("_raw") - 1, k), lambda i: F.greatest(zero, F.least(last, F.get(F.col("_raw"), i)))
     )
-    raw = F.when(F.size(raw) < 2, F.array(zero, last)).otherwise(raw)
-    at = linspace_int(zero, F.size(raw) - 1, k)
-    return F.array_sort(F.transform(at, lambda i: F.greatest(zero, F.least(last, F.get(raw, i)))))
+    return d.withColumn("board", F.array_sort(picked)).select(*df.columns, "board")

@@ -75,16 +75,13 @@ def _(fx):
 @query("w6_storyboard")
 def _(fx):
     t = trajectories(fx).filter("variant = 'full'")
-    board = Q.storyboard(F.col("env_family"), F.col("actions"), F.col("visible"), F.size("states"), 8)
-    return t.select("group_id", "env_family", F.array_join(board, ",").alias("frames"))
+    return Q.with_storyboard(t, 8).select("group_id", "env_family", F.array_join("board", ",").alias("frames"))
 
 
 @query("w6_storyboard_variants")
 def _(fx):
     """nocue reuses the full variant's frames where they fit; cf gets its own."""
-    t = trajectories(fx).withColumn(
-        "board", Q.storyboard(F.col("env_family"), F.col("actions"), F.col("visible"), F.size("states"), 8)
-    ).withColumn("n", F.size("states"))
+    t = Q.with_storyboard(trajectories(fx), 8).withColumn("n", F.size("states"))
     p = J.pivot_variants(t, ["group_id"], G.VARIANTS, ["board", "n"], F.size("states"))
     p = p.filter("full IS NOT NULL AND nocue IS NOT NULL AND cf IS NOT NULL")
     reuse = F.array_max("full.board") < F.col("nocue.n")
