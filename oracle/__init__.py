@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scores", "steps"]
+MODULES = ["scores", "steps", "scenes", "samples"]
 
 
 def all_sql() -> dict[str, str]:
