@@ -184,27 +184,29 @@ SCENE_SCHEMA = (
 )
 
 
-def scene_json(text: Col) -> Column:
-    """``struct(json, mode, has_fence)``: the object text found in an answer, repaired if need be.
+def find_json_object(df: DataFrame, text: Column) -> DataFrame:
+    """``j_text``, ``j_mode``, ``j_fence``: the JSON object found in an answer, repaired if need be.
 
-    Modes are strict, recoverable, fail_json (nothing readable) and fail_type (JSON, but no object).
+    A fence is opened first, then the part from the first to the last brace is taken; trailing commas are
+    dropped only if it does not parse.  Modes are strict, recoverable and fail_json.
     """
-    t = strip(F.coalesce(col(text), F.lit("")))
-    parts = F.split(t, "```", -1)
-    bare = (
-        F.when(~F.contains(t, F.lit("```")), t)
+    t, parts, bare, cand, fixed = (F.col(c) for c in ("_t", "_parts", "_bare", "_cand", "_fixed"))
+    d = df.withColumn("_t", strip(F.coalesce(text, F.lit("")))).withColumn("_parts", F.split(t, "```", -1))
+    d = d.withColumn(
+        "_bare",
+        F.when(F.size(parts) == 1, t)
         .when(F.size(parts) >= 3, strip(F.get(parts, F.lit(1))))
-        .otherwise(strip(F.replace(t, F.lit("```"), F.lit(""))))
+        .otherwise(strip(F.replace(t, F.lit("```"), F.lit("")))),
     )
-    cand = F.when(bare.startswith("{") & bare.endswith("}"), bare).otherwise(
-        F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    )
-    fixed = F.regexp_replace(cand, r",(\s*[}\]])", "$1")
-    valid = lambda c: F.try_parse_json(c).isNotNull()
-    json = F.when(cand == "", F.lit(None)).when(valid(cand), cand).when(valid(fixed), fixed)
-    mode = (
-        F.when(json.isNull(), F.lit("fail_json"))
-        .when((json == cand) & (cand == t), F.lit("strict"))
-        .otherwise(F.lit("recoverable"))
-    )
-    return F.struct(json.alias("json"), mode.alias("mode"), t.startswith("```").alias("has_fence"))
+    whole = bare.startswith("{") & bare.endswith("}")
+    d = d.withColumn("_cand", F.when(whole, bare).otherwise(F.regexp_extract(bare, r"(?s)\{.*\}", 0)))
+    d = d.withColumn("_ok", (cand != "") & F.try_parse_json(cand).isNotNull())
+    d = d.withColumn("_fixed", F.when(~F.col("_ok") & (cand != ""), F.regexp_replace(cand, r",(\s*[}\]])", "$1")))
+    d = d.withColumn("j_text", F.when(F.col("_ok"), cand).when(F.try_parse_json(fixed).isNotNull(), fixed))
+    d = d.withColumn(
+        "j_mode",
+        F.when(F.col("j_text").isNull(), F.lit("fail_json"))
+        .when(F.col("_ok") & (cand == t), F.lit("strict"))
+        .otherwise(F.lit("recoverable")),
+    ).withColumn("j_fence", t.startswith("```"))
+    return d.drop("_t", "_parts", "_bare", "_cand", "_ok", "_fixed")

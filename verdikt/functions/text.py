@@ -26,8 +26,8 @@ def nonblank(c: Col) -> Column:
 
 def to_int(c: Col) -> Column:
     """Integer reading of a text column: digits with optional minus signs in front, else null."""
-    s = strip(c)
-    return F.when(s.rlike(r"^-*\d+$"), s.try_cast("bigint"))
+    # the cast drops the white space itself
+    return F.when(col(c).rlike(r"^\s*-*\d+\s*$"), col(c).try_cast("bigint"))
 
 
 def round6(c: Column) -> Column:

@@ -169,44 +169,43 @@ def endpoint_picks(df: DataFrame, objects: str = "objects") -> DataFrame:
 # ---------------------------------------------------------------- scene score
 
 
+def _pair(a: Column) -> Column:
+    """A two-element list of numbers as struct(x, y), else null."""
+    x, y = to_int(F.get(a, F.lit(0))), to_int(F.get(a, F.lit(1)))
+    return F.when((F.size(a) == 2) & x.isNotNull() & y.isNotNull(), F.struct(x.alias("x"), y.alias("y")))
+
+
 def read_scene(df: DataFrame, text: Column) -> DataFrame:
     """Canonical columns of the scene found in an answer text; ``p_mode`` says how it was found."""
-    d = df.withColumn("_j", P.scene_json(text))
-    d = d.withColumns({"_o": F.from_json("_j.json", P.SCENE_SCHEMA), "_agent": F.get_json_object("_j.json", "$.agent")})
-    pos = lambda a: F.when(
-        (F.size(a) == 2) & to_int(F.get(a, F.lit(0))).isNotNull() & to_int(F.get(a, F.lit(1))).isNotNull(),
-        F.struct(to_int(F.get(a, F.lit(0))).alias("x"), to_int(F.get(a, F.lit(1))).alias("y")),
+    d = P.find_json_object(df, text).withColumns(
+        {"_o": F.from_json("j_text", P.SCENE_SCHEMA), "_agent": F.get_json_object("j_text", "$.agent")}
     )
     carry = F.col("_o.agent.carrying")
     as_obj = carry.startswith("{")
     carry_type = F.when(as_obj, F.coalesce(strip(F.get_json_object(carry, "$.type")), F.lit(UNKNOWN))).otherwise(strip(carry))
     carry_color = F.when(as_obj, strip(F.get_json_object(carry, "$.color")))
-    front_pos, front_type = pos(F.col("_o.front_cell.pos")), strip(F.col("_o.front_cell.type"))
-    front = F.when(
-        front_pos.isNotNull() & front_type.isNotNull(),
-        F.struct(
-            front_pos["x"].alias("x"), front_pos["y"].alias("y"), front_type.alias("type"),
-            semantic_state(front_type, strip(F.col("_o.front_cell.state"))).alias("state"),
-        ),
-    )
-    good = F.filter("_o.objects", lambda o: pos(o["pos"]).isNotNull() & o["type"].isNotNull())
-    keys = F.transform(
-        good,
-        lambda o: object_key(strip(o["type"]), to_int(F.get(o["pos"], F.lit(0))), to_int(F.get(o["pos"], F.lit(1))), strip(o["color"]), strip(o["state"])),
+    clean = F.transform(
+        "_o.objects",
+        lambda o: F.struct(strip(o["type"]).alias("type"), _pair(o["pos"]).alias("at"), strip(o["color"]).alias("color"), strip(o["state"]).alias("state")),
     )
+    d = d.withColumns({"_fpos": _pair(F.col("_o.front_cell.pos")), "_ftype": strip(F.col("_o.front_cell.type")), "_objs": clean})
+    good = F.filter("_objs", lambda o: o["at"].isNotNull() & o["type"].isNotNull())
+    keys = F.transform(good, lambda o: object_key(o["type"], o["at"]["x"], o["at"]["y"], o["color"], o["state"]))
+    front = F.struct(
+        F.col("_fpos.x").alias("x"), F.col("_fpos.y").alias("y"), F.col("_ftype").alias("type"),
+        semantic_state(F.col("_ftype"), strip(F.col("_o.front_cell.state"))).alias("state"),
+    )
     return d.withColumns(
         {
-            "p_mode": F.col("_j.mode"),
-            "p_fence": F.col("_j.has_fence"),
-            "p_pos": pos(F.col("_o.agent.pos")),
+            "p_pos": _pair(F.col("_o.agent.pos")),
             "p_dir": to_int(F.col("_o.agent.dir")),
             "p_carry": F.when(carry.isNotNull(), F.struct(carry_type.alias("type"), carry_color.alias("color"))),
-            "p_front": front,
+            "p_front": F.when(F.col("_fpos").isNotNull() & F.col("_ftype").isNotNull(), front),
             "p_keys": F.array_distinct(F.coalesce(keys, F.array().cast("array<string>"))),
             "p_has_carry": F.coalesce(F.array_contains(F.json_object_keys("_agent"), "carrying"), F.lit(False)),
-            "p_has_objects": F.coalesce(F.get_json_object("_j.json", "$.objects").startswith("["), F.lit(False)),
+            "p_has_objects": F.coalesce(F.get_json_object("j_text", "$.objects").startswith("["), F.lit(False)),
         }
-    ).drop("_j", "_o", "_agent")
+    ).withColumnsRenamed({"j_mode": "p_mode", "j_fence": "p_fence"}).drop("_o", "_agent", "_fpos", "_ftype", "_objs", "j_text")
 
 
 def score_scenes(df: DataFrame, weights: Mapping[str, float] = WEIGHTS, pass_mark: float = PASS_MARK) -> DataFrame:

@@ -192,5 +192,5 @@ def _(fx):
 
 @query("x5_mode_report")
 def _(fx):
-    r = scene_responses(fx).select(P.scene_json("raw").alias("j"))
-    return r.groupBy(F.col("j.mode").alias("parse_mode"), F.col("j.has_fence").alias("has_fence")).agg(F.count("*").alias("n"))
+    r = P.find_json_object(scene_responses(fx), F.col("raw"))
+    return r.groupBy(F.col("j_mode").alias("parse_mode"), F.col("j_fence").alias("has_fence")).agg(F.count("*").alias("n"))
