@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scores", "steps", "scenes", "samples"]
+MODULES = ["scores", "steps", "scenes", "samples", "requests", "sources"]
 
 
 def all_sql() -> dict[str, str]:

@@ -355,7 +355,8 @@ REFUSED_FINISH = "d7_rejected"
 def payload_scan(requests: DataFrame, terms: Sequence[str], prompt: str = "prompt") -> DataFrame:
     """Forbidden terms found in each prompt; a hit turns the request into a refused response."""
     low = F.lower(F.coalesce(F.col(prompt), F.lit("")))
-    found = F.filter(F.array(*[F.lit(t.lower()) for t in terms]), lambda t: F.contains(low, t))
+    listed = F.array(*[F.lit(t.lower()) for t in terms]).cast("array<string>")
+    found = F.filter(listed, lambda t: F.contains(low, t))
     bad = F.size(found) > 0
     return requests.withColumn("violations", found).withColumns(
         {
