@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scores", "steps", "scenes", "samples", "requests", "sources"]
+MODULES = ["scores", "steps", "scenes", "samples", "requests", "sources", "streams"]
 
 
 def all_sql() -> dict[str, str]:
