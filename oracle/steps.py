@@ -234,3 +234,7 @@ FROM (SELECT group_id, min(t) FILTER (WHERE NOT masked AND d) AS unmasked_diff_t
  min(t) FILTER (WHERE masked AND h AND NOT i) AS no_diff_t
  FROM (SELECT group_id, t, bool_or(masked) AS masked, bool_or(v <> v_nocue) AS d, bool_or(v <> v_nocue AND NOT is_target) AS o,
   bool_or(v <> v_nocue AND is_target) AS i, bool_or(is_target) AS h FROM grid_cells GROUP BY group_id, t) s GROUP BY group_id) g""")
+add("v12_meta_gates", "headers", """
+SELECT group_id, CASE grp % 11 WHEN 3 THEN 'missing_nocue_meta' WHEN 1 THEN 'bad_window_policy' WHEN 2 THEN 'nocue_targets_bad' WHEN 4 THEN 'empty_mask'
+ WHEN 5 THEN 'nocue_mask_count_mismatch' WHEN 6 THEN 'nocue_mask_strength_exceeded' WHEN 7 THEN 'nocue_alignment_fail' WHEN 8 THEN 'budget_exceeded'
+ WHEN 9 THEN CASE WHEN grp % 3 > 0 THEN 'mask_outside_window' END END AS reason FROM headers WHERE variant = 'nocue'""")

@@ -132,11 +132,19 @@ def alias_verdict(text: Col, prompt: Col | None = None) -> Column:
     return F.when(asks_yes_no, F.when(v == "Success", F.lit("Yes")).otherwise(F.lit("No"))).otherwise(v)
 
 
+def is_json_object(t: Column) -> Column:
+    """Whether a text is one JSON object and nothing else.
+
+    Spark's JSON functions overlook what follows a complete value.  As the only element of a list, the text
+    has no room for more.
+    """
+    listed = F.concat(F.lit("["), t, F.lit("]"))
+    return t.startswith("{") & t.endswith("}") & F.coalesce(F.json_array_length(listed) == 1, F.lit(False))
+
+
 def _answer_field(t: Column) -> Column:
     """``answer`` of a text that is one JSON object, else null."""
-    return F.when(
-        t.startswith("{") & t.endswith("}"), nonblank(F.get_json_object(t, "$.answer"))
-    )
+    return F.when(is_json_object(t), nonblank(F.get_json_object(t, "$.answer")))
 
 
 def json_answer(text: Col, stripped: bool = False) -> Column:
@@ -200,9 +208,9 @@ def find_json_object(df: DataFrame, text: Column) -> DataFrame:
     )
     whole = bare.startswith("{") & bare.endswith("}")
     d = d.withColumn("_cand", F.when(whole, bare).otherwise(F.regexp_extract(bare, r"(?s)\{.*\}", 0)))
-    d = d.withColumn("_ok", (cand != "") & F.try_parse_json(cand).isNotNull())
+    d = d.withColumn("_ok", is_json_object(cand))
     d = d.withColumn("_fixed", F.when(~F.col("_ok") & (cand != ""), F.regexp_replace(cand, r",(\s*[}\]])", "$1")))
-    d = d.withColumn("j_text", F.when(F.col("_ok"), cand).when(F.try_parse_json(fixed).isNotNull(), fixed))
+    d = d.withColumn("j_text", F.when(F.col("_ok"), cand).when(is_json_object(fixed), fixed))
     d = d.withColumn(
         "j_mode",
         F.when(F.col("j_text").isNull(), F.lit("fail_json"))

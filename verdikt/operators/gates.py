@@ -284,6 +284,25 @@ def mask_metrics(cells: DataFrame, ratio_max: float, alignment_min: float) -> Da
     )
 
 
+def mask_meta_gates(df: DataFrame, targets: Sequence[str], meta: str = "nocue_meta", limit: str = "first_interaction") -> DataFrame:
+    """What a masked variant declares about itself: policy, targets, counts, strength, alignment, budget, window."""
+    m = lambda f: F.col(f"{meta}.{f}")
+    want = F.array(*[F.lit(t) for t in targets])
+    odd = F.concat(F.array_except(m("targets"), want), F.array_except(want, m("targets")))
+    reason = first_reason(
+        (F.col(meta).isNull(), "missing_nocue_meta"),
+        (~m("window_policy").eqNullSafe(F.lit("EARLY")), "bad_window_policy"),
+        (m("targets").isNull() | (F.size(odd) > 0), "nocue_targets_bad"),
+        (F.size(m("window_steps")) <= 0, "empty_mask"),
+        (~m("masked_frames").eqNullSafe(F.size(m("window_steps"))), "nocue_mask_count_mismatch"),
+        (m("mask_strength_actual") > m("mask_strength_threshold"), "nocue_mask_strength_exceeded"),
+        (m("alignment_score") < m("alignment_threshold"), "nocue_alignment_fail"),
+        (m("masked_tiles_total") > m("mask_budget_tiles"), "budget_exceeded"),
+        (F.exists(m("window_steps"), lambda t: t >= F.col(limit)), "mask_outside_window"),
+    )
+    return df.withColumn("reason", reason)
+
+
 def masked_cell_diff(cells: DataFrame, left: str = "v", right: str = "v_nocue") -> DataFrame:
     """Where a masked variant differs: only in target cells of masked steps, and there at least once."""
     diff = _differs(F.col(left), F.col(right))

@@ -78,34 +78,41 @@ QUOTA_SCHEMA = "env_task string, pick int, stage string, sampling_role string, g
 
 
 def quota_sample(
-    exam: DataFrame, targets: Mapping[str, int], extras: Sequence[str], total: int, prefer_long: bool = True
+    exam: DataFrame, targets: Mapping[str, int], extras: Sequence[str], total: int, prefer_long: bool = True, rank_once: bool = False
 ) -> DataFrame:
     """Greedy quota sample per environment, as a log of picks and missing slots.
 
     Role by role, a pick prefers groups not used so far, then (if asked) long horizons, then group and uid.
-    Extra roles follow one by one until ``total``; a fallback by (group, uid) fills what is left.
-
-    The greedy choice is sequential, but can only ever touch few rows: at most ``total`` groups and uids
-    are used before any choice.  A pick from an unused group is the best row of one of the first
-    ``total + 1`` groups of its role; if every group of the role is used, it is one of the first
-    ``total + 1`` rows.  Spark cuts each role to those rows, so one small frame per environment is left.
+    Extra roles follow one by one until ``total``; a fallback by (group, uid) fills what is left.  With
+    ``rank_once`` a role's rows are ranked before its first pick only, and there is no fallback.
+
+    The greedy choice is sequential, but can only ever touch few rows: at most ``n`` groups and uids are
+    used before any choice.  A pick from an unused group is among the best rows of one of the first
+    ``n + 1`` groups of its role (one row per group, or as many as the role's target if ranked once).  If
+    the unused groups run out, fewer rows than a target lie outside the used ones, so the pick is one of
+    the first ``2 n + 1`` rows.  Spark cuts each role to those rows: one small frame per environment.
     """
     n = max(total, sum(targets.values()) + len(extras))
+    per_group = max(targets.values()) if rank_once else 1
     short = (F.col("horizon_bucket") != "long").cast("int") if prefer_long else F.lit(0)
     rows = exam.select("env_task", "sampling_role", "group_id", "uid", F.coalesce(short, F.lit(1)).alias("short"))
     by_role = ["env_task", "sampling_role"]
-    best = rows.groupBy(*by_role, "group_id").agg(F.min(F.struct("short", "uid")).alias("_b"))
-    best = best.select(*by_role, "group_id", "_b.uid", "_b.short")
-    cols = ["env_task", "sampling_role", "group_id", "uid", "short"]
-    keep_groups = top_per_key(best, by_role, ["short", "group_id", "uid"], n + 1).select(*cols)
-    keep_rows = top_per_key(rows, by_role, ["short", "group_id", "uid"], n + 1).select(*cols)
-    keep_rest = top_per_key(rows, ["env_task"], ["group_id", "uid"], 2 * n).select(*cols)
-    small = keep_groups.unionByName(keep_rows).unionByName(keep_rest).distinct()
-    plan = (list(targets.items()), list(extras), total)
+    by_group = [*by_role, "group_id"]
+    best = rows.groupBy(*by_group).agg(F.min(F.struct("short", "uid")).alias("_b"))
+    best = best.select(*by_group, "_b.uid", "_b.short")
+    cols = [*by_group, "uid", "short"]
+    groups = top_per_key(best, by_role, ["short", "group_id", "uid"], n + 1).select(*cols)
+    if per_group > 1:
+        few = top_per_key(rows, by_group, ["short", "uid"], per_group).select(*cols)
+        groups = few.join(groups.select(*by_group), by_group, "left_semi")
+    first_rows = top_per_key(rows, by_role, ["short", "group_id", "uid"], 2 * n + 1).select(*cols)
+    rest = top_per_key(rows, ["env_task"], ["group_id", "uid"], 2 * n).select(*cols)
+    small = groups.unionByName(first_rows).unionByName(rest).distinct()
+    plan = (list(targets.items()), list(extras), total, rank_once)
     return small.groupBy("env_task").applyInPandas(lambda pdf: greedy_picks(pdf, *plan), QUOTA_SCHEMA)
 
 
-def greedy_picks(pdf: pd.DataFrame, targets: list[tuple[str, int]], extras: list[str], total: int) -> pd.DataFrame:
+def greedy_picks(pdf: pd.DataFrame, targets: list[tuple[str, int]], extras: list[str], total: int, rank_once: bool = False) -> pd.DataFrame:
     """The sequential choice itself, over the rows of one environment."""
     env = pdf["env_task"].iloc[0]
     ranked = pdf.sort_values(["short", "group_id", "uid"])
@@ -113,28 +120,30 @@ def greedy_picks(pdf: pd.DataFrame, targets: list[tuple[str, int]], extras: list
     used_groups: set[str] = set()
     log: list[tuple] = []
 
-    def take(stage: str, role: str) -> None:
+    def take(stage: str, role: str, k: int = 1) -> None:
         rows = ranked[(ranked["sampling_role"] == role) & ~ranked["uid"].isin(used_ids)]
-        fresh = rows[~rows["group_id"].isin(used_groups)]
-        pick = fresh if len(fresh) else rows
-        if not len(pick):
-            log.append((env, -1, f"missing_{stage}", role, None, None))
-            return
-        r = pick.iloc[0]
-        used_ids.add(r["uid"])
-        used_groups.add(r["group_id"])
-        log.append((env, len(used_ids), stage, role, r["group_id"], r["uid"]))
+        old = rows["group_id"].isin(used_groups)
+        picks = pd.concat([rows[~old], rows[old]]).head(k)
+        for r in picks.itertuples():
+            used_ids.add(r.uid)
+            used_groups.add(r.group_id)
+            log.append((env, len(used_ids), stage, role, r.group_id, r.uid))
+        log.extend([(env, -1, f"missing_{stage}", role, None, None)] * (k - len(picks)))
 
     for role, k in targets:
+        if rank_once:
+            take("base", role, k)
+            continue
         for _ in range(k):
             take("base", role)
     for role in extras:
         if len(used_ids) < total:
             take("extra", role)
-    for r in pdf.sort_values(["group_id", "uid"]).itertuples():
-        if len(used_ids) >= total:
-            break
-        if r.uid not in used_ids:
-            used_ids.add(r.uid)
-            log.append((env, len(used_ids), "fallback", r.sampling_role, r.group_id, r.uid))
+    if not rank_once:
+        for r in pdf.sort_values(["group_id", "uid"]).itertuples():
+            if len(used_ids) >= total:
+                break
+            if r.uid not in used_ids:
+                used_ids.add(r.uid)
+                log.append((env, len(used_ids), "fallback", r.sampling_role, r.group_id, r.uid))
     return pd.DataFrame(log, columns=["env_task", "pick", "stage", "sampling_role", "group_id", "uid"])

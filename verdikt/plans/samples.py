@@ -49,10 +49,24 @@ def _(fx):
     return K.round_robin_sample(fx("exam_e").select("uid", "env_task", "item_no"), 75, SEED, ordered=F.col("item_no"))
 
 
+ROLES = ["identity_short", "identity_medium", "identity_long", "status_early_holding", "status_mid_holding", "status_first_post_drop", "status_late_post_drop"]
+EXTRA_ROLES = ["identity_long", "status_late_post_drop", "status_mid_holding", "identity_medium", "status_first_post_drop"]
+
+
 @query("k4_quota_sample")
 def _(fx):
-    targets = {"identity_short": 4, "identity_medium": 4, "identity_long": 6, "status_early_holding": 4, "status_mid_holding": 4, "status_first_post_drop": 4, "status_late_post_drop": 6}
-    return K.quota_sample(fx("exam_e"), targets, ["identity_long", "status_late_post_drop", "identity_medium", "status_first_post_drop"], 36)
+    return K.quota_sample(fx("exam_e"), dict.fromkeys(ROLES, 5), EXTRA_ROLES, 36)
+
+
+@query("k4_mandatory_audit")
+def _(fx):
+    return K.quota_sample(fx("exam_e"), dict.fromkeys(ROLES, 1), EXTRA_ROLES, 12, prefer_long=False)
+
+
+@query("k4_focused_audit")
+def _(fx):
+    e = fx("exam_e").filter("env_task = 'env1'")
+    return K.quota_sample(e, dict.fromkeys(ROLES, 3), [], 21, prefer_long=False, rank_once=True)
 
 
 @query("k5_common_uid_sample")

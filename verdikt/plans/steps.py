@@ -263,6 +263,24 @@ def _(fx):
     return G.mask_metrics(fx("grid_cells"), 0.25, 0.95)
 
 
+@query("v12_meta_gates")
+def _(fx):
+    """Declared masks of the nocue headers, with a fault in most of the group classes."""
+    h = fx("headers").filter("variant = 'nocue'")
+    k = F.col("grp") % 11
+    steps = F.when(k == 4, F.array().cast("array<bigint>")).otherwise(F.sequence(F.lit(1).cast("bigint"), 1 + F.col("grp") % 3))
+    meta = F.struct(
+        F.when(k == 1, F.lit("LATE")).otherwise(F.lit("EARLY")).alias("window_policy"),
+        F.when(k == 2, F.array(F.lit("door"))).otherwise(F.array(F.lit("goal"), F.lit("door"))).alias("targets"),
+        steps.alias("window_steps"), (F.size(steps) + F.when(k == 5, 1).otherwise(0)).alias("masked_frames"),
+        F.when(k == 6, 0.9).otherwise(0.1).alias("mask_strength_actual"), F.lit(0.3).alias("mask_strength_threshold"),
+        F.when(k == 7, 0.5).otherwise(0.99).alias("alignment_score"), F.lit(0.95).alias("alignment_threshold"),
+        F.when(k == 8, 50).otherwise(5).alias("masked_tiles_total"), F.lit(10).alias("mask_budget_tiles"),
+    )
+    d = h.select("group_id", F.when(k != 3, meta).alias("nocue_meta"), F.when(k == 9, 2).otherwise(10).alias("first_interaction"))
+    return G.mask_meta_gates(d, ["door", "goal"]).select("group_id", "reason")
+
+
 @query("v15_masked_cell_diff")
 def _(fx):
     return G.masked_cell_diff(fx("grid_cells"))

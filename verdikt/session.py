@@ -17,6 +17,8 @@ def build_session(app: str = "verdikt", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # partial sessions are merged before the shuffle, so a busy key sends few rows
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
     }
