@@ -103,6 +103,16 @@ def first_step(cond: Column, start: Column | int = 0, t: str = "t") -> Column:
     return F.coalesce(F.min(F.when(cond & (F.col(t) >= start), F.col(t))), F.lit(0))
 
 
+def _status() -> Column:
+    """Status from the last pickup ``_p``, drop ``_d`` and reacquire ``_r`` so far."""
+    p, d, r = F.col("_p"), F.col("_d"), F.col("_r")
+    return (
+        F.when(p.isNotNull() & r.isNotNull(), F.lit("reacquired_and_holding"))
+        .when(p.isNotNull() & (d.isNull() | (d < p)), F.lit("holding"))
+        .otherwise(F.lit("dropped"))
+    )
+
+
 def status_as_of(events: DataFrame, checkpoints: DataFrame, block: int = BLOCK) -> DataFrame:
     """Status of a label at a checkpoint ``query_step`` from the last events up to it.
 
@@ -121,13 +131,7 @@ def status_as_of(events: DataFrame, checkpoints: DataFrame, block: int = BLOCK)
     run = running_max(
         c.unionByName(e), {"_p": at("pickup"), "_d": at("drop"), "_r": at("reacquire")}, ["t", "_q"], ["group_id", "label"], block=block
     )
-    held = F.col("_p").isNotNull() & (F.col("_d").isNull() | (F.col("_d") < F.col("_p")))
-    status = (
-        F.when(F.col("_p").isNotNull() & F.col("_r").isNotNull(), F.lit("reacquired_and_holding"))
-        .when(held, F.lit("holding"))
-        .otherwise(F.lit("dropped"))
-    )
-    return run.filter("_q = 1").select("_row.*", status.alias("status"))
+    return run.filter("_q = 1").select("_row.*", _status().alias("status"))
 
 
 # ---------------------------------------------------------------- checkpoints
@@ -203,13 +207,26 @@ def prefix_frames(q: Column, p: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(base, mids)))
 
 
+def status_at_few(events: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """The same status for a handful of checkpoints per group: one join and one aggregation of the events.
+
+    Checkpoints are the small side (a bounded number per group and label), so an event meets few of them.
+    """
+    keys = ["group_id", "label", "query_step"]
+    asked = checkpoints.select(*keys).distinct()
+    j = spread_join(events, asked, ["group_id", "label"], F.col("t")).filter(F.col("t") <= F.col("query_step"))
+    last = lambda k: F.max(F.when(F.col("kind") == k, F.col("t")))
+    m = j.groupBy(*keys).agg(last("pickup").alias("_p"), last("drop").alias("_d"), last("reacquire").alias("_r"))
+    return checkpoints.join(m, keys, "left").withColumn("status", _status()).drop("_p", "_d", "_r")
+
+
 def judge_proposals(proposals: DataFrame, events: DataFrame) -> DataFrame:
     """``decision`` per proposal: accepted, or the first reason against it.
 
     A status role is a duplicate only if an earlier role with the same step was itself accepted.
     """
     with_q = proposals.filter(F.col("query_step").isNotNull())
-    st = status_as_of(events, with_q).withColumn("frames", prefix_frames(F.col("query_step"), F.col("pickup_step")))
+    st = status_at_few(events, with_q).withColumn("frames", prefix_frames(F.col("query_step"), F.col("pickup_step")))
     is_status = F.col("query_type") == "status"
     holding_role = is_status & F.contains(F.col("sampling_role"), F.lit("holding"))
     own = (

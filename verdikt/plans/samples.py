@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.text import draw_key
 from ..operators import candidates as H, sampling as K, sequence as Q
 from ..operators.gates import VARIANTS
+from ..session import landed
 from .fixtures import Fixtures
 from .registry import query
 
@@ -78,7 +79,7 @@ def _(fx):
 
 @query("k6_hard_negatives")
 def _(fx):
-    d = H.hard_negatives(transition_states(fx), 2, SEED).filter("reason IS NULL")
+    d = H.hard_negatives(landed(transition_states(fx), "transitions"), 2, SEED).filter("reason IS NULL")
     return d.select("group_id", "t", F.posexplode("negs").alias("rank", "n")).select(
         "group_id", "t", "rank", F.col("n.group_id").alias("neg_group"), F.col("n.t").alias("neg_t"), F.round("n.score", 6).alias("score"), "n.source"
     )
@@ -86,7 +87,7 @@ def _(fx):
 
 @query("k6_skip_reasons")
 def _(fx):
-    d = H.hard_negatives(transition_states(fx), 2, SEED)
+    d = H.hard_negatives(landed(transition_states(fx), "transitions"), 2, SEED)
     return d.groupBy("env_task", F.coalesce("reason", F.lit("made")).alias("reason")).agg(F.count("*").alias("n"))
 
 

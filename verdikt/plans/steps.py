@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import gates as G, joins as J, sequence as Q
+from ..session import landed
 from .fixtures import Fixtures
 from .registry import query
 
@@ -45,7 +46,7 @@ def pivoted(fx: Fixtures) -> DataFrame:
 
 def checkpoints(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
     steps = fx("steps")
-    ev = Q.carry_events(steps)
+    ev = landed(Q.carry_events(steps), "events")
     return Q.propose_checkpoints(Q.first_pickups(steps, ev)), ev
 
 
@@ -114,7 +115,7 @@ def _(fx):
 @query("w9_reject_counts")
 def _(fx):
     steps = fx("steps")
-    ev = Q.carry_events(steps)
+    ev = landed(Q.carry_events(steps), "events")
     p = Q.propose_checkpoints(Q.first_pickups(steps, ev, same_label_drop=False))
     return Q.judge_proposals(p, ev).groupBy("sampling_role", "decision").agg(F.count("*").alias("n"))
 

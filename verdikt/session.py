@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "verdikt", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,3 +33,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/verdikt-{name}-{uuid.uuid4().hex}"
+
+
+def landed(df: DataFrame, name: str) -> DataFrame:
+    """A table that several branches of a query read, written once to the shared folder.
+
+    The branches then start from files that survive lost executors, instead of repeating the work.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
