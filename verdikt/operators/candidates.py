@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import draw_key
-from .joins import spread_join
+from .joins import block_join, spread_join
 from .sampling import top_per_key
 
 # Fixed values.
@@ -69,8 +69,9 @@ def hard_negatives(trans: DataFrame, per_trajectory: int, seed: object) -> DataF
     sizes = trans.groupBy("env_task", "action").agg(F.count("*").alias("pool_size"))
 
     # own trajectory: each step meets the few items of its group; best row per state, then the best two
+    last = trans.groupBy("group_id").agg(F.max("t").alias("last_t"))
     q = items.select("group_id", F.col("t").alias("item_t"), F.col("sig").alias("true_sig"), F.col("state").alias("true_state"), F.col("action").alias("item_action"))
-    own = spread_join(trans.select("group_id", "t", "sig", "state"), q, ["group_id"], F.col("t")).filter("t <> item_t AND sig <> true_sig")
+    own = block_join(trans.select("group_id", "t", "sig", "state"), q.join(last, "group_id"), ["group_id"], "last_t").filter("t <> item_t AND sig <> true_sig")
     own = own.select("group_id", "item_t", "t", "sig", similarity_penalty(F.col("item_action"), F.col("true_state"), F.col("state")).alias("score"))
     own = own.groupBy("group_id", "item_t", "sig").agg(F.min(F.struct("score", "t")).alias("b")).select("group_id", "item_t", "sig", "b.*")
     own = top_per_key(own, ["group_id", "item_t"], ["score", "t"], OWN_LIMIT, "_k")

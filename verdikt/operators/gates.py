@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import col, first_reason, n_where, ratio
-from .joins import spread_join
+from .joins import block_join
 from .sequence import with_neighbour
 
 # Fixed values.
@@ -145,10 +145,15 @@ def event_order(steps: DataFrame) -> DataFrame:
 
 
 def follow_up(steps: DataFrame, anchors: DataFrame, cond: Column, horizon: int, name: str) -> DataFrame:
-    """Whether a condition holds on one of the ``horizon`` steps after each group's anchor step ``anchor_t``."""
-    j = spread_join(steps, anchors.filter(F.col("anchor_t").isNotNull()), ["group_id"], F.col("t"))
-    inside = F.col("t").between(F.col("anchor_t") + 1, F.col("anchor_t") + horizon)
-    return j.groupBy("group_id").agg(F.max(F.coalesce(inside & cond, F.lit(False))).alias(name))
+    """Whether a condition holds on one of the ``horizon`` steps after each group's anchor step ``anchor_t``.
+
+    The steps to look at are named one by one, so the join is on (group, step) and knows no hot group.
+    """
+    asked = anchors.filter(F.col("anchor_t").isNotNull()).select(
+        "group_id", F.explode(F.sequence(F.col("anchor_t") + 1, F.col("anchor_t") + horizon)).alias("t")
+    )
+    held = steps.select("group_id", "t", F.coalesce(cond, F.lit(False)).alias("_c"))
+    return asked.join(held, ["group_id", "t"], "left").groupBy("group_id").agg(F.max(F.coalesce("_c", F.lit(False))).alias(name))
 
 
 def toggle_gate(steps: DataFrame, minimum: int = 2) -> DataFrame:
@@ -176,9 +181,14 @@ def never_visible(steps: DataFrame, target: str) -> DataFrame:
     )
 
 
+def path_cells(steps: DataFrame) -> DataFrame:
+    """The cells a group visits, each once: a grid's worth of rows however long the path is."""
+    return steps.select("group_id", "x", "y").distinct()
+
+
 def goal_on_path(steps: DataFrame, goals: DataFrame) -> DataFrame:
     """Whether the path crosses the cell the goal was moved to (``gx``, ``gy`` per group)."""
-    j = spread_join(steps.filter("variant = 'full'"), goals, ["group_id"], F.col("t"))
+    j = path_cells(steps.filter("variant = 'full'")).join(goals, "group_id")
     hit = (F.col("x") == F.col("gx")) & (F.col("y") == F.col("gy"))
     return j.groupBy("group_id").agg(F.max(hit).alias("goal_on_path"))
 
@@ -187,8 +197,7 @@ def crossed_barrier(steps: DataFrame, hazards: DataFrame) -> DataFrame:
     """Never on a hazard cell, and rows on both sides of the most frequent hazard row (ties: smallest)."""
     wall = hazards.groupBy("group_id").agg(F.mode("hy", True).alias("wall_y"))
     cells = hazards.select("group_id", F.col("hx").alias("x"), F.col("hy").alias("y"), F.lit(True).alias("_on")).distinct()
-    s = spread_join(steps.select("group_id", "t", "x", "y"), cells, ["group_id", "x", "y"], F.col("t"), "left")
-    g = s.groupBy("group_id").agg(
+    g = path_cells(steps).join(cells, ["group_id", "x", "y"], "left").groupBy("group_id").agg(
         F.max(F.coalesce("_on", F.lit(False))).alias("on_hazard"), F.min("y").alias("min_y"), F.max("y").alias("max_y")
     )
     out = g.join(wall, "group_id", "left")
@@ -209,9 +218,7 @@ def mask_window(steps: DataFrame, limits: DataFrame, visible: Column, evidence:
     ``limits`` holds ``end_t`` per group; the first ``max_visible`` usable steps before it are masked.
     One row per step, so a group's list can be of any length.
     """
-    early = spread_join(steps, limits.select("group_id", "end_t"), ["group_id"], F.col("t")).filter(
-        (F.col("t") < F.col("end_t")) & visible
-    )
+    early = block_join(steps.filter(visible), limits.select("group_id", "end_t"), ["group_id"], "end_t").filter(F.col("t") < F.col("end_t"))
     early = early.select("group_id", "t", F.coalesce(evidence, F.lit(False)).alias("excluded"))
     rank = F.row_number().over(Window.partitionBy("group_id").orderBy("t"))
     cut = (
@@ -221,7 +228,7 @@ def mask_window(steps: DataFrame, limits: DataFrame, visible: Column, evidence:
         .groupBy("group_id")
         .agg(F.max("t").alias("last_masked"))
     )
-    out = spread_join(early, cut, ["group_id"], F.col("t"), "left")
+    out = block_join(early, cut, ["group_id"], "last_masked", "left")
     role = (
         F.when(F.col("excluded"), F.lit("excluded")).when(F.col("t") <= F.col("last_masked"), F.lit("masked")).otherwise(F.lit("leak"))
     )
@@ -360,10 +367,13 @@ def asset_duplicates(assets: DataFrame, keys: Sequence[str], content: str | Colu
 
 
 def colliding_assets(assets: DataFrame, keys: Sequence[str], content: str | Column, uid: str) -> DataFrame:
-    """The assets behind the collisions, one row each; a content with many copies is spread over tasks."""
+    """The assets behind the collisions, one row each.
+
+    Nothing is grouped after the join, so adaptive execution may split a content with very many copies.
+    """
     a = assets.select(*keys, uid, F.md5(col(content).cast("binary")).alias("hash"))
     many = a.groupBy(*keys, "hash").agg(F.count("*").alias("n_copies")).filter("n_copies > 1")
-    return spread_join(a, many, [*keys, "hash"], F.col(uid))
+    return a.join(many, [*keys, "hash"])
 
 
 # Marks of a request that was refused before it was sent.

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 SPREAD = 16
+BLOCK = 4096
 
 
 def _pick(df: DataFrame, keys: Sequence[str], order: str | Column, largest: bool) -> DataFrame:
@@ -34,7 +35,7 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: str | Column) -> Dat
 def spread_join(
     big: DataFrame, small: DataFrame, keys: Sequence[str], spread_by: Column, how: str = "inner", n: int = SPREAD
 ) -> DataFrame:
-    """Join a fact table to one row per key without sending a hot key to one task.
+    """Join a fact table to a table of dimension size (environments, files, cells) over a hot key.
 
     Rows of the big side get one of ``n`` salts from ``spread_by``; the small side is repeated per salt.
     """
@@ -43,6 +44,20 @@ def spread_join(
     return b.join(s, [*keys, "_salt"], how).drop("_salt")
 
 
+def block_join(
+    steps: DataFrame, facts: DataFrame, keys: Sequence[str], last_t: str | Column, how: str = "inner", t: str = "t", block: int = BLOCK
+) -> DataFrame:
+    """Join steps to facts about their group, block by block.
+
+    ``last_t`` is the last step that needs the fact; the fact is repeated for the blocks up to it.  That is
+    one copy for a group of normal length, and a hot group is dealt out over its blocks.
+    """
+    last_t = F.col(last_t) if isinstance(last_t, str) else last_t
+    b = steps.withColumn("_blk", F.floor(F.col(t) / block).cast("bigint"))
+    f = facts.withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last_t / block).cast("bigint"))))
+    return b.join(f, [*keys, "_blk"], how).drop("_blk")
+
+
 def models_table(gold: DataFrame, models: Sequence[str]) -> DataFrame:
     """Every gold row once per model; the list of models is a parameter, not data."""
     return gold.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))

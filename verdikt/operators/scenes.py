@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import parse as P
 from ..functions.text import ratio, strip, to_int
-from .joins import spread_join
 
 # Component weights, the weights used when none is positive, and the pass mark.
 WEIGHTS = {"agent_pos": 0.30, "agent_dir": 0.00, "carrying": 0.15, "front_cell": 0.25, "objects_jaccard": 0.20}
@@ -92,9 +91,11 @@ def view_direction(ax: Column, ay: Column, fx: Column, fy: Column) -> Column:
 def to_view(heads: DataFrame, objects: DataFrame, visible: Column | None = None, key: str = "scene_id") -> DataFrame:
     """Objects in view coordinates: in range, visible, and not the cell in front of the agent.
 
-    ``heads`` gives agent cell (ax, ay), dir and front cell (fx, fy) per scene.
+    ``heads`` gives agent cell (ax, ay), dir and front cell (fx, fy) per scene.  Repeated objects are dropped
+    first, so a scene has at most as many rows as it can hold objects.
     """
-    j = spread_join(objects, heads.select(key, "ax", "ay", "dir", "fx", "fy"), [key], F.struct("px", "py", "type"))
+    once = objects.select(key, "type", "px", "py", "color", "state").distinct()
+    j = once.join(heads.select(key, "ax", "ay", "dir", "fx", "fy"), key)
     at = lambda x, y: view_xy(F.col(x), F.col(y), F.col("ax"), F.col("ay"), F.col("dir"))
     (vx, vy), (fx, fy), (gx, gy) = at("px", "py"), at("fx", "fy"), at("ax", "ay")
     j = j.withColumns({"vx": vx, "vy": vy, "_fx": fx, "_fy": fy, "view_dir": view_direction(gx, gy, fx, fy)})

@@ -12,9 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .dims import horizon_bucket
-from .joins import spread_join
-
-BLOCK = 4096
+from .joins import BLOCK, block_join, spread_join
 
 
 def with_neighbour(
@@ -78,8 +76,8 @@ def carry_events(steps: DataFrame, block: int = BLOCK) -> DataFrame:
     raw = s.filter(taken | dropped).select(
         "group_id", "t", F.coalesce("carry", "prev").alias("label"), dropped.alias("is_drop")
     )
-    first = raw.groupBy("group_id", "label").agg(F.min("t").alias("first_t"))
-    ev = spread_join(raw, first, ["group_id", "label"], F.col("t"))
+    first = raw.groupBy("group_id", "label").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+    ev = block_join(raw, first, ["group_id", "label"], "last_t", block=block)
     kind = (
         F.when(F.col("is_drop"), F.lit("drop"))
         .when(F.col("first_t") < F.col("t"), F.lit("reacquire"))
@@ -210,11 +208,11 @@ def prefix_frames(q: Column, p: Column) -> Column:
 def status_at_few(events: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """The same status for a handful of checkpoints per group: one join and one aggregation of the events.
 
-    Checkpoints are the small side (a bounded number per group and label), so an event meets few of them.
+    A group and label has a bounded number of checkpoints, so an event meets few of them.
     """
     keys = ["group_id", "label", "query_step"]
     asked = checkpoints.select(*keys).distinct()
-    j = spread_join(events, asked, ["group_id", "label"], F.col("t")).filter(F.col("t") <= F.col("query_step"))
+    j = block_join(events, asked, ["group_id", "label"], "query_step").filter(F.col("t") <= F.col("query_step"))
     last = lambda k: F.max(F.when(F.col("kind") == k, F.col("t")))
     m = j.groupBy(*keys).agg(last("pickup").alias("_p"), last("drop").alias("_d"), last("reacquire").alias("_r"))
     return checkpoints.join(m, keys, "left").withColumn("status", _status()).drop("_p", "_d", "_r")

@@ -67,7 +67,7 @@ def _(fx):
     step = {0: (1, 0), 1: (0, 1), 2: (-1, 0), 3: (0, -1)}
     fxy = [F.coalesce(*[F.when(F.col("dir") == d, F.col(a) + v[i]) for d, v in step.items()]) for i, a in enumerate(("ax", "ay"))]
     heads = fx("scene_heads").withColumns({"fx": fxy[0], "fy": fxy[1]})
-    return C.to_view(heads, fx("scene_objects").distinct(), F.col("color") != "red")
+    return C.to_view(heads, fx("scene_objects"), F.col("color") != "red")
 
 
 @query("p13_canonical_scene")
