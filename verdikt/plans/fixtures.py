@@ -238,8 +238,8 @@ class Fixtures:
         return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, FEW_SPLITS) else df
 
     def view(self, name: str) -> DataFrame:
-        if name in TABLES:
-            return self.table(name)
+        if name not in self._views and name in TABLES:
+            self._views[name] = self.table(name)
         if name not in self._views:
             sql = _EACH.sub(
                 lambda m: f"LATERAL VIEW explode(sequence(0L, {int(m[2]) - 1}L)) each_{m[1]} AS {m[1]}", VIEWS[name]
