@@ -337,22 +337,26 @@ def masked_cell_diff(cells: DataFrame, left: str = "v", right: str = "v_nocue")
 
 def exam_gates(exam: DataFrame, inventory: DataFrame, label_space: Sequence[str], steps: str = "selected_steps") -> DataFrame:
     """One row per gate: how many rows or keys break it."""
-    gate = lambda name, df: df.agg(F.count("*").alias("n_bad")).select(F.lit(name).alias("gate"), "n_bad")
-    future = F.exists(steps, lambda s: s > F.col("query_step"))
-    rows = exam.agg(
-        n_where(future).alias("future_steps"), n_where(~F.coalesce(F.col("answer").isin(*label_space), F.lit(False))).alias("answer_outside_space")
+    one = exam.agg(
+        n_where(F.exists(steps, lambda s: s > F.col("query_step"))).alias("future_steps"),
+        n_where(~F.coalesce(F.col("answer").isin(*label_space), F.lit(False))).alias("answer_outside_space"),
     )
-    flat = rows.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("gate"), F.col(c).alias("n_bad")) for c in ("future_steps", "answer_outside_space")])
-        ).alias("g")
-    ).select("g.*")
-    dup = lambda keys: exam.groupBy(*keys).count().filter("count > 1")
-    lost = exam.join(inventory.select(F.col("path").alias("image")).distinct(), "image", "left_anti")
-    out = flat.unionByName(gate("uid_unique", dup(["uid"])))
-    out = out.unionByName(gate("asset_missing", lost)).unionByName(
-        gate("duplicate_query", dup(["group_id", "query_type", "query_step"]))
+    # both uniqueness gates in one aggregation: a row stands once for its uid and once for its question
+    part = ["uid", "group_id", "query_type", "query_step"]
+    key = lambda name, used: F.struct(
+        F.lit(name).alias("gate"), *[(F.col(c) if c in used else F.lit(None)).cast("string").alias(c) for c in part]
     )
+    keys = F.explode(F.array(key("uid_unique", part[:1]), key("duplicate_query", part[1:])))
+    dup = exam.select(keys.alias("k")).select("k.*").groupBy("gate", *part).count().filter("count > 1")
+    two = dup.agg(*[n_where(F.col("gate") == g).alias(g) for g in ("uid_unique", "duplicate_query")])
+    lost = exam.select("image").join(inventory.select(F.col("path").alias("image")).distinct(), "image", "left_anti")
+    three = lost.agg(F.count("*").alias("asset_missing"))
+
+    def as_rows(df: DataFrame) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(c).alias("gate"), F.col(c).alias("n_bad")) for c in df.columns])
+        return df.select(F.explode(pairs).alias("g")).select("g.*")
+
+    out = as_rows(one).unionByName(as_rows(two)).unionByName(as_rows(three))
     return out.withColumn("passed", F.col("n_bad") == 0)
 
 
