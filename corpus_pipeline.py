@@ -1,4 +1,9 @@
-"""Training corpus from raw documents: quality rules, and the stages that follow."""
+"""Training corpus from raw documents, stage by stage.
+
+Quality rules reject documents; of each class of near copies one document stays; contaminated documents go; personal
+data is replaced by tags; what is left is packed into training sequences.  All stages but the last return the columns
+of ``documents``; the last returns one row per piece with its sequence and place.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdikt.llm import quality
+from verdikt.llm import decontamination, packing, pii, quality, simhash
 from verdikt.session import landed
 
 
@@ -14,7 +19,29 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality rules", good)]
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redacted(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", good),
+    ("near copies", without_copies),
+    ("benchmark decontamination", uncontaminated),
+    ("personal data", redacted),
+    ("best-fit packing", sequences),
+]
 
 #: No SQL: fingerprints, trained span classifiers and bin choice are not expressible; tests/llm holds brute-force versions.
 ORACLE_SQL = None
