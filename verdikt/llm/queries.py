@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, ctw, decontamination, packing, pii, quality, sharding, simhash
+from . import chat, ctw, decontamination, packing, pii, quality, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -64,3 +64,8 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.scored(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
