@@ -63,6 +63,23 @@ SELECT uid, agent_pos, agent_dir, carrying, front_cell, round(objects_jaccard, 6
  CASE WHEN readable THEN CASE WHEN fmt = 6 THEN 'B_missing_agent_pos,B_missing_carrying,B_partial_schema' ELSE '' END END AS failure_tags,
  ng AS n_gold_objects, CASE WHEN readable THEN np ELSE 0 END AS n_pred_objects
 FROM (SELECT *, (0.3::double * agent_pos + 0.15::double * carrying + 0.25::double * front_cell + 0.2::double * objects_jaccard) / 0.9::double AS s FROM scene_parts) x""")
+V["scenes_scored"] = """
+SELECT uid, model, env_task, mode, failure, ng, np, agent_pos, agent_dir, carrying, front_cell, objects_jaccard, fmt,
+ failure IS NULL OR failure = 'B_missing_agent_pos' AS judged,
+ CASE WHEN failure IS NULL OR failure = 'B_missing_agent_pos' THEN s ELSE 0 END AS score,
+ (failure IS NULL OR failure = 'B_missing_agent_pos') AND s >= 0.9 AS correct
+FROM (SELECT *, CASE WHEN m = 1 AND scene_id % 5 = 0 THEN 'missing_response' WHEN m = 2 AND scene_id % 7 = 0 THEN 'api_error'
+  WHEN NOT readable THEN 'B_json_parse_error' WHEN scene_id % 29 = 0 THEN 'B_missing_gold' WHEN fmt = 6 THEN 'B_missing_agent_pos' END AS failure,
+  CASE WHEN fmt IN (0, 6) THEN 'strict' WHEN fmt IN (1, 2, 3) THEN 'recoverable' ELSE 'fail_json' END AS mode, concat('m', m) AS model,
+  (0.3::double * agent_pos + 0.15::double * carrying + 0.25::double * front_cell + 0.2::double * objects_jaccard) / 0.9::double AS s
+ FROM {scene_parts} CROSS JOIN (SELECT unnest(range(3)) AS m) each_m) x
+"""
+add("a4_scene_exam", "scenes_scored", """
+SELECT uid, model, failure, CASE WHEN failure IN ('missing_response', 'api_error') THEN 'fail' ELSE mode END AS parse_mode, correct, round(score, 6) AS score,
+ CASE WHEN judged THEN agent_pos END AS agent_pos, CASE WHEN judged THEN agent_dir END AS agent_dir, CASE WHEN judged THEN carrying END AS carrying,
+ CASE WHEN judged THEN front_cell END AS front_cell, CASE WHEN judged THEN round(objects_jaccard, 6) END AS objects_jaccard,
+ CASE WHEN judged THEN ng END AS n_gold_objects, CASE WHEN judged THEN np END AS n_pred_objects,
+ CASE WHEN judged THEN CASE WHEN fmt = 6 THEN 'B_missing_agent_pos,B_missing_carrying,B_partial_schema' ELSE '' END END AS failure_tags FROM scenes_scored""")
 add("a4_scene_score_custom", "scene_parts", """
 SELECT env_task, count(*) AS n, round(avg(s), 6) AS mean_score, count(*) FILTER (WHERE s >= 0.8) AS n_correct
 FROM (SELECT *, CASE WHEN readable THEN (0.4::double * agent_pos + 0.1::double * agent_dir + 0.15::double * carrying + 0.25::double * front_cell

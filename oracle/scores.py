@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .views import with_views
+from .views import ORACLE_VIEWS as V, with_views
 
 SQL: dict[str, str] = {}
 
@@ -62,10 +62,18 @@ WHERE f.variant = 'full' AND c.variant = 'cf'"""
 IDR = """round(avg(CASE WHEN vf = 'Success' AND vc = 'Fail' THEN 1.0 ELSE 0.0 END), 6) AS idr"""
 LES = """round(avg(CASE WHEN temporal = 'orig' THEN cast(correct AS int) END) /
  nullif(avg(CASE WHEN temporal = 'rev' THEN cast(correct AS int) END), 0), 6)"""
-add("j13_main_table", "scored_c", f"""
-SELECT m.model, m.n, m.acc, i.idr, l.les_t FROM (SELECT model, {STATS} FROM scored_c GROUP BY model) m
-LEFT JOIN (SELECT model, {IDR} FROM ({IDR_PAIRS}) p WHERE model <> 'm2' GROUP BY model) i ON i.model = m.model
-LEFT JOIN (SELECT model, {LES} AS les_t FROM scored_c WHERE model <> 'm0' GROUP BY model) l ON l.model = m.model""")
+V["judges"] = """
+SELECT *, CASE WHEN task = 'D' THEN concat(model, '-d') WHEN temporal = 'rev' AND task = 'C' AND visual = 'style' THEN concat(model, '-r') ELSE model END AS judge
+FROM {scored} WHERE task IN ('C', 'D')
+"""
+JUDGE_PAIRS = """
+SELECT f.judge, f.verdict AS vf, c.verdict AS vc FROM judges f JOIN judges c ON f.judge = c.judge AND f.group_id = c.group_id
+ AND f.temporal IS NOT DISTINCT FROM c.temporal AND f.visual IS NOT DISTINCT FROM c.visual
+WHERE f.variant = 'full' AND c.variant = 'cf'"""
+add("j13_main_table", "judges", f"""
+SELECT m.judge AS model, m.n, m.acc, i.idr, l.les_t FROM (SELECT judge, {STATS} FROM judges GROUP BY judge) m
+LEFT JOIN (SELECT judge, {IDR} FROM ({JUDGE_PAIRS}) p GROUP BY judge) i ON i.judge = m.judge
+LEFT JOIN (SELECT judge, {LES} AS les_t FROM judges GROUP BY judge) l ON l.judge = m.judge""")
 add("u1_union_tasks", "exam_a exam_c exam_d exam_e", """
 SELECT uid, task, length(prompt) AS prompt_chars, image FROM exam_a UNION ALL
 SELECT uid, task, length(prompt), image FROM exam_c UNION ALL
@@ -143,7 +151,8 @@ SELECT model, '{d}' AS dim, {d} AS value, count(*) AS n, count(*) FILTER (WHERE
  round(avg(cast(parse_mode = 'recoverable' AS int)), 6) AS recoverable_rate,
  count(*) FILTER (WHERE parse_mode = 'fail') AS n_parse_fail, count(*) FILTER (WHERE NOT answered) AS n_missing
 FROM lenient GROUP BY model, {d}""" for d in ("difficulty_bucket", "distractor_strategy"))
-SQL["a9_usable_accuracy"] = with_views(["gold", "exam_a", "first_resp"], "") + "," + LENIENT.replace("@L", "ab").replace("@W", "AND g.gold IN ('A', 'B')") + """
+TWO_LETTERS = "translate(g.gold, 'CD', 'AB')"
+SQL["a9_usable_accuracy"] = with_views(["gold", "exam_a", "first_resp"], "") + "," + LENIENT.replace("@L", "ab").replace("@W", "").replace("strategy, g.gold,", f"strategy, {TWO_LETTERS} AS gold,").replace("= g.gold", f"= {TWO_LETTERS}") + """
 SELECT model, count(*) AS n, count(*) FILTER (WHERE correct) AS n_correct, count(*) FILTER (WHERE answered) AS n_answered,
  count(*) FILTER (WHERE answered) - count(*) FILTER (WHERE is_error) AS n_usable,
  round(count(*) FILTER (WHERE correct) / count(*), 6) AS accuracy,

@@ -116,7 +116,7 @@ SELECT uid, array_to_string(f, ',') AS frames, len(f) AS n_frames FROM (
  SELECT uid, list_sort(list_distinct(list_concat(b, list_filter(list_transform(range(1, len(b)), lambda i:
    CASE WHEN b[i + 1] - b[i] > 3 THEN (b[i] + b[i + 1]) // 2 END), lambda v: v IS NOT NULL)))) AS f
  FROM (SELECT uid, list_sort(list_distinct([0, query_step, greatest(0, query_step - 1), greatest(0, least(query_step, anchor_step - 1)),
-   least(query_step, anchor_step), least(query_step, anchor_step + 1)])) AS b FROM exam_e WHERE anchor_step <= query_step) x) y""")
+   least(query_step, anchor_step), least(query_step, anchor_step + 1)])) AS b FROM exam_e) x) y""")
 add("w11_transitions", "steps", """
 SELECT a.group_id, a.env_task, a.t, a.action, a.x, a.y, a.dir, a.carry, a.front_type, a.door_state, a.visible,
  b.x AS next_x, b.y AS next_y, b.dir AS next_dir, b.carry AS next_carry
@@ -200,13 +200,13 @@ SELECT c.group_id, CASE WHEN any_value(grp) % 3 <> 0 THEN bool_or(visible = 'goa
  (SELECT bool_or(f.x = f.grp % 7 AND f.y = f.grp % 5) FROM variant_steps f WHERE f.group_id = c.group_id AND f.variant = 'full') AS goal_on_path
 FROM variant_steps c WHERE variant = 'cf' GROUP BY c.group_id""")
 add("v10_crossed_barrier", "steps", """
-, hz AS (SELECT group_id, (x + 2) % 7 AS hx, (y + 3) % 7 AS hy FROM steps WHERE t % 16 = 1 AND grp % 8 <> 7),
+, hz AS (SELECT group_id, (x + 2) % 7 + CASE WHEN grp % 3 = 0 THEN 7 ELSE 0 END AS hx, (y + 3) % 7 AS hy FROM steps WHERE t % 16 = 1 AND grp % 8 <> 7),
 w AS (SELECT group_id, hy AS wall_y FROM (SELECT group_id, hy, count(*) AS n FROM hz GROUP BY ALL)
       QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY n DESC, hy) = 1)
 SELECT g.group_id, wall_y, min_y, max_y, CASE WHEN wall_y IS NULL THEN 'no_hazard_found' WHEN on_h THEN 'stepped_on_hazard'
  WHEN NOT (min_y < wall_y AND wall_y < max_y) THEN 'did_not_cross_wall' END AS reason
 FROM (SELECT group_id, min(y) AS min_y, max(y) AS max_y, bool_or(EXISTS (SELECT 1 FROM hz WHERE hz.group_id = s.group_id AND hx = s.x AND hy = s.y)) AS on_h
-      FROM steps s WHERE t % 4 = 2 GROUP BY group_id) g LEFT JOIN w ON w.group_id = g.group_id""")
+      FROM steps s GROUP BY group_id) g LEFT JOIN w ON w.group_id = g.group_id""")
 WINDOW = """
 SELECT group_id, t, CASE WHEN ex THEN 'excluded' WHEN k <= 3 THEN 'masked' ELSE 'leak' END AS role
 FROM (SELECT s.group_id, s.t, @EX AS ex, sum(CASE WHEN NOT (@EX) THEN 1 ELSE 0 END) OVER (PARTITION BY s.group_id ORDER BY s.t) AS k

@@ -2,12 +2,15 @@
 
 import __spark_entry__ as entry
 import pytest
+from oracle import all_sql
 
 from tests.conftest import SF_DIR
 from verdikt.plans.check import compare
+from verdikt.plans.registry import all_queries
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+# queries of the optional subpackage are tested beside it
+QUERIES = all_queries()
+ORACLE = all_sql()
 # no SQL: a hash DuckDB lacks, a sequential choice, file times, file sizes
 WITHOUT_SQL = {"j4_hash_shard", "k4_quota_sample", "k4_mandatory_audit", "k4_focused_audit", "s5_latest_run", "s10_file_inventory"}
 
@@ -23,6 +26,10 @@ def test_query(spark, name):
     assert result.startswith(("ok", "rows-only")), result
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns[:2] == ["level", "model"] and df.count() > 0

@@ -132,19 +132,24 @@ def alias_verdict(text: Col, prompt: Col | None = None) -> Column:
     return F.when(asks_yes_no, F.when(v == "Success", F.lit("Yes")).otherwise(F.lit("No"))).otherwise(v)
 
 
-def is_json_object(t: Column) -> Column:
-    """Whether a text is one JSON object and nothing else.
+def json_fields(t: Column) -> Column:
+    """Fields of a text that is one JSON object and nothing else, as a map of texts; else null.
 
-    Spark's JSON functions overlook what follows a complete value.  As the only element of a list, the text
-    has no room for more.
+    Spark's JSON functions overlook what follows a complete value; as the only element of a list, the text has no
+    room for more.  Single quotes and raw control characters are refused, as a strict parser does.
     """
-    listed = F.concat(F.lit("["), t, F.lit("]"))
-    return t.startswith("{") & t.endswith("}") & F.coalesce(F.json_array_length(listed) == 1, F.lit(False))
+    listed = F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<map<string,string>>", {"allowSingleQuotes": "false"})
+    return F.when(t.startswith("{") & t.endswith("}") & (F.size(listed) == 1), F.get(listed, F.lit(0)))
+
+
+def is_json_object(t: Column) -> Column:
+    return json_fields(t).isNotNull()
 
 
 def _answer_field(t: Column) -> Column:
-    """``answer`` of a text that is one JSON object, else null."""
-    return F.when(is_json_object(t), nonblank(F.get_json_object(t, "$.answer")))
+    """``answer`` of a text that is one JSON object, else null; of repeated fields the last one counts."""
+    entries = F.filter(F.map_entries(json_fields(t)), lambda e: e["key"] == "answer")
+    return nonblank(F.try_element_at(F.transform(entries, lambda e: e["value"]), F.lit(-1)))
 
 
 def json_answer(text: Col, stripped: bool = False) -> Column:

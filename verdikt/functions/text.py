@@ -30,6 +30,12 @@ def to_int(c: Col) -> Column:
     return F.when(col(c).rlike(r"^\s*-*\d+\s*$"), col(c).try_cast("bigint"))
 
 
+def json_int(c: Col) -> Column:
+    """Integer reading of a JSON number or text: also of numbers like 3.0 and of true and false."""
+    whole = F.when(col(c).rlike(r"^-?\d+\.0+$"), F.split(col(c), r"\.")[0].try_cast("bigint"))
+    return F.coalesce(to_int(c), whole, F.when(col(c) == "true", 1).when(col(c) == "false", 0).cast("bigint"))
+
+
 def round6(c: Column) -> Column:
     return F.round(c, 6)
 

@@ -58,7 +58,7 @@ def with_exam_dims(df: DataFrame, schema_version: str | None = None) -> DataFram
         "framing": F.when(c & (n >= 7), F.get(p, F.lit(6))),
     }
     t = F.coalesce(
-        F.when(ab & tpart.startswith("t"), to_int(F.substring(tpart, 2, 1 << 20))),
+        F.when(ab & tpart.startswith("t"), to_int(F.substr(tpart, F.lit(2)))),
         to_int(_have(df, "t").cast("string")),
         to_int(_have(df, "frame_idx").cast("string")),
     )

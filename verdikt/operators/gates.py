@@ -118,7 +118,7 @@ def encoding_valid(enc: Column) -> Column:
 
 def encoding_report(steps: DataFrame, enc: str = "encoding") -> DataFrame:
     """Per group: steps with an invalid encoding, the first of them, and the number of different shapes."""
-    shape = F.size(enc) * 10000 + F.size(F.get(F.col(enc), F.lit(0)))
+    shape = F.struct(F.size(enc), F.size(F.get(F.col(enc), F.lit(0))))
     bad = ~encoding_valid(F.col(enc))
     return steps.groupBy("group_id").agg(
         n_where(bad).alias("n_bad"), F.min(F.when(bad, F.col("t"))).alias("first_bad_t"), F.count_distinct(shape).alias("n_shapes")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -24,6 +25,11 @@ SECRET_KEYS = ["api_key", "apikey", "access_token", "refresh_token", "id_token",
 HARMLESS_KEYS = ["maxtokens", "maxcompletiontokens", "maxoutputtokens"]
 MASKED_CONTENT, MASKED_SECRET = "***MASKED_CONTENT***", "***MASKED_SECRET***"
 LETTERS = ["A", "B", "C", "D"]
+#: Default question for scenes; the exam builder may bring another one.
+SCENE_PROMPT = (
+    "Describe the scene as one JSON object with the keys agent (pos, dir, carrying), front_cell (pos, type, state) and objects "
+    "(a list of type, pos, color, state). Write nothing else."
+)
 
 
 # ---------------------------------------------------------------- prompt-safe columns
@@ -51,28 +57,32 @@ def with_contract(prompt: Column, contract: str) -> Column:
     return F.when(F.contains(p, F.lit(contract)), p).when(p == "", F.lit(contract)).otherwise(F.concat(p, F.lit("\n" + contract)))
 
 
-def request_prompt(task: Column, prompt: Column) -> Column:
-    """Prompt text by task: letters get their contract, verdicts a default question, labels stay as they are."""
+def request_prompt(task: Column, prompt: Column, scene_prompt: str = SCENE_PROMPT) -> Column:
+    """Prompt text by task: letters get their contract, scenes and verdicts a default question, labels stay as they are."""
     own = strip(F.coalesce(prompt, F.lit("")))
     return (
         F.when(task == "A", with_contract(prompt, LETTER_CONTRACT))
+        .when(task == "B", F.when(own == "", F.lit(scene_prompt)).otherwise(own))
         .when(task.isin("C", "D"), F.when(prompt.isNull(), F.lit(VERDICT_PROMPT)).otherwise(own))
         .otherwise(own)
     )
 
 
-def build_requests(exam: DataFrame, image_root: str = "", options: Mapping[str, str] | None = None) -> DataFrame:
+def build_requests(
+    exam: DataFrame, image_root: str = "", options: Mapping[str, str] | None = None, scene_prompt: str = SCENE_PROMPT, extras: Sequence[str] = ()
+) -> DataFrame:
     """Request rows of an exam: uid, prompt, images and the exam's dimensions.
 
-    Rows without uid or image are left out, and rows of task E without a prompt.
+    Rows without uid or image are left out, and rows of task E without a prompt.  ``extras`` names further exam columns
+    that go along.
     """
     # the exam's own task decides the prompt; the uid only fills the dimensions
     d = with_uid(exam).withColumns(
-        {"_prompt": request_prompt(F.col("task"), F.col("prompt")), "_image": F.concat(F.lit(image_root), nonblank("image"))}
+        {"_prompt": request_prompt(F.col("task"), F.col("prompt"), scene_prompt), "_image": F.concat(F.lit(image_root), nonblank("image"))}
     )
     d = d.filter(F.col("uid").isNotNull() & F.col("_image").isNotNull() & ((F.col("task") != "E") | (F.col("_prompt") != "")))
     d = with_exam_dims(d)
-    meta = F.struct(*[F.col(c) for c in ("uid", "task", "env_task", "group_id", "variant", "temporal", "visual", "framing", "t", "schema_version")])
+    meta = F.struct(*[F.col(c) for c in ("uid", "task", "env_task", "group_id", "variant", "temporal", "visual", "framing", "t", "schema_version", *extras)])
     out = d.select(
         "uid", F.col("uid").alias("exam_id"), "schema_version", F.array("_image").alias("images"), F.col("_prompt").alias("prompt"), meta.alias("exam")
     )
@@ -213,7 +223,7 @@ def to_response_rows(df: DataFrame, model: str, prefix: str = ERROR_PREFIX) -> D
     have = lambda c, t: F.col(c) if c in df.columns else F.lit(None).cast(t)
     raw = F.coalesce("raw", F.lit(""))
     bad = raw.startswith(prefix)
-    message = strip(F.substring(raw, len(prefix) + 1, 1 << 20))
+    message = strip(F.substr(raw, F.lit(len(prefix) + 1)))
     return df.withColumns(
         {
             "pred": F.when(bad, F.lit("")).otherwise(F.coalesce(have("pred", "string"), raw)),
@@ -226,38 +236,46 @@ def to_response_rows(df: DataFrame, model: str, prefix: str = ERROR_PREFIX) -> D
     )
 
 
-RESPONSE_SCHEMA = "uid string, raw string, ok boolean, error string, finish_reason string"
+RESPONSE_SCHEMA = "uid string, raw string, ok boolean, error string, finish_reason string, latency_ms double"
 
 Client = Callable[[list[str], list[str]], list[str]]
 
 
 def _answers(client: Client, uids: list[str], prompts: list[str], prefix: str) -> list[str]:
-    """Answers of one batch; if the batch fails, of its rows one by one."""
+    """Answers of one batch; if the batch fails or answers with anything but texts, of its rows one by one."""
     try:
         raws = list(client(uids, prompts))
-        if len(raws) == len(uids):
+        if len(raws) == len(uids) and all(isinstance(r, str) for r in raws):
             return raws
     except Exception:  # noqa: BLE001 - the batch is tried again row by row
         pass
     raws = []
     for u, p in zip(uids, prompts):
         try:
-            raws.append(client([u], [p])[0])
+            (raw,) = client([u], [p])
+            raws.append(raw if isinstance(raw, str) else f"{prefix} no text: {raw!r}")
         except Exception as e:  # noqa: BLE001 - a failed call is a row, never a failed task
             raws.append(f"{prefix} {type(e).__name__}: {e}")
     return raws
 
 
-def _call_batches(frames: Iterator[pd.DataFrame], make_client: Callable[[], Client], prefix: str) -> Iterator[pd.DataFrame]:
-    client = make_client()
+def _call_batches(frames: Iterator[pd.DataFrame], make_client: Callable[[], Client], prefix: str, batch: int) -> Iterator[pd.DataFrame]:
+    try:
+        client = make_client()
+    except Exception as e:  # noqa: BLE001 - without a client every row is an error row
+        failure = f"{prefix} {type(e).__name__}: {e}"
+        client = lambda uids, prompts: [failure] * len(uids)
     for pdf in frames:
-        out = pdf[["uid", "error", "finish_reason"]].assign(raw="", ok=False)
+        out = pdf[["uid", "error", "finish_reason"]].assign(raw="", ok=False, latency_ms=0.0)
         send = pdf[~pdf["blocked"]]
-        if len(send):
-            raws = _answers(client, list(send["uid"]), list(send["prompt"]), prefix)
-            out.loc[send.index, "raw"] = raws
-            out.loc[send.index, "ok"] = [not r.startswith(prefix) for r in raws]
-        yield out[["uid", "raw", "ok", "error", "finish_reason"]]
+        for k in range(0, len(send), batch):
+            part = send.iloc[k : k + batch]
+            began = time.perf_counter()
+            raws = _answers(client, list(part["uid"]), list(part["prompt"]), prefix)
+            out.loc[part.index, "latency_ms"] = (time.perf_counter() - began) * 1000 / len(part)
+            out.loc[part.index, "raw"] = raws
+            out.loc[part.index, "ok"] = [not r.startswith(prefix) for r in raws]
+        yield out[["uid", "raw", "ok", "error", "finish_reason", "latency_ms"]]
 
 
 def batch_infer(
@@ -268,20 +286,28 @@ def batch_infer(
     terms: Sequence[str] = (),
     shard: tuple[int, int] | None = None,
     prefix: str = ERROR_PREFIX,
+    batch: int = 64,
+    provider: str | None = None,
+    backend: str | None = None,
 ) -> DataFrame:
-    """Response rows of the requests that are still open.
+    """Response rows of the requests that are still open, with the columns of the response record.
 
-    Answered uids drop out, refused prompts become error rows without a call, and the rest goes to the
-    caller's client batch by batch (an Arrow batch is a request batch); the client is made once per task.
+    Answered uids drop out, refused prompts become error rows without a call, and the rest goes to the caller's client
+    in batches of ``batch`` prompts; the client is made once per task.  Whatever a client does is a row, never a failed task.
     """
     todo = unanswered(requests, log) if log is not None else requests
     if shard is not None:
         todo = hash_shard(todo, *shard)
+    meta = [c for c in ("exam_id", "schema_version", "exam") if c in requests.columns]
     scanned = payload_scan(todo.select("uid", "prompt"), terms)
     sent = scanned.select("uid", "prompt", "blocked", "error", "finish_reason").mapInPandas(
-        lambda frames: _call_batches(frames, make_client, prefix), RESPONSE_SCHEMA
+        lambda frames: _call_batches(frames, make_client, prefix, batch), RESPONSE_SCHEMA
+    )
+    rows = to_response_rows(sent, model, prefix).select("uid", "model", "pred", "raw", "ok", "error", "finish_reason", "latency_ms")
+    rows = rows.withColumns(
+        {"shard": F.lit(shard[0] if shard else 0), "provider": F.lit(provider).cast("string"), "backend": F.lit(backend).cast("string")}
     )
-    return to_response_rows(sent, model, prefix).select("uid", "model", "pred", "raw", "ok", "error", "finish_reason")
+    return rows.join(requests.select("uid", *meta).dropDuplicates(["uid"]).withColumnRenamed("schema_version", "exam_schema_version"), "uid", "left") if meta else rows
 
 
 def mock_responses(exam: DataFrame, rate: float, seed: object, label_space: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import parse as P
-from ..functions.text import ratio, strip, to_int
+from ..functions.text import json_int, ratio, strip
 
 # Component weights, the weights used when none is positive, and the pass mark.
 WEIGHTS = {"agent_pos": 0.30, "agent_dir": 0.00, "carrying": 0.15, "front_cell": 0.25, "objects_jaccard": 0.20}
@@ -16,6 +16,9 @@ PASS_MARK = 0.9
 STATEFUL = "door"
 UNKNOWN = "<unknown>"
 
+#: What ``read_scene`` adds.
+READ_COLUMNS = ["p_mode", "p_fence", "p_pos", "p_dir", "p_carry", "p_front", "p_keys", "p_has_carry", "p_has_objects"]
+
 
 def parse_weights(text: str | None) -> dict[str, float]:
     """``k=v,…`` over the default weights; parts that are no number are left out."""
@@ -172,41 +175,69 @@ def endpoint_picks(df: DataFrame, objects: str = "objects") -> DataFrame:
 
 def _pair(a: Column) -> Column:
     """A two-element list of numbers as struct(x, y), else null."""
-    x, y = to_int(F.get(a, F.lit(0))), to_int(F.get(a, F.lit(1)))
+    x, y = json_int(F.get(a, F.lit(0))), json_int(F.get(a, F.lit(1)))
     return F.when((F.size(a) == 2) & x.isNotNull() & y.isNotNull(), F.struct(x.alias("x"), y.alias("y")))
 
 
+def _kind(v: Column, path: str) -> Column:
+    """Type of a JSON value at a path: STRING, BOOLEAN, VOID, OBJECT<...>, ...; null where there is none."""
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+
+
+def _text(v: Column, path: str, value: Column) -> Column:
+    """A text field; values of other types do not count."""
+    return F.when(_kind(v, path) == "STRING", strip(value))
+
+
+def _state(v: Column, path: str, value: Column) -> Column:
+    """State as text: a number or a truth value in its shortest form."""
+    number = F.coalesce(json_int(value).cast("string"), value)
+    return F.when(_kind(v, path) == "STRING", strip(value)).otherwise(number)
+
+
 def read_scene(df: DataFrame, text: Column) -> DataFrame:
     """Canonical columns of the scene found in an answer text; ``p_mode`` says how it was found."""
     d = P.find_json_object(df, text).withColumns(
-        {"_o": F.from_json("j_text", P.SCENE_SCHEMA), "_agent": F.get_json_object("j_text", "$.agent")}
+        {"_o": F.from_json("j_text", P.SCENE_SCHEMA, {"allowSingleQuotes": "false"}), "_v": F.try_parse_json("j_text")}
+    )
+    carry, kind = F.col("_o.agent.carrying"), _kind(F.col("_v"), "$.agent.carrying")
+    as_obj = kind.startswith("OBJECT")
+    inner = F.try_variant_get("_v", "$.agent.carrying", "variant")
+    carry_type = (
+        F.when(as_obj, F.coalesce(_text(inner, "$.type", F.get_json_object(carry, "$.type")), F.lit(UNKNOWN)))
+        .when(kind == "STRING", strip(carry))
+        .otherwise(F.lit(UNKNOWN))
     )
-    carry = F.col("_o.agent.carrying")
-    as_obj = carry.startswith("{")
-    carry_type = F.when(as_obj, F.coalesce(strip(F.get_json_object(carry, "$.type")), F.lit(UNKNOWN))).otherwise(strip(carry))
-    carry_color = F.when(as_obj, strip(F.get_json_object(carry, "$.color")))
-    clean = F.transform(
-        "_o.objects",
-        lambda o: F.struct(strip(o["type"]).alias("type"), _pair(o["pos"]).alias("at"), strip(o["color"]).alias("color"), strip(o["state"]).alias("state")),
+    carry_color = F.when(as_obj, _text(inner, "$.color", F.get_json_object(carry, "$.color")))
+    values = F.try_variant_get("_v", "$.objects", "array<variant>")
+    clean = F.zip_with(
+        "_o.objects", values,
+        lambda o, v: F.struct(
+            _text(v, "$.type", o["type"]).alias("type"), _pair(o["pos"]).alias("at"), _text(v, "$.color", o["color"]).alias("color"),
+            _state(v, "$.state", o["state"]).alias("state"),
+        ),
+    )
+    front_cell = F.try_variant_get("_v", "$.front_cell", "variant")
+    d = d.withColumns(
+        {"_fpos": _pair(F.col("_o.front_cell.pos")), "_ftype": _text(front_cell, "$.type", F.col("_o.front_cell.type")), "_objs": clean, "_ckind": kind}
     )
-    d = d.withColumns({"_fpos": _pair(F.col("_o.front_cell.pos")), "_ftype": strip(F.col("_o.front_cell.type")), "_objs": clean})
     good = F.filter("_objs", lambda o: o["at"].isNotNull() & o["type"].isNotNull())
     keys = F.transform(good, lambda o: object_key(o["type"], o["at"]["x"], o["at"]["y"], o["color"], o["state"]))
     front = F.struct(
         F.col("_fpos.x").alias("x"), F.col("_fpos.y").alias("y"), F.col("_ftype").alias("type"),
-        semantic_state(F.col("_ftype"), strip(F.col("_o.front_cell.state"))).alias("state"),
+        semantic_state(F.col("_ftype"), _state(front_cell, "$.state", F.col("_o.front_cell.state"))).alias("state"),
     )
     return d.withColumns(
         {
             "p_pos": _pair(F.col("_o.agent.pos")),
-            "p_dir": to_int(F.col("_o.agent.dir")),
-            "p_carry": F.when(carry.isNotNull(), F.struct(carry_type.alias("type"), carry_color.alias("color"))),
+            "p_dir": json_int(F.col("_o.agent.dir")),
+            "p_carry": F.when(F.col("_ckind") != "VOID", F.struct(carry_type.alias("type"), carry_color.alias("color"))),
             "p_front": F.when(F.col("_fpos").isNotNull() & F.col("_ftype").isNotNull(), front),
             "p_keys": F.array_distinct(F.coalesce(keys, F.array().cast("array<string>"))),
-            "p_has_carry": F.coalesce(F.array_contains(F.json_object_keys("_agent"), "carrying"), F.lit(False)),
-            "p_has_objects": F.coalesce(F.get_json_object("j_text", "$.objects").startswith("["), F.lit(False)),
+            "p_has_carry": F.col("_ckind").isNotNull(),
+            "p_has_objects": F.coalesce(_kind(F.col("_v"), "$.objects").startswith("ARRAY"), F.lit(False)),
         }
-    ).withColumnsRenamed({"j_mode": "p_mode", "j_fence": "p_fence"}).drop("_o", "_agent", "_fpos", "_ftype", "_objs", "j_text")
+    ).withColumnsRenamed({"j_mode": "p_mode", "j_fence": "p_fence"}).drop("_o", "_v", "_fpos", "_ftype", "_objs", "_ckind", "j_text")
 
 
 def score_scenes(df: DataFrame, weights: Mapping[str, float] = WEIGHTS, pass_mark: float = PASS_MARK) -> DataFrame:

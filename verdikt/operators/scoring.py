@@ -8,22 +8,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import parse as P
 from ..functions.text import n_where, ratio, share
+from . import scenes as C
 from .joins import first_per_key, gold_left_join, last_per_key
 
 # Failure codes, by task, in order of precedence after missing and error.
 UNPARSED = {"A": "A_no_letter", "C": "C_no_label", "D": "D_no_label", "E": "E_parse_error"}
 MISSING_GOLD = {t: f"{t}_missing_gold" for t in "ACDE"}
 WRONG = {t: f"{t}_wrong" for t in "ACDE"}
+SCENE_UNPARSED, SCENE_MISSING_GOLD = "B_json_parse_error", "B_missing_gold"
+COMPONENTS = ["agent_pos", "agent_dir", "carrying", "front_cell", "objects_jaccard"]
 
 
-def parse_responses(responses: DataFrame, prefer: str = "raw", error_prefix: str = P.ERROR_PREFIX) -> DataFrame:
-    """Replace the answer text by its readings as letter, verdict and JSON label.
+def parse_responses(responses: DataFrame, prefer: str = "raw", error_prefix: str = P.ERROR_PREFIX, scenes: bool = False) -> DataFrame:
+    """Replace the answer text by its readings as letter, verdict and JSON label, and with ``scenes`` as scene.
 
     The task is only known after the join with gold.  Reading the text in all three ways first costs some
     CPU but keeps whole answer texts out of every shuffle that follows.
     """
     text = P.scored_text("raw", "pred", prefer)
     flagged = responses.withColumn("is_error", P.is_error("ok", "error", "raw", error_prefix))
+    if scenes:
+        flagged = C.read_scene(flagged, text)
     return P.read_answers(flagged, text).drop("raw", "pred", "error", "ok")
 
 
@@ -39,48 +44,94 @@ def _by_task(col: str, mapping: Mapping[str, str]) -> Column:
     return out
 
 
-def score(gold: DataFrame, responses: DataFrame, models: Sequence[str], keep: str = "first", prefer: str = "raw") -> DataFrame:
-    """Score rows of the exact-match tasks.
+def gold_scenes(gold: DataFrame) -> DataFrame:
+    """The scene of ``answer_json`` as g_* columns."""
+    read = C.read_scene(gold, F.col("answer_json"))
+    return read.withColumnsRenamed({c: "g" + c[1:] for c in C.READ_COLUMNS})
 
-    ``gold`` carries uid, task and the normalised ``gold`` answer.  A row fails for the first of: no
-    response, failed call, unreadable answer, no gold answer, wrong answer.
+
+def score(
+    gold: DataFrame,
+    responses: DataFrame,
+    models: Sequence[str],
+    keep: str = "first",
+    prefer: str = "raw",
+    error_prefix: str = P.ERROR_PREFIX,
+    weights: Mapping[str, float] = C.WEIGHTS,
+    pass_mark: float = C.PASS_MARK,
+) -> DataFrame:
+    """Score rows of all tasks.
+
+    ``gold`` carries uid, task and the normalised ``gold`` answer, and for scenes (task B) ``answer_json``.  A row
+    fails for the first of: no response, failed call, unreadable answer, no gold answer, wrong answer.  Scenes get a
+    weighted score and their components; they are read before the join as the other answers are.
     """
-    joined = gold_left_join(gold, dedupe(parse_responses(responses, prefer), keep), models)
+    scenes = "answer_json" in gold.columns
+    joined = gold_left_join(gold_scenes(gold) if scenes else gold, dedupe(parse_responses(responses, prefer, error_prefix, scenes), keep), models)
     reading = (
         F.when(F.col("task") == "A", F.col("as_letter"))
         .when(F.col("task").isin("C", "D"), F.col("as_verdict"))
         .when(F.col("task") == "E", F.col("as_json"))
     )
-    return grade(joined.withColumn("_read", reading))
+    joined = joined.withColumn("_read", reading)
+    if scenes:
+        joined = C.score_scenes(joined, weights, pass_mark).withColumnsRenamed({"score": "_b_score", "correct": "_b_correct", "failure": "_b_failure"})
+    return grade(joined)
 
 
 def grade(joined: DataFrame) -> DataFrame:
-    """Failure code, score and normalised answer from ``answered``, ``is_error``, ``_read`` and ``gold``."""
+    """Failure code, score and normalised answer from ``answered``, ``is_error``, ``_read`` and ``gold``.
+
+    Rows of task B need the columns of ``score_scenes``; without them the task is unknown.
+    """
     pred = F.col("_read.value")
-    known = F.col("task").isin(*UNPARSED)
+    scenes = "_b_score" in joined.columns
+    is_scene = (F.col("task") == "B") if scenes else F.lit(False)
+    known = F.col("task").isin(*UNPARSED) | is_scene
     failure = (
         F.when(~F.col("answered"), F.lit("missing_response"))
         .when(F.col("is_error"), F.lit("api_error"))
         .when(~known, F.lit("unknown_task"))
-        .when(pred.isNull(), _by_task("task", UNPARSED))
+    )
+    if scenes:
+        no_gold = ~F.coalesce(F.col("g_mode").isin("strict", "recoverable"), F.lit(False))
+        scene_failure = (
+            F.when(F.col("_b_failure") == SCENE_UNPARSED, F.col("_b_failure")).when(no_gold, F.lit(SCENE_MISSING_GOLD)).otherwise(F.col("_b_failure"))
+        )
+        failure = failure.when(is_scene, scene_failure)
+    failure = (
+        failure.when(pred.isNull(), _by_task("task", UNPARSED))
         .when(F.col("gold").isNull(), _by_task("task", MISSING_GOLD))
         .when(pred != F.col("gold"), _by_task("task", WRONG))
     )
     usable = F.col("answered") & ~F.coalesce(F.col("is_error"), F.lit(False)) & known
     readable = usable & pred.isNotNull() & F.col("gold").isNotNull()
-    drop = [c for c in ("as_letter", "as_verdict", "as_json", "_read", "n_copies", "attempt", "answer", "label") if c in joined.columns]
+    mode, correct, points = F.col("_read.mode"), F.col("failure").isNull(), F.when(F.col("failure").isNull(), 1.0).otherwise(0.0)
+    extra = {}
+    if scenes:
+        judged = is_scene & usable & ~F.coalesce(F.col("failure").isin(SCENE_UNPARSED, SCENE_MISSING_GOLD), F.lit(False))
+        mode = F.when(is_scene, F.col("p_mode")).otherwise(mode)
+        correct = F.when(is_scene, judged & F.col("_b_correct")).otherwise(correct)
+        points = F.when(is_scene, F.when(judged, F.col("_b_score")).otherwise(0.0)).otherwise(points)
+        extra = {
+            "b_components": F.when(judged, F.struct(*COMPONENTS, F.size("g_keys").alias("n_gold_objects"), F.size("p_keys").alias("n_pred_objects"))),
+            "failure_tags": F.when(judged, F.col("failure_tags")),
+        }
+    drop = ["as_letter", "as_verdict", "as_json", "_read", "n_copies", "attempt", "answer", "label", "answer_json", "_b_score", "_b_correct", "_b_failure"]
+    drop += [*COMPONENTS, *C.READ_COLUMNS, *("g" + c[1:] for c in C.READ_COLUMNS)] if scenes else []
     return (
         joined.withColumn("failure", failure)
         .withColumns(
             {
-                "parse_mode": F.when(usable, F.col("_read.mode")).otherwise(F.lit("fail")),
-                "verdict": F.when(usable, pred),
-                "pred_norm": F.when(readable, pred),
-                "correct": F.col("failure").isNull(),
-                "score": F.when(F.col("failure").isNull(), 1.0).otherwise(0.0),
+                "parse_mode": F.when(usable, mode).otherwise(F.lit("fail")),
+                "verdict": F.when(usable & ~is_scene, pred),
+                "pred_norm": F.when(readable & ~is_scene, pred),
+                "correct": correct,
+                "score": points,
+                **extra,
             }
         )
-        .drop(*drop)
+        .drop(*[c for c in drop if c in joined.columns])
     )
 
 
@@ -160,13 +211,15 @@ def bucket_table(scored: DataFrame, dims: Sequence[str], keys: Sequence[str] = (
     )
 
 
-def lenient_scores(gold: DataFrame, responses: DataFrame, models: Sequence[str], letters: str = "ABCD") -> DataFrame:
+def lenient_scores(
+    gold: DataFrame, responses: DataFrame, models: Sequence[str], letters: str = "ABCD", error_prefix: str = P.ERROR_PREFIX
+) -> DataFrame:
     """Letter scores where failed calls are parsed as well and may count as correct."""
     parsed = responses.select(
         "uid",
         "model",
         "ingest_seq",
-        P.is_error("ok", F.lit(None), "raw").alias("is_error"),
+        P.is_error("ok", F.lit(None), "raw", error_prefix).alias("is_error"),
         P.letter_answer(P.scored_text("raw", "pred", "pred"), letters).alias("_read"),
     )
     j = gold_left_join(gold, dedupe(parsed), models)

@@ -21,7 +21,6 @@ TABLES = (
 
 MODELS = ["m0", "m1", "m2"]
 EPISODE = 64
-FEW_SPLITS = 16
 
 VIEWS: dict[str, str] = {}
 
@@ -228,14 +227,8 @@ class Fixtures:
         self._views: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        """The table as it lies on disk; one of a few splits is dealt out to the idle cores first.
-
-        A file of one row group is read by one task, however small its splits.  From FEW_SPLITS on (at most
-        2 GB) the scan's own partitions are used and there is no extra exchange.
-        """
-        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, FEW_SPLITS) else df
+        """The table as it lies on disk, in the scan's own partitions."""
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def view(self, name: str) -> DataFrame:
         if name not in self._views and name in TABLES:

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import parse as P
-from ..operators import gates as G, joins as J, scenes as C
-from .fixtures import Fixtures
+from ..operators import gates as G, joins as J, scenes as C, scoring as S
+from .fixtures import MODELS, Fixtures
 from .registry import query
 
 
+COMPONENTS = S.COMPONENTS
+
+
 def _front_state(kind, state):
     return F.struct((F.col("ax") + 1).alias("x"), F.col("ay").alias("y"), kind.alias("type"), C.semantic_state(kind, state).alias("state"))
 
@@ -53,15 +56,48 @@ def scene_responses(fx: Fixtures) -> DataFrame:
         .when(F.col("fmt") == 6, no_agent)
         .otherwise(F.lit(""))
     )
-    return d.select("uid", raw.alias("raw"))
+    return d.select("uid", "scene_id", raw.alias("raw"))
 
 
 def scored_scenes(fx: Fixtures, **options) -> DataFrame:
     """Texts are read before the join, so only their canonical parts are shuffled."""
-    read = C.read_scene(scene_responses(fx), F.col("raw")).drop("raw")
+    read = C.read_scene(scene_responses(fx).drop("scene_id"), F.col("raw")).drop("raw")
     return C.score_scenes(gold_scenes(fx).drop("objects").join(read, "uid"), **options)
 
 
+def exam_b(fx: Fixtures) -> DataFrame:
+    """The exam of scenes with its answers as JSON objects; some rows have none."""
+    pos = lambda c: F.array(f"{c}.x", f"{c}.y").alias("pos")
+    objects = F.transform("objects", lambda o: F.struct(o["type"].alias("type"), F.array(o["px"], o["py"]).alias("pos"), o["color"].alias("color"), o["state"].alias("state")))
+    scene = F.struct(
+        F.struct(pos("g_pos"), F.col("g_dir").alias("dir"), F.col("g_carry").alias("carrying")).alias("agent"),
+        F.struct(pos("g_front"), F.col("g_front.type").alias("type"), F.col("g_front.state").alias("state")).alias("front_cell"), objects.alias("objects"),
+    )
+    return gold_scenes(fx).select("uid", F.lit("B").alias("task"), "env_task", "group_id", F.when(F.col("scene_id") % 29 != 0, scene).alias("answer_json"))
+
+
+def responses_b(fx: Fixtures) -> DataFrame:
+    """Each judge's scenes; m1 leaves some out and some calls of m2 fail."""
+    d = scene_responses(fx).withColumn("m", F.explode(F.array(*[F.lit(i) for i in range(len(MODELS))])))
+    ok = ~((F.col("m") == 2) & (F.col("scene_id") % 7 == 0))
+    d = d.filter(~((F.col("m") == 1) & (F.col("scene_id") % 5 == 0)))
+    return d.select(
+        "uid", F.concat(F.lit("m"), "m").alias("model"), F.lit(0).cast("bigint").alias("attempt"), F.lit(0).cast("bigint").alias("ingest_seq"), "raw",
+        F.col("raw").alias("pred"), ok.alias("ok"), F.when(~ok, F.lit("timeout")).alias("error"),
+    )
+
+
+@query("a4_scene_exam")
+def _(fx):
+    """Scenes through the scorer of all tasks: missing, failed and unreadable answers, and rows without gold."""
+    gold = exam_b(fx).select("uid", "task", "env_task", F.lit(None).cast("string").alias("gold"), F.to_json("answer_json", {"ignoreNullFields": "false"}).alias("answer_json"))
+    s = S.score(gold, responses_b(fx), MODELS)
+    return s.select(
+        "uid", "model", "failure", "parse_mode", "correct", F.round("score", 6).alias("score"), *[F.round(f"b_components.{c}", 6).alias(c) for c in COMPONENTS],
+        "b_components.n_gold_objects", "b_components.n_pred_objects", F.array_join("failure_tags", ",").alias("failure_tags"),
+    )
+
+
 @query("p12_view_coords")
 def _(fx):
     step = {0: (1, 0), 1: (0, 1), 2: (-1, 0), 3: (0, -1)}
@@ -95,9 +131,6 @@ def _(fx):
     )
 
 
-COMPONENTS = ["agent_pos", "agent_dir", "carrying", "front_cell", "objects_jaccard"]
-
-
 @query("a4_scene_score")
 def _(fx):
     s = scored_scenes(fx)

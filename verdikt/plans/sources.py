@@ -10,20 +10,23 @@ from ..session import scratch_dir
 from ..sources import jsonl as L, sinks
 from .fixtures import MODELS, Fixtures
 from .registry import query
+from .scenes import exam_b, responses_b
 from .scores import scored
 from .steps import trajectories
 
+TORN = "uid string, model string, attempt bigint, ingest_seq bigint, ok boolean, raw string"
 RESPONSE = "uid string, model string, attempt bigint, ingest_seq bigint, raw string, pred string, ok boolean, error string"
 
 
-def _sorted_files(df: DataFrame, key: str, n: int = 4) -> DataFrame:
-    """Rows in files whose name order and line order follow a key."""
-    return df.repartitionByRange(n, key).sortWithinPartitions(key)
+def _sorted_files(df: DataFrame, key: str) -> DataFrame:
+    """Rows in files whose name order and line order follow a key; as many files as the session has shuffle partitions."""
+    return df.repartitionByRange(key).sortWithinPartitions(key)
 
 
-def _log(fx: Fixtures) -> str:
+def _log(fx: Fixtures, more: DataFrame | None = None) -> str:
     path = scratch_dir(fx.spark, "responses")
-    sinks.write_jsonl(_sorted_files(fx("responses"), "ingest_seq"), path)
+    rows = fx("responses") if more is None else fx("responses").unionByName(more)
+    sinks.write_jsonl(_sorted_files(rows, "ingest_seq"), path)
     return path
 
 
@@ -35,8 +38,8 @@ def _(fx):
 
 def _torn(fx: Fixtures) -> str:
     """One file per model; some lines are cut in the middle."""
-    r = fx("responses").filter("uid NOT LIKE 'X.%'")
-    line = F.to_json(F.struct("uid", "model", "attempt", "ingest_seq", "ok"))
+    r = fx("responses")
+    line = F.to_json(F.struct("uid", "model", "attempt", "ingest_seq", "ok", "raw"))
     # ingest_seq is shared by the exams, so the uid completes the line order
     cut = (F.col("ingest_seq") > 300) & (F.col("ingest_seq") % 97 == 5)
     text = r.select("model", "ingest_seq", "uid", F.when(cut, F.substring(line, F.lit(1), F.length(line) - 9)).otherwise(line).alias("value"))
@@ -47,14 +50,14 @@ def _torn(fx: Fixtures) -> str:
 
 @query("s2_tolerant_drop")
 def _(fx):
-    d = L.read_jsonl_tolerant(fx.spark, _torn(fx), "uid string, model string, attempt bigint, ingest_seq bigint, ok boolean", "drop")
-    return d.select("uid", "model", "attempt", "ok")
+    d = L.read_jsonl_tolerant(fx.spark, _torn(fx), TORN, "drop")
+    return d.select("uid", "model", "attempt", "ok", F.md5(F.col("raw").cast("binary")).alias("raw_md5"))
 
 
 @query("s2_tolerant_prefix")
 def _(fx):
-    d = L.read_jsonl_tolerant(fx.spark, _torn(fx), "uid string, model string, attempt bigint, ingest_seq bigint, ok boolean", "prefix")
-    return d.select("uid", "model", "attempt", "ok")
+    d = L.read_jsonl_tolerant(fx.spark, _torn(fx), TORN, "prefix")
+    return d.select("uid", "model", "attempt", "ok", F.md5(F.col("raw").cast("binary")).alias("raw_md5"))
 
 
 @query("s3_read_shards")
@@ -78,6 +81,7 @@ def _exam_dir(fx: Fixtures) -> str:
             again = rows.filter("task = 'D' AND line_no % 40 = 0").withColumn("answer", F.lit("Fail"))
             part = part.unionByName(again)
         sinks.write_jsonl(part.select(*g.columns), f"{root}/{names[task]}")
+    sinks.write_jsonl(exam_b(fx), f"{root}/task_b_exam.jsonl")
     old = rows.filter("task = 'E' AND line_no % 50 = 0").withColumn("answer", F.lit("old_label"))
     sinks.write_jsonl(old.select(*g.columns), f"{root}/task_e_exam_v1.jsonl")
     return root
@@ -168,6 +172,6 @@ def _(fx):
     from ..operators.dims import normalise_gold
 
     gold = normalise_gold(L.load_gold(fx.spark, _exam_dir(fx)))
-    r = L.read_shards(fx.spark, _log(fx), RESPONSE).drop("ingest")
-    s = S.score(gold.select("uid", "task", "env_task", "gold"), r, MODELS)
+    r = L.read_shards(fx.spark, _log(fx, responses_b(fx)), RESPONSE).drop("ingest")
+    s = S.score(gold.select("uid", "task", "env_task", "gold", "answer_json"), r, MODELS)
     return S.score_rollup(s, [["model"], ["model", "task"]], ["overall", "task"])

@@ -122,7 +122,7 @@ def _(fx):
 
 @query("w10_prefix_frames")
 def _(fx):
-    e = fx("exam_e").filter("anchor_step <= query_step")
+    e = fx("exam_e")
     f = Q.prefix_frames(F.col("query_step"), F.col("anchor_step"))
     return e.select("uid", F.array_join(f, ",").alias("frames"), F.size(f).alias("n_frames"))
 
@@ -235,8 +235,9 @@ def _(fx):
 
 @query("v10_crossed_barrier")
 def _(fx):
-    hazards = fx("steps").filter("t % 16 = 1 AND grp % 8 <> 7").select("group_id", ((F.col("x") + 2) % 7).alias("hx"), ((F.col("y") + 3) % 7).alias("hy"))
-    return G.crossed_barrier(fx("steps").filter("t % 4 = 2"), hazards)
+    hazards = fx("steps").filter("t % 16 = 1 AND grp % 8 <> 7").select("group_id", ((F.col("x") + 2) % 7 + F.when(F.col("grp") % 3 == 0, 7).otherwise(0)).alias("hx"), ((F.col("y") + 3) % 7).alias("hy"))
+    # in every third group the hazards lie beside the path
+    return G.crossed_barrier(fx("steps"), hazards)
 
 
 @query("v11_mask_window")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,9 +29,16 @@ def build_session(app: str = "verdikt", master: str | None = None, **conf: str)
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder the cluster shares; a local folder only where none is named."""
+    """A fresh path below the folder the cluster shares (``spark.checkpoint.dir``).
+
+    Without that setting a local master gets a temporary folder; on a cluster each machine would write to its own disk
+    and the read back would miss rows, so there it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir names no shared folder, which master {master} needs for intermediate tables")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/verdikt-{name}-{uuid.uuid4().hex}"
 

@@ -36,10 +36,10 @@ def first_answers(log: DataFrame, delay: str, ts: str = "ts") -> DataFrame:
     return log.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["model", "uid"])
 
 
-def running_accuracy(log: DataFrame, gold: DataFrame, every: str, delay: str) -> DataFrame:
+def running_accuracy(log: DataFrame, gold: DataFrame, every: str, delay: str, error_prefix: str = P.ERROR_PREFIX) -> DataFrame:
     """Answers joined to static gold and graded; counts per period, model and task add up to the accuracy so far."""
     text = P.scored_text("raw", "pred")
-    flagged = log.withColumn("is_error", P.is_error("ok", "error", "raw")).withColumn("answered", F.lit(True))
+    flagged = log.withColumn("is_error", P.is_error("ok", "error", "raw", error_prefix)).withColumn("answered", F.lit(True))
     parsed = P.read_answers(flagged, text).drop("raw", "pred", "error", "ok")
     reading = (
         F.when(F.col("task") == "A", F.col("as_letter"))
