@@ -10,12 +10,47 @@ from .fixtures import Fixtures
 from .registry import query
 
 
+PARTS = 4
+FILES_PER_TRIGGER = 1
+
+
+def _arrived(fx: Fixtures, part: Column, name: str, repeats: bool = False) -> str:
+    """The events as files that arrive one after the other; ``part`` says in which one a row comes.
+
+    With ``repeats`` every tenth row comes again, one file later, as another answer.
+    """
+    path = scratch_dir(fx.spark, name)
+    e = fx.spark.read.parquet(f"{fx.dir}/events.parquet").withColumn("_part", part)
+    e = e.withColumn("again", F.lit(False))
+    if repeats:
+        e = e.unionByName(e.filter("event_id % 10 = 0").withColumns({"_part": F.col("_part") + 1, "again": F.lit(True)}))
+    for k in range(PARTS + repeats):
+        e.filter(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    # the row that closes the log
+    last = e.filter("NOT again").orderBy("event_id").limit(1).withColumns({"event_id": F.lit(-1).cast("bigint"), "user_id": F.lit(-1).cast(e.schema["user_id"].dataType), "ts": T.closing_time(e)})
+    last.drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _by_time(fx: Fixtures) -> Column:
+    """Parts of equal time; half of the rows of a part's last half hour come late, with the next part."""
+    e = fx.spark.read.parquet(f"{fx.dir}/events.parquet")
+    span = e.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    width = (span.b - span.a).total_seconds() / PARTS + 1
+    since = F.timestamp_diff("SECOND", F.lit(span.a).cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    late = (F.pmod(since, F.lit(width)) > width - 1800) & (F.col("event_id") % 2 == 0)
+    return F.least(F.lit(PARTS - 1), F.floor(since / width) + late.cast("int"))
+
+
 class StreamFixtures(Fixtures):
-    """The same views over tables that are read as streams."""
+    """The same views over tables that are read as streams, a file at a time."""
+
+    def __init__(self, spark, sf_dir: str, path: str):
+        super().__init__(spark, sf_dir)
+        self.path = path
 
     def table(self, name: str) -> DataFrame:
-        # a pattern is read alike whether the table is one file or a folder
-        return T.open_stream(self.spark, f"{self.dir}/{name}.parque[t]", files_per_trigger=1000)
+        return T.open_stream(self.spark, self.path, files_per_trigger=FILES_PER_TRIGGER)
 
 
 def epoch() -> Column:
@@ -38,19 +73,20 @@ def _run(fx: Fixtures, df: DataFrame, name: str) -> DataFrame:
     return d.select(*[wall_clock(f.name) if f.dataType.typeName() == "timestamp" else F.col(f.name) for f in df.schema.fields])
 
 
-def _calls(fx: Fixtures) -> DataFrame:
-    e = StreamFixtures(fx.spark, fx.dir).table("events")
-    return e.select(instant("ts").alias("ts"), "user_id", F.concat(F.lit("m"), F.col("user_id") % 3).alias("model"), (F.col("event_type") != "error").alias("ok"), "event_id", "value")
+def _calls(fx: Fixtures, repeats: bool = False) -> DataFrame:
+    e = StreamFixtures(fx.spark, fx.dir, _arrived(fx, _by_time(fx), "calls", repeats)).table("events")
+    return e.select(instant("ts").alias("ts"), "again", "user_id", F.concat(F.lit("m"), F.col("user_id") % 3).alias("model"), (F.col("event_type") != "error").alias("ok"), "event_id", "value")
 
 
 @query("st1_first_answers")
 def _(fx):
-    log = _calls(fx).withColumn("uid", F.concat(F.lit("q"), F.floor("value")))
-    return _run(fx, T.first_answers(log.select("ts", "model", "uid"), "90 days"), "st1").select("model", "uid")
+    """Of an answer and its repetition the first one wins."""
+    answer = F.when(F.col("again"), F.lit("again")).otherwise(F.concat(F.lit("first "), F.floor("value")))
+    log = _calls(fx, repeats=True).select("ts", "model", F.concat(F.lit("q"), "event_id").alias("uid"), answer.alias("answer"))
+    return _run(fx, T.first_answers(log, "90 days"), "st1").filter("uid <> 'q-1'").select("model", "uid", "answer")
 
 
-@query("st2_running_accuracy")
-def _(fx):
+def _accuracy(fx: Fixtures) -> DataFrame:
     answers = F.array(*[F.lit(x) for x in ('{"answer": "holding"}', '{"answer": "dropped"}', "no idea", "__ERR__: 500")])
     log = _calls(fx).select(
         "ts", "model", F.get(answers, (F.col("event_id") % 5 % 4).cast("int")).alias("raw"), F.lit("").alias("pred"), "ok", F.lit(None).cast("string").alias("error"),
@@ -60,6 +96,16 @@ def _(fx):
     return _run(fx, T.running_accuracy(log, gold, "1 day", "1 hour"), "st2")
 
 
+@query("st2_running_accuracy")
+def _(fx):
+    return _accuracy(fx)
+
+
+@query("st2_accuracy_so_far")
+def _(fx):
+    return T.accuracy_so_far(_accuracy(fx))
+
+
 @query("st3_throughput_tumbling")
 def _(fx):
     return _run(fx, T.throughput(_calls(fx), F.window("ts", "1 hour"), "2 hours"), "st3t")
@@ -77,4 +123,6 @@ def _(fx):
 
 @query("st5_event_tracker")
 def _(fx):
-    return _run(fx, T.track_events(StreamFixtures(fx.spark, fx.dir)("steps")), "st5")
+    """Every file brings the next quarter of each episode."""
+    path = _arrived(fx, F.floor(F.col("event_id") % 64 * PARTS / 64), "steps")
+    return _run(fx, T.track_events(StreamFixtures(fx.spark, fx.dir, path)("steps").filter("event_id >= 0")), "st5")

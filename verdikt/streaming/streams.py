@@ -1,7 +1,9 @@
 """Structured Streaming over the response log and over arriving steps.
 
 All results go to a file sink in append mode: exactly once, restartable from the checkpoint, and no state
-is collected on the driver.  Windows are written when the watermark has passed them.
+is collected on the driver.  Windows are written when the watermark has passed them; a log that has ended is closed by
+one row far behind it (``closing_time``), which lets the watermark pass all that is open and opens a window that is
+never written itself.
 """
 
 from __future__ import annotations
@@ -9,11 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from ..functions import parse as P
-from ..functions.text import n_where
+from ..functions.text import n_where, ratio
 from ..operators.scoring import grade
 
 
@@ -31,6 +33,22 @@ def run_available(df: DataFrame, out: str, checkpoint: str, fmt: str = "parquet"
     q.trigger(availableNow=True).start().awaitTermination()
 
 
+def closing_time(df: DataFrame, ts: str = "ts", after: str = "365 days") -> Column:
+    """Time of a row that closes a log: later than any window or gap that may still be open."""
+    last = df.agg(F.max(ts).alias("last")).first().last
+    return F.lit(last) + F.expr(f"INTERVAL {after}")
+
+
+def accuracy_so_far(periods: DataFrame, keys: tuple[str, ...] = ("model", "task")) -> DataFrame:
+    """Counts and accuracy from the first period on, from the rows that ``running_accuracy`` has written.
+
+    There is one row per period and key, however many answers came.
+    """
+    w = Window.partitionBy(*keys).orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
+    totals = {c: F.sum(c).over(w) for c in ("n", "n_correct", "n_error")}
+    return periods.withColumns(totals).withColumn("accuracy", F.round(ratio(F.col("n_correct"), F.col("n")), 6))
+
+
 def first_answers(log: DataFrame, delay: str, ts: str = "ts") -> DataFrame:
     """The first answer of each model and uid to arrive; duplicates up to ``delay`` later are dropped."""
     return log.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["model", "uid"])
@@ -80,9 +98,10 @@ def _track(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Ite
     """Events of one group's new steps; what is carried and what was held before is kept as state."""
     carry, held = state.get if state.exists else (None, [])
     held = set(held)
-    steps = pd.concat(list(frames)).sort_values("t")
+    # frames come in any order; only the two columns that matter are kept until they are sorted
+    steps = sorted(((t, c) for f in frames for t, c in zip(f["t"], f["carry"])), key=lambda x: x[0])
     out = []
-    for t, now in zip(steps["t"], steps["carry"]):
+    for t, now in steps:
         now = None if pd.isna(now) else now
         if now is not None and carry is None:
             out.append((key[0], t, "reacquire" if now in held else "pickup", now))
