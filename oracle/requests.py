@@ -94,6 +94,11 @@ add("a20_composition", "exam_a", " UNION ALL ".join(
 add("s9_manifest", "exam_c", """
 SELECT 'exam.v1' AS schema_version, count(*) AS n_rows, count(DISTINCT env_task) AS n_env_task, count(DISTINCT group_id) AS n_group_id,
  count(DISTINCT variant) AS n_variant, count(DISTINCT family) AS n_family FROM exam_c""")
+add("s9_manifest_written", "exam_c", """
+SELECT 'build' AS section, 'schema_version' AS key, 'exam.v1' AS value UNION ALL SELECT 'build', 'n_rows', count(*)::varchar FROM exam_c
+UNION ALL SELECT 'build', 'n_env_task', count(DISTINCT env_task)::varchar FROM exam_c UNION ALL SELECT 'build', 'n_family', count(DISTINCT family)::varchar FROM exam_c
+UNION ALL SELECT 'family', family, count(*)::varchar FROM exam_c GROUP BY family
+UNION ALL SELECT 'env_task+variant', concat_ws('|', env_task, variant), count(*)::varchar FROM exam_c GROUP BY env_task, variant""")
 add("u6_other_labels", "exam_e", """
 SELECT uid, array_to_string(list_filter(['holding', 'dropped', 'key_red', 'lost'], lambda a: a <> answer), ',') AS others FROM exam_e""")
 add("i1_batch_infer", "exam_a exam_c exam_d exam_e responses", V_EXAM + """

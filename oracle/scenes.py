@@ -121,12 +121,12 @@ add("v16_payload_scan", "", f"""
 SELECT conv_id, turn, v AS violations, v <> '' AS blocked, CASE WHEN v <> '' THEN concat('D7_VIOLATION:', v) END AS error,
  CASE WHEN v <> '' THEN 'd7_rejected' END AS finish_reason FROM (SELECT conv_id, turn, {FOUND} AS v FROM conversations) x""")
 add("v13_exam_gates", "exam_e", """
-SELECT gate, n_bad, n_bad = 0 AS passed FROM (
-SELECT 'future_steps' AS gate, count(*) FILTER (WHERE anchor_step > query_step) AS n_bad FROM exam_e
-UNION ALL SELECT 'answer_outside_space', count(*) FILTER (WHERE answer NOT IN ('holding', 'dropped', 'key_red')) FROM exam_e
-UNION ALL SELECT 'uid_unique', count(*) FROM (SELECT uid FROM exam_e GROUP BY uid HAVING count(*) > 1)
-UNION ALL SELECT 'asset_missing', count(*) FROM exam_e WHERE item_no % 101 = 0
-UNION ALL SELECT 'duplicate_query', count(*) FROM (SELECT 1 FROM exam_e GROUP BY group_id, query_type, query_step HAVING count(*) > 1)) g""")
+SELECT gate, n_bad, n_bad = 0 AS passed, sample FROM (
+SELECT 'future_steps' AS gate, count(*) AS n_bad, min(uid) AS sample FROM exam_e WHERE anchor_step > query_step
+UNION ALL SELECT 'answer_outside_space', count(*), min(uid) FROM exam_e WHERE answer NOT IN ('holding', 'dropped', 'key_red')
+UNION ALL SELECT 'uid_unique', count(*), min(uid) FROM (SELECT uid FROM exam_e GROUP BY uid HAVING count(*) > 1)
+UNION ALL SELECT 'asset_missing', count(*), min(image) FROM exam_e WHERE item_no % 101 = 0
+UNION ALL SELECT 'duplicate_query', count(*), min(k) FROM (SELECT concat_ws('|', group_id, query_type, query_step) AS k FROM exam_e GROUP BY group_id, query_type, query_step HAVING count(*) > 1)) g""")
 add("v18_filter_members", "exam_d", """
 SELECT uid, env_task, variant, subtask FROM exam_d WHERE variant IN ('full', 'nocue') AND subtask IN ('BUILDING', 'MACHINERY', 'FURNITURE')
  AND NOT (env_task = 'memory' AND variant = 'nocue')""")

@@ -213,10 +213,11 @@ FROM (SELECT p.uid, p.env_task, cast(p.correct AS int) AS x, cast(q.correct AS i
       FROM scored_c p JOIN scored_c q ON p.uid = q.uid WHERE p.model = 'm0' AND q.model = 'm1') z GROUP BY env_task""")
 add("a19_model_comparison", "scored", "SELECT task, " + ", ".join(
     f"round(avg(CASE WHEN model = '{m}' THEN cast(correct AS int) END), 6) AS acc_{m}" for m in ("m0", "m1", "m2")) + " FROM scored GROUP BY task")
+add("j4_hash_shard", "gold_rows", "SELECT uid, task FROM gold_rows WHERE ('0x' || substr(md5(uid), 1, 8))::BIGINT % 4 = 1")
 add("a22_usage_rollup", "", """
 SELECT concat('m', user_id % 3) AS model, count(*) AS n_calls, sum(event_id % 100)::bigint AS prompt_tokens,
  sum(event_id % 7)::bigint AS completion_tokens, sum(event_id % 100 + event_id % 7)::bigint AS total_tokens,
- round(avg(value), 6) AS mean_latency, max(value) AS max_latency,
+ round(avg(value), 6) AS mean_latency, max(value) AS max_latency, round(quantile_cont(value, 0.5), 6) AS latency_p50, round(quantile_cont(value, 0.95), 6) AS latency_p95,
  round(avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END), 6) AS ok_rate FROM events GROUP BY 1""")
 add("w15_failure_examples", "scored", """
 SELECT failure, uid, model, task, row_number() OVER (PARTITION BY failure ORDER BY uid, model) AS rank

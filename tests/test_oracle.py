@@ -11,8 +11,8 @@ from verdikt.plans.registry import all_queries
 # queries of the optional subpackage are tested beside it
 QUERIES = all_queries()
 ORACLE = all_sql()
-# no SQL: a hash DuckDB lacks, a sequential choice, file times, file sizes
-WITHOUT_SQL = {"j4_hash_shard", "k4_quota_sample", "k4_mandatory_audit", "k4_focused_audit", "s5_latest_run", "s10_file_inventory"}
+# no SQL: a sequential choice
+WITHOUT_SQL = {"k4_quota_sample", "k4_mandatory_audit", "k4_focused_audit"}
 
 
 def test_every_query_has_sql():

@@ -336,10 +336,14 @@ def masked_cell_diff(cells: DataFrame, left: str = "v", right: str = "v_nocue")
 
 
 def exam_gates(exam: DataFrame, inventory: DataFrame, label_space: Sequence[str], steps: str = "selected_steps") -> DataFrame:
-    """One row per gate: how many rows or keys break it."""
+    """One row per gate: how many rows or keys break it, and the first one that does as ``sample``."""
+
+    def broken(cond: Column, what: Column, name: str) -> Column:
+        return F.struct(n_where(cond).alias("n_bad"), F.min(F.when(cond, what)).alias("sample")).alias(name)
+
     one = exam.agg(
-        n_where(F.exists(steps, lambda s: s > F.col("query_step"))).alias("future_steps"),
-        n_where(~F.coalesce(F.col("answer").isin(*label_space), F.lit(False))).alias("answer_outside_space"),
+        broken(F.exists(steps, lambda s: s > F.col("query_step")), F.col("uid"), "future_steps"),
+        broken(~F.coalesce(F.col("answer").isin(*label_space), F.lit(False)), F.col("uid"), "answer_outside_space"),
     )
     # both uniqueness gates in one aggregation: a row stands once for its uid and once for its question
     part = ["uid", "group_id", "query_type", "query_step"]
@@ -348,12 +352,12 @@ def exam_gates(exam: DataFrame, inventory: DataFrame, label_space: Sequence[str]
     )
     keys = F.explode(F.array(key("uid_unique", part[:1]), key("duplicate_query", part[1:])))
     dup = exam.select(keys.alias("k")).select("k.*").groupBy("gate", *part).count().filter("count > 1")
-    two = dup.agg(*[n_where(F.col("gate") == g).alias(g) for g in ("uid_unique", "duplicate_query")])
+    two = dup.agg(*[broken(F.col("gate") == g, F.concat_ws("|", *part), g) for g in ("uid_unique", "duplicate_query")])
     lost = exam.select("image").join(inventory.select(F.col("path").alias("image")).distinct(), "image", "left_anti")
-    three = lost.agg(F.count("*").alias("asset_missing"))
+    three = lost.agg(broken(F.lit(True), F.col("image"), "asset_missing"))
 
     def as_rows(df: DataFrame) -> DataFrame:
-        pairs = F.array(*[F.struct(F.lit(c).alias("gate"), F.col(c).alias("n_bad")) for c in df.columns])
+        pairs = F.array(*[F.struct(F.lit(c).alias("gate"), F.col(f"{c}.n_bad").alias("n_bad"), F.col(f"{c}.sample").alias("sample")) for c in df.columns])
         return df.select(F.explode(pairs).alias("g")).select("g.*")
 
     out = as_rows(one).unionByName(as_rows(two)).unionByName(as_rows(three))

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import stable_int
+
 SPREAD = 16
 BLOCK = 4096
 
@@ -83,8 +85,8 @@ def unanswered(requests: DataFrame, log: DataFrame, keys: Sequence[str] = ("uid"
 
 
 def shard(df: DataFrame, n: int, k: int, key: str = "uid") -> DataFrame:
-    """The k-th of n hash shards of the rows."""
-    return df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == k)
+    """The k-th of n hash shards of the rows; the hash is one that other engines have as well."""
+    return df.filter(F.pmod(stable_int(F.col(key).cast("string")), F.lit(n)) == k)
 
 
 def representation_pairs(responses: DataFrame, left: str, right: str, value: Column, by: str = "model") -> DataFrame:

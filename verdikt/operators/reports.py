@@ -26,6 +26,16 @@ def composition(df: DataFrame, dims: Sequence[str]) -> DataFrame:
     return df.select(pairs.alias("p")).groupBy("p.dim", "p.value").agg(F.count("*").alias("n"))
 
 
+def manifest_rows(df: DataFrame, dims: Sequence[str], sets: Sequence[Sequence[str]], **config: str) -> DataFrame:
+    """The manifest as rows that can be written beside a build: settings, counts and distributions, as (section, key, value)."""
+    head = manifest(df, dims, **config)
+    facts = F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in head.columns]))
+    shown = distribution(df, sets)
+    names = list(dict.fromkeys(d for s in sets for d in s))
+    keyed = shown.select(F.col("breakdown").alias("section"), F.concat_ws("|", *names).alias("key"), F.col("n").cast("string").alias("value"))
+    return head.select(F.lit("build").alias("section"), facts.alias("f")).select("section", "f.*").unionByName(keyed)
+
+
 def manifest(df: DataFrame, dims: Sequence[str], **config: str) -> DataFrame:
     """One row about a build: its settings, row count, and number of different values per dimension."""
     counts = [F.count_distinct(d).alias(f"n_{d}") for d in dims]

@@ -344,8 +344,11 @@ def enriched_export(gold: DataFrame, scored: DataFrame) -> DataFrame:
     )
 
 
-def usage_rollup(calls: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Calls, tokens, latency and success rate per key."""
+def usage_rollup(calls: DataFrame, keys: Sequence[str], percentiles: Sequence[int] = (50, 95)) -> DataFrame:
+    """Calls, tokens, latency with exact percentiles, and success rate per key.
+
+    A percentile counts the different latencies of a key, so latencies in milliseconds keep it small.
+    """
     return calls.groupBy(*keys).agg(
         F.count("*").alias("n_calls"),
         F.sum("prompt_tokens").alias("prompt_tokens"),
@@ -353,5 +356,6 @@ def usage_rollup(calls: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"),
         F.round(F.avg("latency_ms"), 6).alias("mean_latency"),
         F.max("latency_ms").alias("max_latency"),
+        *[F.round(F.percentile("latency_ms", p / 100), 6).alias(f"latency_p{p}") for p in percentiles],
         F.round(share(F.col("ok")), 6).alias("ok_rate"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.text import round6
 from ..operators import dims as D, reports as M, requests as R, sequence as Q
 from ..operators.sets import other_labels
+from ..session import scratch_dir
 from .fixtures import Fixtures
 from .registry import query
 from .steps import trajectories
@@ -175,6 +176,13 @@ def _(fx):
     return M.manifest(fx("exam_c"), ["env_task", "group_id", "variant", "family"], schema_version="exam.v1")
 
 
+@query("s9_manifest_written")
+def _(fx):
+    path = scratch_dir(fx.spark, "manifest")
+    M.manifest_rows(fx("exam_c"), ["env_task", "family"], [["family"], ["env_task", "variant"]], schema_version="exam.v1").write.json(path)
+    return fx.spark.read.schema("section string, key string, value string").json(path)
+
+
 @query("u6_other_labels")
 def _(fx):
     space = F.array(*[F.lit(x) for x in [*LABELS, "lost"]])

@@ -94,11 +94,13 @@ def _(fx):
 
 @query("s5_latest_run")
 def _(fx):
+    """Each judge's log is a run; what the newest one holds is read back."""
     root = scratch_dir(fx.spark, "runs")
-    for run in ("run_1", "_requests", "run_2"):
-        fx("responses").select("uid", "raw").filter("model IS NOT NULL").write.json(f"{root}/{run}")
-    found = L.latest_run(fx.spark, root, "*.json")
-    return found.select("run", (F.length("path") > 0).alias("has_path"))
+    for run, model in (("run_1", "m0"), ("_requests", "m1"), ("run_2", "m2")):
+        fx("responses").filter(F.col("model") == model).select("uid", "model", "raw").write.json(f"{root}/{run}")
+    newest = L.latest_run(fx.spark, root, "*.json").first()
+    rows = fx.spark.read.schema("uid string, model string, raw string").json(newest.path.rsplit("/", 1)[0])
+    return rows.groupBy(F.lit(newest.run).alias("run"), "model").agg(F.count("*").alias("n"), F.count_distinct("uid").alias("n_uids"), F.sum(F.length("raw")).alias("chars"))
 
 
 @query("s6_read_trajectories")
@@ -156,9 +158,26 @@ def _(fx):
     return again.groupBy("model").agg(F.count("*").alias("n_lines"), F.count_distinct("uid").alias("n_uids"), F.sum("ingest_seq").alias("seq_sum"))
 
 
+@query("s7_model_scores")
+def _(fx):
+    """The table of models and tasks, written beside the score rows and read back."""
+    path = scratch_dir(fx.spark, "model-scores")
+    S.score_rollup(scored(fx), [["model"], ["model", "task"]], ["overall", "task"]).write.json(path)
+    schema = "level string, model string, task string, n bigint, mean_score double, acc double, api_error_rate double, missing_rate double"
+    return fx.spark.read.schema(schema).json(path)
+
+
+BUNDLE = 64
+
+
 @query("s10_file_inventory")
 def _(fx):
-    return L.file_inventory(fx.spark, fx.dir, "*.parquet").select("name", "length")
+    """The documents as assets, bundles of a few texts in a file each, with size and hash."""
+    path = scratch_dir(fx.spark, "assets")
+    d = fx("documents").select(F.floor(F.col("doc_id") / BUNDLE).alias("bundle"), "doc_id", "text")
+    d.repartition("bundle").sortWithinPartitions("bundle", "doc_id").select("bundle", "text").write.partitionBy("bundle").text(path)
+    files = L.file_inventory(fx.spark, path, "*.txt", with_hash=True)
+    return files.select(F.regexp_extract("path", "bundle=(\\d+)", 1).cast("bigint").alias("bundle"), "length", "hash")
 
 
 @query("v3_contract_report")
