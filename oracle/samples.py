@@ -62,16 +62,29 @@ SELECT * FROM (SELECT i.group_id, i.t, n.group_id AS ng, n.t AS nt, n.sig, {PEN}
                QUALIFY row_number() OVER (PARTITION BY i.group_id, i.t, n.sig ORDER BY score, n.t) = 1) x
 QUALIFY row_number() OVER (PARTITION BY group_id, t ORDER BY score, nt) <= 2
 """
+V["pool_reps"] = """
+SELECT env_task, action, sig, group_id, min(t) AS t, dense_rank() OVER (PARTITION BY env_task, action ORDER BY sig) - 1 AS idx,
+ row_number() OVER (PARTITION BY env_task, action, sig ORDER BY group_id) AS rep
+FROM {trans} GROUP BY env_task, action, sig, group_id
+"""
+NUM = "('0x' || substr(md5(concat_ws('|', '7|{}', i.group_id, i.t)), 1, 8))::BIGINT"
 V["looked"] = f"""
-SELECT * FROM (SELECT i.group_id, i.t, n.group_id AS ng, n.t AS nt, n.sig, {PEN} AS score, md5(concat_ws('|', '7|pool', n.group_id, n.t)) AS ord
-      FROM {{items}} i JOIN {{trans}} n ON n.env_task = i.env_task AND n.action = i.action AND n.group_id <> i.group_id AND n.sig <> i.sig
-      QUALIFY row_number() OVER (PARTITION BY i.group_id, i.t, n.sig ORDER BY ord) = 1) x
-QUALIFY row_number() OVER (PARTITION BY group_id, t ORDER BY ord) <= 10
+SELECT l.group_id, l.t, n.group_id AS ng, n.t AS nt, n.sig, draw, {PEN} AS score
+FROM (SELECT * FROM (
+  SELECT q.group_id, q.t, q.draw, r.sig, r.group_id AS ng, r.t AS nt
+  FROM (SELECT i.group_id, i.t, i.sig AS true_sig, i.env_task, i.action, draw, (s % n * draw + {NUM.format('start')}) % n AS idx
+        FROM (SELECT i.*, n, unnest(range(n)) AS draw,
+               [2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497][1 + {NUM.format('step')} % 8] AS s
+              FROM {{items}} i JOIN (SELECT env_task, action, count(DISTINCT sig) AS n FROM {{pool_reps}} GROUP BY ALL) c ON c.env_task = i.env_task AND c.action = i.action) i) q
+  JOIN {{pool_reps}} r ON r.env_task = q.env_task AND r.action = q.action AND r.idx = q.idx AND r.group_id <> q.group_id AND r.sig <> q.true_sig
+  QUALIFY row_number() OVER (PARTITION BY q.group_id, q.t, q.draw ORDER BY r.group_id) = 1) x
+ QUALIFY row_number() OVER (PARTITION BY group_id, t ORDER BY draw) <= 10) l
+JOIN {{items}} i ON i.group_id = l.group_id AND i.t = l.t JOIN {{trans}} n ON n.group_id = l.ng AND n.t = l.nt
 """
 V["negs"] = """
-SELECT *, row_number() OVER (PARTITION BY group_id, t ORDER BY pool, score, CASE WHEN pool = 0 THEN lpad(cast(nt AS varchar), 9, '0') ELSE ord END) - 1 AS rank
-FROM (SELECT group_id, t, ng, nt, score, 0 AS pool, '' AS ord FROM {own_negs} UNION ALL
-      SELECT l.group_id, l.t, l.ng, l.nt, l.score, 1, l.ord FROM {looked} l
+SELECT *, row_number() OVER (PARTITION BY group_id, t ORDER BY pool, score, CASE WHEN pool = 0 THEN nt ELSE draw END) - 1 AS rank
+FROM (SELECT group_id, t, ng, nt, score, 0 AS pool, 0 AS draw FROM {own_negs} UNION ALL
+      SELECT l.group_id, l.t, l.ng, l.nt, l.score, 1, l.draw FROM {looked} l
       WHERE NOT EXISTS (SELECT 1 FROM {own_negs} o WHERE o.group_id = l.group_id AND o.t = l.t AND o.sig = l.sig)) u QUALIFY rank < 3
 """
 V["made"] = """
@@ -83,9 +96,5 @@ add("k6_hard_negatives", "negs made", """
 SELECT n.group_id, n.t, n.rank, n.ng AS neg_group, n.nt AS neg_t, round(n.score, 6) AS score, CASE WHEN n.pool = 0 THEN 'own' ELSE 'pool' END AS source
 FROM negs n JOIN made m ON m.group_id = n.group_id AND m.t = n.t WHERE m.reason = 'made'""")
 add("k6_skip_reasons", "made", "SELECT env_task, reason, count(*) AS n FROM made GROUP BY ALL")
-add("j10_candidate_pool", "trans", """
-, o AS (SELECT *, md5(concat_ws('|', '7|pool', group_id, t)) AS ord FROM trans),
-m1 AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY env_task, action, sig, group_id ORDER BY ord, t) = 1),
-m2 AS (SELECT * FROM m1 QUALIFY row_number() OVER (PARTITION BY env_task, action, sig ORDER BY ord) <= 2),
-m3 AS (SELECT * FROM m2 QUALIFY row_number() OVER (PARTITION BY env_task, action, group_id ORDER BY ord) <= 11)
-SELECT env_task, action, group_id, t FROM m3 QUALIFY row_number() OVER (PARTITION BY env_task, action ORDER BY ord) <= 33""")
+add("j10_candidate_pool", "pool_reps", "SELECT env_task, action, idx, sig, group_id, t FROM pool_reps WHERE rep <= 2")
+add("k6_draws", "looked", "SELECT group_id, t, draw, sig, ng AS neg_group, nt AS neg_t FROM looked")

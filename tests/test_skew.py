@@ -125,3 +125,17 @@ def test_quota_sample_equals_unpruned_greedy(spark, targets, extras, total, pref
         assert mine.fillna("").values.tolist() == want.fillna("").values.tolist()
         picked = mine[mine["pick"] > 0]
         assert picked["uid"].is_unique and len(picked) <= total
+
+
+def test_questions_of_one_pool_draw_their_own_states(fx):
+    from verdikt.operators import candidates as H
+    from verdikt.plans.samples import transition_states
+
+    t = transition_states(fx)
+    rows = H.draws(H.question_items(t, 2, 7), H.numbered_pool(t), 7).join(t.select("group_id", "t", "env_task", "action"), ["group_id", "t"]).collect()
+    by_pool = {}
+    for r in rows:
+        by_pool.setdefault((r.env_task, r.action), {}).setdefault((r.group_id, r.t), []).append(r.sig)
+    large = [q for q in by_pool.values() if len(q) > 2]
+    assert large and any(len({frozenset(s) for s in q.values()}) > 1 for q in large)
+    assert all(len(set(s)) == len(s) <= H.POOL_LOOK for q in by_pool.values() for s in q.values())

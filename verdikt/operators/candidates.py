@@ -2,22 +2,26 @@
 
 A question shows the true next state of a step and three wrong ones.  Up to two come from the item's own
 trajectory (most similar first); the rest come from steps of other groups in the same environment with the
-same action, of which the first ten different states in seeded order are looked at.
+same action, of which ten different states are looked at, drawn anew for each question.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import draw_key
+from ..functions.text import draw_key, stable_int
 from .joins import block_join, spread_join
 from .sampling import top_per_key
+from .sequence import number_rows
 
 # Fixed values.
 MOVE_ACTIONS = [0, 1, 2]
 OWN_LIMIT, POOL_LOOK, WANTED = 2, 10, 3
 WRONG_PLACE = 100.0
 
+# Steps of the draws: primes above any pool size, so that every one visits all states of a pool.
+DRAW_STEPS = [2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497]
+
 STATE = ["pos", "dir", "front", "cells", "keys"]
 
 
@@ -37,22 +41,38 @@ def similarity_penalty(action: Column, a: Column, b: Column) -> Column:
     return F.when(~action.isin(MOVE_ACTIONS) & ~here, WRONG_PLACE).otherwise(moved + turned + front + objects)
 
 
-def prune_pool(trans: DataFrame, seed: object) -> DataFrame:
-    """The rows of each (environment, action) pool that any question can reach, as one short array.
+def numbered_pool(trans: DataFrame) -> DataFrame:
+    """The different states of each (environment, action) pool with a number from 0 in ``idx``.
+
+    ``reps`` are the first rows that show the state, by group and t, from up to two groups: enough to find one that is
+    not the question's own.
+    """
+    one = trans.groupBy("env_task", "action", "sig", "group_id").agg(F.min("t").alias("t"))
+    two = top_per_key(one, ["env_task", "action", "sig"], ["group_id"], 2, "_k")
+    states = two.groupBy("env_task", "action", "sig").agg(F.sort_array(F.collect_list(F.struct("group_id", "t"))).alias("reps"))
+    # signatures are md5 texts: their first digits cut the order into even ranges
+    return number_rows(states, ["env_task", "action"], ["sig"], F.substring("sig", 1, 3))
+
+
+def draws(questions: DataFrame, pool: DataFrame, seed: object) -> DataFrame:
+    """The first POOL_LOOK usable states of each question: group_id, t, draw, sig and the row that shows it.
 
-    A question of group g and true state s looks at the first POOL_LOOK different states with another
-    group and another signature.  Kept are, in seeded order, the first row of each state and the first of
-    it from a second group; of those POOL_LOOK + 1 per group; and of those the first
-    (POOL_LOOK + 1) + 2 + 2 * POOL_LOOK.  What is cut always has POOL_LOOK usable states before it.
+    Question ``i``-th looks at position ``(step * i + start) mod n`` with its own step and start.  Refused are only its
+    own state and states of its own group alone, so POOL_LOOK positions more than those are always enough.
     """
-    rows = trans.select("env_task", "action", "group_id", "t", "sig", "state", draw_key(f"{seed}|pool", "group_id", "t").alias("ord"))
-    one = rows.groupBy("env_task", "action", "sig", "group_id").agg(F.min_by(F.struct("ord", "t", "state"), F.struct("ord", "t")).alias("r"))
-    one = one.select("env_task", "action", "sig", "group_id", "r.*")
-    two = top_per_key(one, ["env_task", "action", "sig"], ["ord"], 2, "_k1").drop("_k1")
-    few = top_per_key(two, ["env_task", "action", "group_id"], ["ord"], POOL_LOOK + 1, "_k2").drop("_k2")
-    top = top_per_key(few, ["env_task", "action"], ["ord"], 3 * POOL_LOOK + 3, "_k3").drop("_k3")
-    entry = F.struct("ord", "group_id", "t", "sig", "state")
-    return top.groupBy("env_task", "action").agg(F.array_sort(F.collect_list(entry)).alias("pool"))
+    sizes = pool.groupBy("env_task", "action").agg(F.count("*").alias("n_states"))
+    alone = pool.filter(F.size("reps") == 1).groupBy("env_task", "action", F.col("reps")[0]["group_id"].alias("group_id")).agg(F.count("*").alias("n_alone"))
+    number = lambda tag: stable_int(F.concat_ws("|", F.lit(f"{seed}|{tag}"), "group_id", "t"))
+    q = questions.select("env_task", "action", "group_id", "t", F.col("sig").alias("true_sig"))
+    q = spread_join(q, sizes, ["env_task", "action"], F.struct("group_id", "t")).join(alone, ["env_task", "action", "group_id"], "left")
+    need = F.least(F.col("n_states"), F.coalesce("n_alone", F.lit(0)) + POOL_LOOK + 1)
+    step = F.get(F.array(*[F.lit(x) for x in DRAW_STEPS]), (number("step") % len(DRAW_STEPS)).cast("int"))
+    q = q.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), need - 1)))
+    q = q.withColumn("idx", (F.pmod(step, F.col("n_states")) * F.col("draw") + number("start")) % F.col("n_states"))
+    met = q.join(pool, ["env_task", "action", "idx"]).filter("sig <> true_sig")
+    met = met.withColumn("rep", F.get(F.filter("reps", lambda r: r["group_id"] != F.col("group_id")), F.lit(0))).filter("rep IS NOT NULL")
+    looked = top_per_key(met, ["group_id", "t"], ["draw"], POOL_LOOK, "_k")
+    return looked.select("group_id", "t", "draw", "sig", F.col("rep.group_id").alias("neg_group"), F.col("rep.t").alias("neg_t"))
 
 
 def question_items(trans: DataFrame, per_trajectory: int, seed: object) -> DataFrame:
@@ -79,31 +99,27 @@ def hard_negatives(trans: DataFrame, per_trajectory: int, seed: object) -> DataF
         F.array_sort(F.collect_list(F.struct("score", "t", "group_id", "sig", F.lit("own").alias("source")))).alias("own")
     )
 
-    pools = prune_pool(trans, seed).join(sizes, ["env_task", "action"])
-    d = items.join(own.withColumnRenamed("item_t", "t"), ["group_id", "t"], "left")
-    d = spread_join(d, pools, ["env_task", "action"], F.struct("group_id", "t"))
+    # other groups: the states of the drawn rows are fetched at the end
+    seen = draws(items, numbered_pool(trans), seed)
+    shown = trans.select(F.col("group_id").alias("neg_group"), F.col("t").alias("neg_t"), F.col("state").alias("neg_state"))
+    mine = items.select("group_id", "t", "action", "state")
+    fill = seen.join(shown, ["neg_group", "neg_t"]).join(mine, ["group_id", "t"])
+    score = similarity_penalty(F.col("action"), F.col("state"), F.col("neg_state"))
+    fill = fill.select("group_id", "t", F.struct(score.alias("score"), "draw", F.col("neg_t").alias("t"), F.col("neg_group").alias("group_id"), "sig").alias("f"))
+    fill = fill.groupBy("group_id", "t").agg(F.sort_array(F.collect_list("f")).alias("fill"))
+
+    d = items.join(own.withColumnRenamed("item_t", "t"), ["group_id", "t"], "left").join(fill, ["group_id", "t"], "left")
+    d = spread_join(d, sizes, ["env_task", "action"], F.struct("group_id", "t"))
     empty = F.array().cast("array<struct<score:double,t:bigint,group_id:string,sig:string,source:string>>")
     d = d.withColumn("own", F.coalesce("own", empty))
-    d = d.withColumn("_other", F.filter("pool", lambda c: (c["group_id"] != F.col("group_id")) & (c["sig"] != F.col("sig"))))
-    first = lambda c, i: ~F.exists(F.slice("_other", F.lit(1), i), lambda e: e["sig"] == c["sig"])
-    d = d.withColumn("_look", F.slice(F.filter("_other", first), 1, POOL_LOOK))
-    scored = F.transform(
-        "_look",
-        lambda c: F.struct(
-            similarity_penalty(F.col("action"), F.col("state"), c["state"]).alias("score"), c["ord"].alias("ord"), c["t"].alias("t"),
-            c["group_id"].alias("group_id"), c["sig"].alias("sig"),
-        ),
-    )
-    d = d.withColumn("_ranked", F.array_sort(scored)).withColumn(
-        "_fill", F.filter("_ranked", lambda c: ~F.exists("own", lambda o: o["sig"] == c["sig"]))
-    )
-    fill = F.transform(
-        F.slice("_fill", F.lit(1), WANTED - F.size("own")),
+    other = F.filter("fill", lambda c: ~F.exists("own", lambda o: o["sig"] == c["sig"]))
+    rest = F.transform(
+        F.slice(other, F.lit(1), WANTED - F.size("own")),
         lambda c: F.struct(c["score"].alias("score"), c["t"].alias("t"), c["group_id"].alias("group_id"), c["sig"].alias("sig"), F.lit("pool").alias("source")),
     )
-    d = d.withColumn("negs", F.concat("own", fill))
+    d = d.withColumn("negs", F.concat("own", F.coalesce(rest, empty)))
     reason = F.when(F.col("pool_size") < WANTED, F.lit("small_pool")).when(F.size("negs") < WANTED, F.lit("insufficient_negs"))
-    return d.withColumn("reason", reason).drop("pool", "_other", "_look", "_ranked", "_fill", "own")
+    return d.withColumn("reason", reason).drop("fill", "own")
 
 
 def permuted_letters(df: DataFrame, seed: object, uid: str = "uid", n: int = 4) -> DataFrame:

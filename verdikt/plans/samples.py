@@ -93,9 +93,16 @@ def _(fx):
 
 @query("j10_candidate_pool")
 def _(fx):
-    """Reachable pool entries per environment and action."""
-    p = H.prune_pool(transition_states(fx), SEED)
-    return p.select("env_task", "action", F.explode("pool").alias("e")).select("env_task", "action", "e.group_id", "e.t")
+    """The numbered states of each pool and the rows that stand for them."""
+    p = H.numbered_pool(transition_states(fx))
+    return p.select("env_task", "action", "idx", "sig", F.inline("reps"))
+
+
+@query("k6_draws")
+def _(fx):
+    """The states that each question looks at, in its own order."""
+    t = landed(transition_states(fx), "transitions")
+    return H.draws(H.question_items(t, 2, SEED), H.numbered_pool(t), SEED)
 
 
 @query("k7_permutation")
