@@ -82,7 +82,7 @@ f AS (SELECT level, lang, source, max(q3) FILTER (WHERE measure = 'word_length')
   max(q1) FILTER (WHERE measure = 'word_length') - greatest(4 * max(q3 - q1) FILTER (WHERE measure = 'word_length'), 200) AS wl_low,
   max(q3) FILTER (WHERE measure = 'symbols') + greatest(4 * max(q3 - q1) FILTER (WHERE measure = 'symbols'), 150) AS sy_high,
   max(q3) FILTER (WHERE measure = 'dup_lines') + greatest(4 * max(q3 - q1) FILTER (WHERE measure = 'dup_lines'), 40) AS dl_high,
-  max(q3) FILTER (WHERE measure = 'repeats') + greatest(4 * max(q3 - q1) FILTER (WHERE measure = 'repeats'), 300) AS rp_high FROM q GROUP BY ALL),
+  max(q3) FILTER (WHERE measure = 'repeats') + greatest(4 * max(q3 - q1) FILTER (WHERE measure = 'repeats'), 450) AS rp_high FROM q GROUP BY ALL),
 gf AS (SELECT groups.lang, groups.source, f.* EXCLUDE (level, lang, source) FROM groups JOIN f ON groups.level = f.level
   AND CASE WHEN groups.level < 2 THEN groups.lang END IS NOT DISTINCT FROM f.lang AND CASE WHEN groups.level < 1 THEN groups.source END IS NOT DISTINCT FROM f.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -29,7 +29,7 @@ FENCES = [
     ("word_length", True, 200),
     ("symbols", False, 150),  # per 1000 words
     ("dup_lines", False, 40),  # per 1000 words
-    ("repeats", False, 300),  # words in repeated windows, per 1000 words
+    ("repeats", False, 450),  # words in repeated windows, per 1000 words
 ]
 MEASURES = list(dict.fromkeys(m for m, _, _ in FENCES))
 
