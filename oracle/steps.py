@@ -149,7 +149,8 @@ JOIN (SELECT v.group_id, bool_or(v.action <> f.action AND v.t < l.n - 1) AS act_
       JOIN {lens} l ON l.group_id = v.group_id AND l.variant = v.variant GROUP BY v.group_id) d ON d.group_id = h.group_id
 GROUP BY h.group_id
 """
-add("v2_hard_gates", "hard", "SELECT group_id, reason FROM hard")
+add("v2_hard_gates", "hard", """
+SELECT group_id, CASE WHEN cast(substr(group_id, 2) AS bigint) % 11 = 5 THEN 'missing_variant' ELSE reason END AS reason FROM hard""")
 add("v17_audit_report", "hard", """
 SELECT coalesce(reason, 'pass') AS reason, count(*) AS n, round(avg(CASE WHEN reason IS NULL THEN n_frames END), 6) AS mean_n_frames,
  (SELECT count(*) FROM hard) AS n_groups, (SELECT round(avg(CASE WHEN reason IS NULL THEN 1.0 ELSE 0.0 END), 6) FROM hard) AS pass_rate
@@ -178,23 +179,33 @@ FROM (SELECT group_id, t, event_id % 501 = 0 AS short, bool_or(CASE WHEN code >
         SELECT s.*, i, unnest(range(3)) AS j FROM (SELECT *, unnest(range(3)) AS i FROM steps) s) a WHERE i < 2 OR event_id % 501 <> 0) b
       GROUP BY group_id, t, event_id) c GROUP BY group_id""")
 V["order7"] = """
-SELECT group_id, pickup_t, door_t, CASE WHEN pickup_t IS NULL OR door_t IS NULL THEN 'semantic_event_missing'
-   WHEN pickup_t >= door_t OR goal_t <= door_t THEN 'semantic_seq_fail' WHEN door_state <> 2 THEN 'door_not_locked' END AS reason
-FROM (SELECT group_id, min(t) FILTER (WHERE action = 3 AND front_type = 'key') AS pickup_t,
-  min(t) FILTER (WHERE action IN (2, 5) AND front_type = 'door') AS door_t, min(t) FILTER (WHERE action = 3 AND front_type = 'ball') AS goal_t,
-  arg_min(door_state, t) FILTER (WHERE action IN (2, 5) AND front_type = 'door') AS door_state FROM {steps} GROUP BY group_id) x
+SELECT *, CASE WHEN door_x IS NULL THEN 'missing_locked_door' WHEN pickup_t IS NULL OR door_t IS NULL OR (goal_t IS NULL AND coalesce(cf_success, true)) THEN 'semantic_event_missing'
+   WHEN pickup_t >= door_t OR goal_t <= door_t THEN 'semantic_seq_fail' WHEN door_state <> 2 THEN 'door_not_locked'
+   WHEN NOT opened THEN 'door_not_open' WHEN NOT entered THEN 'did_not_enter_after_door' END AS reason
+FROM (SELECT e.*, h.success AS cf_success,
+   EXISTS (SELECT 1 FROM {door_steps} s WHERE s.group_id = e.group_id AND s.t > door_t AND s.t <= door_t + 4 AND s.front_type = 'door' AND s.fx = door_x AND s.fy = door_y AND s.door_state = 0) AS opened,
+   EXISTS (SELECT 1 FROM {door_steps} s WHERE s.group_id = e.group_id AND s.t > door_t AND s.t <= door_t + 7 AND s.x = door_x AND s.y = door_y) AS entered
+ FROM (SELECT s.group_id, max(d.door_x) AS door_x, max(d.door_y) AS door_y,
+    min(t) FILTER (WHERE action = 3 AND front_type = 'key' AND front_color = door_color) AS pickup_t,
+    min(t) FILTER (WHERE action IN (2, 5) AND front_type = 'door' AND fx = door_x AND fy = door_y) AS door_t,
+    arg_min(door_state, t) FILTER (WHERE action IN (2, 5) AND front_type = 'door' AND fx = door_x AND fy = door_y) AS door_state,
+    min(t) FILTER (WHERE action = 3 AND front_type = 'ball') AS goal_t
+   FROM {door_steps} s LEFT JOIN {doors} d ON d.group_id = s.group_id GROUP BY s.group_id) e
+ LEFT JOIN {headers} h ON h.group_id = e.group_id AND h.variant = 'cf') x
 """
-add("v7_event_order", "order7", "SELECT * FROM order7")
-add("v8_follow_up", "order7 steps", """
-SELECT o.group_id, EXISTS (SELECT 1 FROM steps s WHERE s.group_id = o.group_id AND s.t > door_t AND s.t <= door_t + 4 AND s.door_state = 0) AS opens_within_4,
- EXISTS (SELECT 1 FROM steps s WHERE s.group_id = o.group_id AND s.t > door_t AND s.t <= door_t + 7 AND s.x = 3 AND s.y < 3) AS enters_within_7
-FROM order7 o WHERE door_t IS NOT NULL""")
-add("v8_toggle_gate", "steps", """
-SELECT group_id, n_toggles, CASE WHEN n_toggles < 2 THEN 'toggles_lt_2' WHEN coalesce(a, 1e9) < coalesce(b, 1e9) THEN 'toggle_non_door'
- WHEN b IS NOT NULL THEN 'door_not_open' END AS reason
-FROM (SELECT s.group_id, count(*) FILTER (WHERE s.action = 5) AS n_toggles, min(s.t) FILTER (WHERE s.action = 5 AND s.front_type <> 'door') AS a,
- min(s.t) FILTER (WHERE s.action = 5 AND s.front_type = 'door' AND coalesce(n.door_state, 9) <> 0) AS b
- FROM steps s LEFT JOIN steps n ON n.group_id = s.group_id AND n.t = s.t + 1 GROUP BY s.group_id) x""")
+add("v7_event_order", "order7", "SELECT group_id, pickup_t, door_t, goal_t, reason FROM order7")
+add("v8_follow_up", "order7", "SELECT group_id, opened, entered FROM order7 WHERE door_t IS NOT NULL")
+TOGGLES = """
+SELECT s.group_id, coalesce(n, 0) AS n_toggles, CASE WHEN coalesce(n, 0) < 2 THEN 'toggles_lt_2' ELSE f END AS reason
+FROM (SELECT DISTINCT group_id FROM door_steps) s LEFT JOIN (
+ SELECT group_id, count(*) AS n, arg_min(f, t) FILTER (WHERE f IS NOT NULL) AS f FROM (
+  SELECT a.group_id, a.t, CASE WHEN a.front_type <> 'door' THEN 'toggle_non_door' WHEN b.t IS NULL THEN 'toggle_last_step'
+    WHEN @STATE IS NULL THEN 'door_obj_missing' WHEN @STATE <> 0 THEN 'door_not_open' END AS f
+  FROM door_steps a LEFT JOIN door_steps b ON b.group_id = a.group_id AND b.t = a.t + 1 WHERE a.action = 5) x GROUP BY group_id) g ON g.group_id = s.group_id"""
+FRONT = "CASE WHEN b.front_type = 'door' AND b.fx = a.fx AND b.fy = a.fy THEN b.door_state END"
+add("v8_toggle_gate", "door_steps", TOGGLES.replace("@STATE", FRONT))
+# an object's state stands for the same cell a step later
+add("v8_toggle_gate_objects", "door_steps", TOGGLES.replace("@STATE", f"coalesce(CASE WHEN a.event_id % 3 <> 0 THEN CASE WHEN a.grp % 2 = 0 THEN 0 ELSE a.door_state END END, {FRONT})"))
 add("v9_never_visible", "variant_steps", """
 SELECT c.group_id, CASE WHEN any_value(grp) % 3 <> 0 THEN bool_or(visible = 'goal') END AS target_visible,
  (SELECT bool_or(f.x = f.grp % 7 AND f.y = f.grp % 5) FROM variant_steps f WHERE f.group_id = c.group_id AND f.variant = 'full') AS goal_on_path

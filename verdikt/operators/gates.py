@@ -16,6 +16,20 @@ from .sequence import with_neighbour
 
 # Fixed values.
 VARIANTS = ["full", "nocue", "cf"]
+# Reasons of the variant, event and toggle gates.
+REASONS = {
+    "variants": "missing_variant",
+    "no_door": "missing_locked_door",
+    "no_event": "semantic_event_missing",
+    "order": "semantic_seq_fail",
+    "unlocked": "door_not_locked",
+    "closed": "door_not_open",
+    "not_entered": "did_not_enter_after_door",
+    "few_toggles": "toggles_lt_2",
+    "toggle_elsewhere": "toggle_non_door",
+    "toggle_last": "toggle_last_step",
+    "toggle_lost": "door_obj_missing",
+}
 ALLOWED_INPUTS = ["frames", "mission", "terminated", "truncated"]
 PROHIBITED_INPUTS = ["state_seq", "actions_id", "success", "reward", "cf_meta", "nocue_meta", "seed"]
 DOOR_OPEN, DOOR_LOCKED = 0, 2
@@ -40,15 +54,20 @@ def _differs(a: Column, b: Column) -> Column:
     return ~a.eqNullSafe(b)
 
 
-def hard_gates(pivoted: DataFrame) -> DataFrame:
-    """Variant set, lengths, equal actions, equal outcome of full and nocue."""
+def hard_gates(pivoted: DataFrame, others: str = "n_other") -> DataFrame:
+    """Variant set, lengths, equal actions, equal outcome of full and nocue.
+
+    A group with records of other variants (counted in ``others``, if there is such a column) has the wrong set as well.
+    """
     lengths = []
     for v in VARIANTS:
         n = F.size(_in(v, "actions")) + 1
         lengths += [(F.size(_in(v, "frames")) != n, f"{v}_len_mismatch"), (F.size(_in(v, "states")) != n, f"{v}_state_len_mismatch")]
     missing = F.col("full").isNull() | F.col("nocue").isNull() | F.col("cf").isNull()
+    if others in pivoted.columns:
+        missing = missing | (F.col(others) > 0)
     reason = first_reason(
-        (missing, "missing_variant"),
+        (missing, REASONS["variants"]),
         *lengths,
         (_differs(_in("full", "actions"), _in("nocue", "actions")) | _differs(_in("full", "actions"), _in("cf", "actions")), "action_mismatch"),
         *[(_differs(_in("full", f), _in("nocue", f)), f"nocue_{f}_mismatch") for f in ("success", "terminated", "truncated", "reward")],
@@ -125,53 +144,89 @@ def encoding_report(steps: DataFrame, enc: str = "encoding") -> DataFrame:
     )
 
 
-def event_order(steps: DataFrame) -> DataFrame:
-    """First key pickup before first door interaction, with a locked door at that moment."""
-    pick = (F.col("action") == 3) & (F.col("front_type") == "key")
-    door = F.col("action").isin(2, 5) & (F.col("front_type") == "door")
-    goal = (F.col("action") == 3) & (F.col("front_type") == "ball")
-    g = steps.groupBy("group_id").agg(
-        F.min(F.when(pick, F.col("t"))).alias("pickup_t"),
-        F.min(F.when(door, F.struct("t", "door_state"))).alias("_door"),
-        F.min(F.when(goal, F.col("t"))).alias("goal_t"),
+def event_order(
+    steps: DataFrame,
+    facts: DataFrame,
+    key: Column | None = None,
+    goal: Column | None = None,
+    use_actions: Sequence[int] = (2, 5),
+    pick_action: int = 3,
+    opens_within: int = 4,
+    enters_within: int = 7,
+) -> DataFrame:
+    """Key pickup, then the locked door, then the goal; the door opens, and the agent walks through it.
+
+    ``facts`` gives one row per group: the locked door at the start (door_x, door_y, door_color; null if there is none)
+    and ``cf_success``, whether the counterfactual run reached its goal.  Only a key of the door's colour and only this
+    door count.  ``key`` and ``goal`` are conditions on a step (the goal is the mission's target).
+    """
+    key = F.col("front_type") == "key" if key is None else key
+    goal = F.col("front_type") == "ball" if goal is None else goal
+    last = steps.groupBy("group_id").agg(F.max("t").alias("_last"))
+    s = block_join(steps, last.join(facts, "group_id", "left"), ["group_id"], "_last")
+    at_door = (F.col("front_type") == "door") & (F.col("fx") == F.col("door_x")) & (F.col("fy") == F.col("door_y"))
+    picked = F.col("action") == pick_action
+    g = s.groupBy("group_id").agg(
+        F.max("door_x").alias("door_x"),
+        F.max("door_y").alias("door_y"),
+        F.max(F.coalesce("cf_success", F.lit(True))).alias("cf_success"),
+        F.min(F.when(picked & key & (F.col("front_color") == F.col("door_color")), F.col("t"))).alias("pickup_t"),
+        F.min(F.when(F.col("action").isin(*use_actions) & at_door, F.struct("t", "door_state"))).alias("_door"),
+        F.min(F.when(picked & goal, F.col("t"))).alias("goal_t"),
     )
+    anchors = g.select("group_id", "door_x", "door_y", F.col("_door.t").alias("anchor_t"))
+    opened = follow_up(steps, anchors, at_door & (F.col("door_state") == DOOR_OPEN), opens_within, "opened")
+    entered = follow_up(steps, anchors, (F.col("x") == F.col("door_x")) & (F.col("y") == F.col("door_y")), enters_within, "entered")
+    g = g.join(opened, "group_id", "left").join(entered, "group_id", "left")
+    door_t = F.col("_door.t")
     reason = first_reason(
-        (F.col("pickup_t").isNull() | F.col("_door").isNull(), "semantic_event_missing"),
-        (F.col("pickup_t") >= F.col("_door.t"), "semantic_seq_fail"),
-        (F.col("goal_t") <= F.col("_door.t"), "semantic_seq_fail"),
-        (F.col("_door.door_state") != DOOR_LOCKED, "door_not_locked"),
+        (F.col("door_x").isNull(), REASONS["no_door"]),
+        (F.col("pickup_t").isNull() | door_t.isNull(), REASONS["no_event"]),
+        (F.col("goal_t").isNull() & F.col("cf_success"), REASONS["no_event"]),
+        (F.col("pickup_t") >= door_t, REASONS["order"]),
+        (F.col("goal_t") <= door_t, REASONS["order"]),
+        (F.col("_door.door_state") != DOOR_LOCKED, REASONS["unlocked"]),
+        (~F.col("opened"), REASONS["closed"]),
+        (~F.col("entered"), REASONS["not_entered"]),
     )
-    return g.select("group_id", "pickup_t", F.col("_door.t").alias("door_t"), reason.alias("reason"))
+    return g.select("group_id", "pickup_t", door_t.alias("door_t"), "goal_t", "opened", "entered", reason.alias("reason"))
 
 
 def follow_up(steps: DataFrame, anchors: DataFrame, cond: Column, horizon: int, name: str) -> DataFrame:
     """Whether a condition holds on one of the ``horizon`` steps after each group's anchor step ``anchor_t``.
 
-    The steps to look at are named one by one, so the join is on (group, step) and knows no hot group.
+    The condition may use columns of ``steps`` and further ones of ``anchors``.  The steps to look at are named one by
+    one, so the join is on (group, step) and knows no hot group.
     """
-    asked = anchors.filter(F.col("anchor_t").isNotNull()).select(
-        "group_id", F.explode(F.sequence(F.col("anchor_t") + 1, F.col("anchor_t") + horizon)).alias("t")
-    )
-    held = steps.select("group_id", "t", F.coalesce(cond, F.lit(False)).alias("_c"))
-    return asked.join(held, ["group_id", "t"], "left").groupBy("group_id").agg(F.max(F.coalesce("_c", F.lit(False))).alias(name))
+    asked = anchors.filter(F.col("anchor_t").isNotNull()).withColumn("t", F.explode(F.sequence(F.col("anchor_t") + 1, F.col("anchor_t") + horizon)))
+    held = asked.join(steps, ["group_id", "t"], "left").withColumn("_c", F.coalesce(cond, F.lit(False)))
+    return held.groupBy("group_id").agg(F.max("_c").alias(name))
 
 
-def toggle_gate(steps: DataFrame, minimum: int = 2) -> DataFrame:
-    """Every toggle hits a door that is open right after; there are at least ``minimum`` toggles."""
-    s = with_neighbour(steps.select("group_id", "t", "action", "front_type", "door_state"), {"next_state": "door_state"}, +1)
-    tog = F.col("action") == 5
-    g = s.groupBy("group_id").agg(
-        n_where(tog).alias("n_toggles"),
-        F.min(F.when(tog & (F.col("front_type") != "door"), F.col("t"))).alias("non_door_t"),
-        F.min(F.when(tog & (F.col("front_type") == "door") & ~F.coalesce(F.col("next_state") == DOOR_OPEN, F.lit(False)), F.col("t"))).alias("not_open_t"),
-    )
-    big = F.lit(1 << 62)
-    reason = first_reason(
-        (F.col("n_toggles") < minimum, "toggles_lt_2"),
-        (F.coalesce("non_door_t", big) < F.coalesce("not_open_t", big), "toggle_non_door"),
-        (F.col("not_open_t").isNotNull(), "door_not_open"),
+def toggle_gate(steps: DataFrame, minimum: int = 2, doors: DataFrame | None = None) -> DataFrame:
+    """Every toggle hits a door that is open right after; there are at least ``minimum`` toggles.
+
+    The state after a toggle is that of the door acted on: from ``doors`` (group_id, t, px, py, state of door objects), if
+    they are given, else from the cell in front if it is the same one.
+    """
+    cols = ["front_type", "fx", "fy", "door_state"]
+    s = with_neighbour(steps.select("group_id", "t", "action", *cols), {f"next_{c}": c for c in cols}, +1)
+    tog = s.filter(F.col("action") == 5)
+    same = (F.col("next_front_type") == "door") & (F.col("next_fx") == F.col("fx")) & (F.col("next_fy") == F.col("fy"))
+    state = F.when(same, F.col("next_door_state"))
+    if doors is not None:
+        after = doors.select("group_id", (F.col("t") - 1).alias("t"), F.col("px").alias("fx"), F.col("py").alias("fy"), F.col("state").alias("_state"))
+        tog = tog.join(after, ["group_id", "t", "fx", "fy"], "left")
+        state = F.coalesce("_state", state)
+    fault = first_reason(
+        (F.col("front_type") != "door", REASONS["toggle_elsewhere"]),
+        (F.col("next_front_type").isNull(), REASONS["toggle_last"]),
+        (state.isNull(), REASONS["toggle_lost"]),
+        (state != DOOR_OPEN, REASONS["closed"]),
     )
-    return g.select("group_id", "n_toggles", reason.alias("reason"))
+    faults = tog.groupBy("group_id").agg(F.count("*").alias("n_toggles"), F.min(F.when(fault.isNotNull(), F.struct("t", fault.alias("reason")))).alias("_f"))
+    g = steps.select("group_id").distinct().join(faults, "group_id", "left").withColumn("n_toggles", F.coalesce("n_toggles", F.lit(0)))
+    return g.select("group_id", "n_toggles", F.when(F.col("n_toggles") < minimum, F.lit(REASONS["few_toggles"])).otherwise(F.col("_f.reason")).alias("reason"))
 
 
 def never_visible(steps: DataFrame, target: str) -> DataFrame:

@@ -105,13 +105,17 @@ def representation_pairs(responses: DataFrame, left: str, right: str, value: Col
 
 
 def pivot_variants(
-    df: DataFrame, keys: Sequence[str], variants: Sequence[str], fields: Sequence[str], order: str | Column
+    df: DataFrame, keys: Sequence[str], variants: Sequence[str], fields: Sequence[str], order: str | Column, others: str | None = None
 ) -> DataFrame:
-    """Variants of a group in one row as structs; the last record of a variant wins."""
+    """Variants of a group in one row as structs; the last record of a variant wins.
+
+    ``others`` names a column for the number of records of variants that were not asked for.
+    """
     order = F.col(order) if isinstance(order, str) else order
     rec = F.struct(*fields)
     return df.groupBy(*keys).agg(
-        *[F.max_by(F.when(F.col("variant") == v, rec), F.when(F.col("variant") == v, order)).alias(v) for v in variants]
+        *[F.max_by(F.when(F.col("variant") == v, rec), F.when(F.col("variant") == v, order)).alias(v) for v in variants],
+        *([F.count_if(~F.coalesce(F.col("variant").isin(*variants), F.lit(False))).alias(others)] if others else []),
     )
 
 

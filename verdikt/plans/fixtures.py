@@ -4,7 +4,7 @@ Each view is one SELECT, written in the SQL that Spark and DuckDB share, so the
 oracle start from the same rows.  ``{name}`` refers to a table or to another view.
 ``@EACH(c, n)`` repeats a row for c = 0..n-1.
 
-Everything except ``scene`` and ``trajectories`` is a projection: no shuffle, and no group that grows
+Everything except ``headers``, ``doors`` and ``door_steps`` is a projection: no shuffle, and no group that grows
 with the data (an episode is a block of 64 consecutive event ids).
 """
 
@@ -154,6 +154,30 @@ FROM (SELECT event_id, grp, concat('g', grp) AS group_id, concat('env', grp % 6)
                    cast(floor(value) AS bigint) AS iv FROM {events}) v) w
 """
 
+# the cell in front of the agent
+VIEWS["front_steps"] = """
+SELECT *, x + CASE dir WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS fx, y + CASE dir WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END AS fy FROM {steps}
+"""
+
+# the locked door of a group is the cell in front at one of its door steps; some groups have none
+VIEWS["doors"] = """
+SELECT group_id, t AS door_at, fx AS door_x, fy AS door_y, front_color AS door_color FROM {front_steps}
+WHERE t = 21 + 4 * (grp % 5) AND grp % 9 <> 4
+"""
+
+# steps with a key, this door and the way through it; several other doors and keys are on the way
+VIEWS["door_steps"] = """
+SELECT s.group_id, env_task, grp, t, event_id,
+       CASE WHEN t = door_at AND grp % 8 <> 5 THEN 5 WHEN t = door_at - 9 AND grp % 7 <> 1 THEN 3 WHEN t = door_at + 8 AND grp % 4 <> 3 THEN 3
+            WHEN action = 3 AND front_type = 'key' AND grp % 11 <> 2 THEN 2 ELSE action END AS action,
+       CASE WHEN t = door_at - 9 THEN 'key' WHEN t = door_at + 2 THEN 'door' WHEN t = door_at + 8 THEN 'ball' ELSE front_type END AS front_type,
+       CASE WHEN t = door_at - 9 THEN door_color ELSE front_color END AS front_color,
+       CASE WHEN t = door_at THEN CASE WHEN grp % 10 = 3 THEN 1 ELSE 2 END WHEN t = door_at + 2 THEN 0 ELSE door_state END AS door_state,
+       CASE WHEN t = door_at + 2 AND grp % 6 <> 1 THEN door_x ELSE fx END AS fx, CASE WHEN t = door_at + 2 AND grp % 6 <> 1 THEN door_y ELSE fy END AS fy,
+       CASE WHEN t = door_at + 5 AND grp % 5 <> 0 THEN door_x ELSE x END AS x, CASE WHEN t = door_at + 5 AND grp % 5 <> 0 THEN door_y ELSE y END AS y
+FROM {front_steps} s LEFT JOIN {doors} d ON d.group_id = s.group_id
+"""
+
 # three variants of every step, with known faults by group number
 VIEWS["variant_steps"] = """
 SELECT group_id, env_task, t, event_id, grp, variant, front_type, front_color, door_state, visible, carry, x, y,
