@@ -65,6 +65,14 @@ FROM (SELECT uid, env_task, action, prompt, o[1 + cast(concat('0x', substr(md5(c
 add("p11_mask_secrets", "", """
 SELECT o_orderkey, unnest(['api_key', 'Max_Tokens', 'contents', 'session-token', 'X-Authorization-Hint', 'status', 'monkey']) AS field,
  unnest(['***MASKED_SECRET***', '512', '***MASKED_CONTENT***', '***MASKED_SECRET***', '***MASKED_SECRET***', o_orderstatus, '***MASKED_SECRET***']) AS shown FROM orders""")
+OLD = """(SELECT uid, CASE WHEN item_no % 3 = 0 OR item_no % 7 <> 0 THEN prompt ELSE '' END AS q FROM exam_d)"""
+RULE = "chr(10) || chr(10) || 'Reply with {} and nothing else.'"
+add("p5_two_letters", "exam_d", f"""
+SELECT uid, 'Three pictures follow: the start, outcome A and outcome B.' || chr(10) || q || {RULE.format('one letter, A or B,')} AS built, true AS stable FROM {OLD}""")
+add("p5_yes_no", "exam_d", f"SELECT uid, q || {RULE.format('Yes or No')} AS built FROM {OLD}")
+add("p11_mask_nested", "", """
+SELECT o_orderkey, o_orderstatus AS status, '***MASKED_SECRET***' AS access_token, '***MASKED_SECRET***' AS call_key, '64' AS call_tokens,
+ '***MASKED_SECRET***' AS header_key, true AS auth_hidden, NULL AS secret, 'x' AS model FROM orders""")
 add("p15_buckets", "exam_e", """
 SELECT uid, CASE WHEN horizon_gap BETWEEN 1 AND 10 THEN 'short' WHEN horizon_gap BETWEEN 11 AND 25 THEN 'medium' ELSE 'long' END AS horizon,
  CASE WHEN contains(sampling_role, 'holding') THEN 'kept' WHEN contains(sampling_role, 'drop') THEN 'released' WHEN contains(sampling_role, 'long') THEN 'far' ELSE 'other' END AS source_bucket,

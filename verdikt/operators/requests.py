@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.parse import ERROR_PREFIX
 from ..functions.text import col, first_line, n_where, nonblank, stable_int, strip
@@ -57,6 +57,21 @@ def with_contract(prompt: Column, contract: str) -> Column:
     return F.when(F.contains(p, F.lit(contract)), p).when(p == "", F.lit(contract)).otherwise(F.concat(p, F.lit("\n" + contract)))
 
 
+def exam_prompt(prompt: Column, contract: str, preface: str = "", old_tail: str | None = None) -> Column:
+    """Prompt of an exam with its own rules: preface, the question without an old answer rule, and the answer contract.
+
+    ``old_tail`` is a pattern at the end of the question.  A prompt that was built before is taken apart first, so
+    building it again changes nothing.
+    """
+    p = strip(F.coalesce(prompt, F.lit("")))
+    if preface:
+        p = F.when(F.startswith(p, F.lit(preface)), F.substr(p, F.lit(len(preface) + 1))).otherwise(p)
+    p = F.when(F.endswith(p, F.lit(contract)), F.substr(p, F.lit(1), F.length(p) - len(contract))).otherwise(p)
+    if old_tail:
+        p = F.regexp_replace(strip(p), rf"(?s)(?:{old_tail})\s*$", "")
+    return F.concat(F.lit(preface), strip(p), F.lit(contract))
+
+
 def request_prompt(task: Column, prompt: Column, scene_prompt: str = SCENE_PROMPT) -> Column:
     """Prompt text by task: letters get their contract, scenes and verdicts a default question, labels stay as they are."""
     own = strip(F.coalesce(prompt, F.lit("")))
@@ -195,21 +210,39 @@ def prompt_lengths(df: DataFrame, before: str = "original_prompt", after: str =
     )
 
 
+def _secret(key: Column) -> Column:
+    """Mask text for a key that looks like a secret or holds message contents, else null."""
+    low = F.lower(key)
+    bare = F.regexp_replace(low, "[_-]", "")
+    secret = low.isin(SECRET_KEYS) | low.endswith("token") | low.endswith("key") | F.contains(low, F.lit("authorization"))
+    return F.when(~bare.isin(HARMLESS_KEYS), F.when(low.isin(CONTENT_KEYS), F.lit(MASKED_CONTENT)).when(secret, F.lit(MASKED_SECRET)))
+
+
 def mask_secret_fields(fields: str | Column) -> Column:
-    """Hide the values of a map whose key looks like a secret or holds message contents."""
-
-    def shown(k: Column, v: Column) -> Column:
-        low = F.lower(k)
-        bare = F.regexp_replace(low, "[_-]", "")
-        secret = low.isin(SECRET_KEYS) | low.endswith("token") | low.endswith("key") | F.contains(low, F.lit("authorization"))
-        return (
-            F.when(bare.isin(HARMLESS_KEYS), v)
-            .when(low.isin(CONTENT_KEYS), F.lit(MASKED_CONTENT))
-            .when(secret, F.lit(MASKED_SECRET))
-            .otherwise(v)
-        )
-
-    return F.transform_values(col(fields), shown)
+    """Hide the values of a map of texts whose key looks like a secret or holds message contents."""
+    return F.transform_values(col(fields), lambda k, v: F.coalesce(_secret(k), v))
+
+
+def mask_secrets(value: str | Column, kind: T.DataType) -> Column:
+    """The same at any depth: structs by field name, maps by key, lists element by element.
+
+    A hidden text becomes the mask; hidden values of other types become null.
+    """
+    value = col(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: mask_secrets(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        if isinstance(kind.valueType, T.StringType):
+            return mask_secret_fields(value)
+        return F.transform_values(value, lambda k, v: F.when(_secret(k).isNull(), mask_secrets(v, kind.valueType)))
+    if isinstance(kind, T.StructType):
+        shown = []
+        for f in kind.fields:
+            mask, inner = _secret(F.lit(f.name)), mask_secrets(value.getField(f.name), f.dataType)
+            hidden = F.coalesce(mask, inner) if isinstance(f.dataType, T.StringType) else F.when(mask.isNull(), inner)
+            shown.append(hidden.alias(f.name))
+        return F.when(value.isNotNull(), F.struct(*shown))
+    return value
 
 
 # ---------------------------------------------------------------- responses

@@ -75,6 +75,47 @@ def _(fx):
     return a.select("uid", "p", (R.with_contract(F.col("p"), R.LETTER_CONTRACT) == F.col("p")).alias("stable"))
 
 
+TWO_LETTERS = "\n\nReply with one letter, A or B, and nothing else."
+YES_NO = "\n\nReply with Yes or No and nothing else."
+ORDER_NOTE = "Three pictures follow: the start, outcome A and outcome B.\n"
+OLD_RULE = r"\n\nChoose A or B\."
+
+
+def _old_prompts(fx: Fixtures) -> DataFrame:
+    """Questions of which some end with an older answer rule and some have none."""
+    text = F.when(F.col("item_no") % 3 == 0, F.concat(F.lit("  "), "prompt", F.lit("\n\nChoose A or B.  "))).when(F.col("item_no") % 7 != 0, F.col("prompt"))
+    return fx("exam_d").select("uid", text.alias("prompt"))
+
+
+@query("p5_two_letters")
+def _(fx):
+    built = R.exam_prompt(F.col("prompt"), TWO_LETTERS, ORDER_NOTE, OLD_RULE)
+    d = _old_prompts(fx).withColumn("built", built)
+    return d.select("uid", "built", (R.exam_prompt(F.col("built"), TWO_LETTERS, ORDER_NOTE, OLD_RULE) == F.col("built")).alias("stable"))
+
+
+@query("p5_yes_no")
+def _(fx):
+    return _old_prompts(fx).select("uid", R.exam_prompt(F.col("prompt"), YES_NO, old_tail=OLD_RULE).alias("built"))
+
+
+@query("p11_mask_nested")
+def _(fx):
+    """A request with options in options and lists of them."""
+    o = fx("orders")
+    options = F.create_map(F.lit("x-api-key"), F.col("o_clerk") if "o_clerk" in o.columns else F.col("o_orderpriority"), F.lit("max_tokens"), F.lit("64"))
+    call = F.struct(
+        F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("access_token"), F.array(options).alias("calls"),
+        F.create_map(F.lit("headers"), options, F.lit("auth_token"), options).alias("extra"), F.struct(F.lit(1).alias("secret"), F.lit("x").alias("model")).alias("inner"),
+    )
+    d = o.select("o_orderkey", call.alias("c"))
+    d = d.withColumn("c", R.mask_secrets("c", d.schema["c"].dataType))
+    return d.select(
+        "o_orderkey", "c.status", "c.access_token", F.col("c.calls")[0]["x-api-key"].alias("call_key"), F.col("c.calls")[0]["max_tokens"].alias("call_tokens"),
+        F.col("c.extra")["headers"]["x-api-key"].alias("header_key"), F.col("c.extra")["auth_token"].isNull().alias("auth_hidden"), "c.inner.secret", "c.inner.model",
+    )
+
+
 @query("p6_adapt_prompt")
 def _(fx):
     c = fx("conversations").withColumn("prompt", F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" BELOW is a picture\n"), "text")).otherwise(F.col("text")))
