@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -29,7 +31,7 @@ def build_session(app: str = "verdikt", master: str | None = None, **conf: str)
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder the cluster shares (``spark.checkpoint.dir``).
+    """A fresh path below the folder the cluster shares (``spark.checkpoint.dir``), removed when the program ends.
 
     Without that setting a local master gets a temporary folder; on a cluster each machine would write to its own disk
     and the read back would miss rows, so there it is an error.
@@ -40,7 +42,24 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         if not re.fullmatch(r"local(\[[^]]*\])?", master):
             raise ValueError(f"spark.checkpoint.dir names no shared folder, which master {master} needs for intermediate tables")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/verdikt-{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/verdikt-{name}-{uuid.uuid4().hex}"
+    _remove_at_end(spark, path)
+    return path
+
+
+def _remove_at_end(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate folder when the driver's program ends (not from a Connect client)."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None:
+        return
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):  # the gateway may be gone already
+            files.delete(folder, True)
+
+    atexit.register(remove)
 
 
 def landed(df: DataFrame, name: str) -> DataFrame:
