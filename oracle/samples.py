@@ -98,3 +98,55 @@ FROM negs n JOIN made m ON m.group_id = n.group_id AND m.t = n.t WHERE m.reason
 add("k6_skip_reasons", "made", "SELECT env_task, reason, count(*) AS n FROM made GROUP BY ALL")
 add("j10_candidate_pool", "pool_reps", "SELECT env_task, action, idx, sig, group_id, t FROM pool_reps WHERE rep <= 2")
 add("k6_draws", "looked", "SELECT group_id, t, draw, sig, ng AS neg_group, nt AS neg_t FROM looked")
+
+# the greedy pass, slot by slot: of a role's unused rows the first one, rows of unused groups before others
+GREEDY = """
+, slots AS (SELECT row_number() OVER () AS i, * FROM (@SLOTS) x),
+r AS (SELECT env_task, sampling_role, group_id, uid, @SHORT AS short FROM exam_e WHERE @WHERE),
+st AS (
+ SELECT DISTINCT env_task, 0::BIGINT AS i, []::VARCHAR[] AS used, []::VARCHAR[] AS groups, NULL::STRUCT(o BOOLEAN, short INTEGER, g VARCHAR, u VARCHAR) AS b, true AS asked FROM r
+ UNION ALL
+ SELECT env_task, i, CASE WHEN b IS NULL THEN used ELSE list_append(used, b.u) END, CASE WHEN b IS NULL THEN groups ELSE list_append(groups, b.g) END, b, asked
+ FROM (SELECT s.env_task, t.i, any_value(s.used) AS used, any_value(s.groups) AS groups,
+        min({'o': list_contains(s.groups, e.group_id), 'short': e.short, 'g': e.group_id, 'u': e.uid}) FILTER (WHERE e.uid IS NOT NULL) AS b,
+        any_value(t.stage = 'base' OR len(s.used) < @TOTAL) AS asked
+       FROM st s JOIN slots t ON t.i = s.i + 1
+       LEFT JOIN r e ON e.env_task = s.env_task AND e.sampling_role = t.role AND NOT list_contains(s.used, e.uid) AND (t.stage = 'base' OR len(s.used) < @TOTAL)
+       GROUP BY s.env_task, t.i) n),
+done AS (SELECT env_task, used FROM st WHERE i = (SELECT max(i) FROM slots))
+SELECT st.env_task, CASE WHEN b IS NULL THEN -1 ELSE len(used) END AS pick, CASE WHEN b IS NULL THEN concat('missing_', stage) ELSE stage END AS stage, role AS sampling_role,
+ b.g AS group_id, b.u AS uid FROM st JOIN slots t ON t.i = st.i WHERE asked
+UNION ALL
+SELECT env_task, len(used) + k, 'fallback', sampling_role, group_id, uid
+FROM (SELECT r.*, d.used, row_number() OVER (PARTITION BY r.env_task ORDER BY r.group_id, r.uid) AS k FROM r JOIN done d ON d.env_task = r.env_task AND NOT list_contains(d.used, r.uid)) f
+WHERE @FALLBACK AND len(used) + k <= @TOTAL"""
+ROLES = ["identity_short", "identity_medium", "identity_long", "status_early_holding", "status_mid_holding", "status_first_post_drop", "status_late_post_drop"]
+EXTRAS = ["identity_long", "status_late_post_drop", "status_mid_holding", "identity_medium", "status_first_post_drop"]
+
+
+def greedy(times: int, total: int, prefer_long: bool) -> str:
+    slots = [f"SELECT 'base' AS stage, '{r}' AS role" for r in ROLES for _ in range(times)] + [f"SELECT 'extra', '{r}'" for r in EXTRAS]
+    body = GREEDY.replace("@SLOTS", " UNION ALL ".join(slots)).replace("@TOTAL", str(total)).replace("@WHERE", "true").replace("@FALLBACK", "true")
+    body = body.replace("@SHORT", "CASE WHEN horizon_bucket <> 'long' THEN 1 ELSE 0 END" if prefer_long else "0")
+    return with_views(["exam_e"], body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+SQL["k4_quota_sample"] = greedy(5, 36, True)
+SQL["k4_mandatory_audit"] = greedy(1, 12, False)
+# ranked once per role: each role takes its first rows, those of unused groups before others
+FOCUSED = """
+, slots AS (SELECT row_number() OVER () AS i, * FROM (@SLOTS) x),
+r AS (SELECT * FROM exam_e WHERE env_task = 'env1'),
+st AS (
+ SELECT 0::BIGINT AS i, []::VARCHAR[] AS used, []::VARCHAR[] AS groups, []::STRUCT(o BOOLEAN, g VARCHAR, u VARCHAR)[] AS b
+ UNION ALL
+ SELECT i, list_concat(used, list_transform(b, lambda x: x.u)), list_concat(groups, list_transform(b, lambda x: x.g)), b
+ FROM (SELECT t.i, any_value(s.used) AS used, any_value(s.groups) AS groups,
+        coalesce(min({'o': list_contains(s.groups, e.group_id), 'g': e.group_id, 'u': e.uid}, 3) FILTER (WHERE e.uid IS NOT NULL), []) AS b
+       FROM st s JOIN slots t ON t.i = s.i + 1 LEFT JOIN r e ON e.sampling_role = t.role AND NOT list_contains(s.used, e.uid) GROUP BY t.i) n)
+SELECT 'env1' AS env_task, len(used) - len(b) + k AS pick, 'base' AS stage, role AS sampling_role, b[k].g AS group_id, b[k].u AS uid
+FROM (SELECT st.*, role, unnest(range(1, len(b) + 1)) AS k FROM st JOIN slots t ON t.i = st.i) x
+UNION ALL
+SELECT 'env1', -1, 'missing_base', role, NULL, NULL FROM (SELECT role, unnest(range(len(b), 3)) FROM st JOIN slots t ON t.i = st.i) y
+WHERE EXISTS (SELECT 1 FROM r)"""
+SQL["k4_focused_audit"] = with_views(["exam_e"], FOCUSED.replace("@SLOTS", " UNION ALL ".join(f"SELECT '{r}' AS role" for r in ROLES))).replace("WITH ", "WITH RECURSIVE ", 1)
