@@ -41,6 +41,8 @@ SYMBOLS = 40
 #: Distinct units whose scores a task remembers.
 REMEMBERED = 400_000
 LOWEST = -3.0
+#: Units whose subsequences are in memory together (some ten thousand numbers a unit at most).
+AT_ONCE = 2048
 
 _SPELLING = {**{ord(c): None for c in "!\"#%&'()*+,-./:;<=>?[\\]^_`{|}~$"}, **{ord(a): ord(b) for a, b in zip("0134578@", "oieastba")}}
 _APART = re.compile(r"(?<!\S)[^\W_](?:[ .*_-][^\W_]){2,}(?!\S)")
@@ -76,8 +78,8 @@ def places(n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, GAP ** (at[:, 3] - at[:, 0] - 3.0)
 
 
-def features(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(unit number, subsequence, value) of all units; the values of a unit have length one."""
+def features(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, subsequence, value) of all units, and the unit of each stretch; the values of a stretch have length one."""
     rows, keys, values = [], [], []
     by_size: dict[int, list[int]] = {}
     parts: list[np.ndarray] = []
@@ -92,8 +94,8 @@ def features(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 owner.append(k)
     for n, members in by_size.items():
         at, weight = places(n)
-        for s in range(0, len(members), 4096):
-            some = members[s : s + 4096]
+        for s in range(0, len(members), AT_ONCE):
+            some = members[s : s + AT_ONCE]
             m = np.stack([parts[i] for i in some])
             code = m[:, at[:, 0]]
             for j in (1, 2, 3):
@@ -110,17 +112,17 @@ def features(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             keys.append(code.ravel()[first])
             values.append(value / norm[row])
     if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(rows), np.concatenate(keys), np.concatenate(values), np.array(owner)  # type: ignore[return-value]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+    return np.concatenate(rows), np.concatenate(keys), np.concatenate(values), np.array(owner)
 
 
 def unit_scores(units: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
     """Machine output of each unit; that of a long one is its worst stretch."""
     out = np.full(len(units), LOWEST)
-    got = features(units)
-    if len(got) == 4:
-        row, key, value, owner = got
-        np.maximum.at(out, owner, np.bincount(row, weights[key] * value, len(owner)) + bias)
+    for s in range(0, len(units), AT_ONCE):
+        row, key, value, owner = features(units[s : s + AT_ONCE])
+        if len(owner):
+            np.maximum.at(out, s + owner, np.bincount(row, weights[key] * value, len(owner)) + bias)
     return out
 
 
@@ -157,8 +159,8 @@ def _kernel(units: list[str], landmarks: list[str]) -> np.ndarray:
     table = np.zeros((len(keys), len(landmarks)), np.float32)
     table[column, owner[row]] = value
     out = np.zeros((len(units), len(landmarks)), np.float32)
-    for s in range(0, len(units), 8192):
-        row, key, value, owner = features(units[s : s + 8192])
+    for s in range(0, len(units), AT_ONCE):
+        row, key, value, owner = features(units[s : s + AT_ONCE])
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         hit = keys[at] == key
         row, at, value = owner[row[hit]], at[hit], value[hit]
@@ -166,9 +168,9 @@ def _kernel(units: list[str], landmarks: list[str]) -> np.ndarray:
         row, at, value = row[order], at[order], value[order]
         if len(row):
             first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            for f in range(0, len(first), 512):
-                a, b = first[f], first[f + 512] if f + 512 < len(first) else len(row)
-                out[s + row[first[f : f + 512]]] = np.add.reduceat(table[at[a:b]] * value[a:b, None].astype(np.float32), first[f : f + 512] - a, axis=0)
+            for f in range(0, len(first), 256):
+                a, b = first[f], first[f + 256] if f + 256 < len(first) else len(row)
+                out[s + row[first[f : f + 256]]] = np.add.reduceat(table[at[a:b]] * value[a:b, None].astype(np.float32), first[f : f + 256] - a, axis=0)
     return out
 
 
@@ -197,59 +199,73 @@ def _altered(u: str, rng: np.random.Generator, times: int = 2) -> list[str]:
     return out
 
 
+def _best(ids: np.ndarray, score: np.ndarray) -> int:
+    """The unit with the highest score, the last one of equals."""
+    s = score[ids]
+    return int(ids[np.flatnonzero(s == s.max())[-1]])
+
+
 def fit(bags: list[tuple[bool, str]], seed: int = 7) -> Machine | None:
-    """Machine of (toxic, text) examples; none if a class is missing."""
-    docs = [(toxic, sorted({u for u in map(unit, words_of(text)) if u and len(u) <= LONGEST})) for toxic, text in bags]
-    docs = [d for d in docs if d[1]]
-    if len({t for t, _ in docs}) < 2:
+    """Machine of (toxic, text) examples; none if a class is missing.  Units are kept once, documents hold their numbers."""
+    number: dict[str, int] = {}
+    docs, toxic = [], []
+    for label, text in bags:
+        ids = {number.setdefault(u, len(number)) for u in map(unit, words_of(text)) if u and len(u) <= LONGEST}
+        if ids:
+            docs.append(np.fromiter(ids, np.int32, len(ids)))
+            toxic.append(label)
+    if len(set(toxic)) < 2:
         return None
-    good, bad = Counter(), Counter()
-    for toxic, units in docs:
-        (bad if toxic else good).update(units)
-    n_bad, n_good = sum(t for t, _ in docs), sum(not t for t, _ in docs)
-    odds = {u: np.log((n / n_bad + 1 / n_bad) / (good[u] / n_good + 1 / n_good)) for u, n in bad.items()}
+    names = sorted(number)
+    place = np.empty(len(names), np.int32)
+    place[[number[u] for u in names]] = np.arange(len(names))
+    number.clear()
+    docs = [np.sort(place[d]) for d in docs]
+    toxic = np.array(toxic)
+    count = lambda of: np.bincount(np.concatenate([d for d, t in zip(docs, toxic) if t == of]), minlength=len(names))
+    good, bad = count(False), count(True)
+    n_bad, n_good = int(toxic.sum()), int((~toxic).sum())
+    odds = np.where(bad > 0, np.log((bad / n_bad + 1 / n_bad) / (good / n_good + 1 / n_good)), -np.inf)
     rng = np.random.default_rng(seed)
-    clean = sorted(good)
-    common = [u for u, _ in sorted(good.items(), key=lambda x: (-x[1], x[0]))[: LANDMARKS // 4]]
-    spread = [clean[i] for i in rng.choice(len(clean), min(len(clean), LANDMARKS // 4), replace=False)]
-    landmarks = list(dict.fromkeys([u for u, _ in sorted(odds.items(), key=lambda x: (-x[1], x[0]))[: LANDMARKS // 2]] + common + spread))
+    clean = np.flatnonzero(good)
+    common = np.argsort(-good, kind="stable")[: LANDMARKS // 4]
+    spread = rng.choice(clean, min(len(clean), LANDMARKS // 4), replace=False)
+    telling_first = np.argsort(-odds, kind="stable")[: LANDMARKS // 2]
+    landmarks = [names[i] for i in dict.fromkeys([*telling_first.tolist(), *common.tolist(), *spread.tolist()])]
     row, key, value, owner = features(landmarks)
     k = _kernel(landmarks, landmarks).astype(float)
     lam, vec = np.linalg.eigh(k)
     keep = lam > 1e-3 * lam[-1]
     root = vec[:, keep] / np.sqrt(lam[keep])  # Nyström map: kernel values times this
 
-    toxic_docs = [u for t, u in docs if t]
-    stands = [max(u, key=lambda x: (odds[x], x)) for u in toxic_docs]
+    toxic_docs = [d for d, t in zip(docs, toxic) if t]
+    stands = [_best(d, odds) for d in toxic_docs]
     # units of many toxic documents and of no other stand for the class, whichever unit is the worst of a document
-    telling = Counter({u: n for u, n in bad.items() if n >= max(3, n_bad // 200) and not good[u]})
-    hard = [clean[i] for i in rng.choice(len(clean), min(len(clean), 6000), replace=False)]
-    every = clean + [u for u in sorted(bad) if u not in good]
-    weights, bias = np.zeros(SYMBOLS**4, np.float32), 0.0
+    telling = Counter({int(i): int(bad[i]) for i in np.flatnonzero((bad >= max(3, n_bad // 200)) & (good == 0))})
+    hard = rng.choice(clean, min(len(clean), 6000), replace=False)
+    weights, bias, score = np.zeros(SYMBOLS**4, np.float32), 0.0, np.zeros(len(names))
+    is_clean = set(names[i] for i in clean)
     for _ in range(4):
-        yes, no = Counter(stands) | telling, list(dict.fromkeys(hard + common))
+        yes = {names[i]: float(n) for i, n in (Counter(stands) | telling).items()}
         for u in sorted(yes):
             for v in _altered(u, rng):
-                if v not in good:
-                    yes[v] = max(yes[v], yes[u] / 4)
-        units = list(yes) + no
+                if v not in is_clean:
+                    yes[v] = max(yes.get(v, 0.0), yes[u] / 4)
+        units = list(yes) + [names[i] for i in np.unique(np.concatenate([hard, common])) if names[i] not in yes]
         z = _kernel(units, landmarks) @ root
         x = np.hstack([z, np.ones((len(z), 1))])
-        y = np.concatenate([np.ones(len(yes)), -np.ones(len(no))])
+        y = np.concatenate([np.ones(len(yes)), -np.ones(len(units) - len(yes))])
         # both classes weigh the same
-        weight = np.concatenate([np.array([yes[u] for u in yes]) / sum(yes.values()), np.full(len(no), 1 / len(no))])
+        weight = np.concatenate([np.array(list(yes.values())) / sum(yes.values()), np.full(len(units) - len(yes), 1 / (len(units) - len(yes)))])
         w = _svm(x, y, weight, cost=2000.0)
         alpha, bias = root @ w[:-1], float(w[-1])
         weights = np.bincount(key, alpha[owner[row]] * value, SYMBOLS**4).astype(np.float32)
-        score = dict(zip(every, unit_scores(every, weights, bias).tolist()))
-        best = [max(u, key=lambda x: (score[x], x)) for u in toxic_docs]
+        score = unit_scores(names, weights, bias)
+        best = [_best(d, score) for d in toxic_docs]
         # a toxic document whose best unit looks like the other class has nothing to teach
-        stands = [u for u in best if score[u] > -0.5] or best
-        ranked = sorted(clean, key=lambda u: (-score[u], u))
-        hard = list(dict.fromkeys(hard[:6000] + ranked[:4000]))
-    worst = np.array([max(score[u] for u in units) for _, units in docs])
-    label = np.array([t for t, _ in docs], float)
-    slope, middle = _curve(worst, label)
+        stands = [i for i in best if score[i] > -0.5] or best
+        hard = np.concatenate([hard[:6000], clean[np.argsort(-score[clean], kind="stable")[:4000]]])
+    slope, middle = _curve(np.array([score[d].max() for d in docs]), toxic.astype(float))
     return Machine(weights, bias, slope, middle)
 
 
