@@ -31,6 +31,8 @@ BUDGET = 2
 #: Lowest bits of the three thirds; the first has 22 bits, of which 21 are used to start.
 THIRDS = (42, 21, 0)
 START = 21
+#: Rotations to the left that bring each third to the top.
+TURNS = tuple((64 - (low + START)) % 64 if low < 42 else 0 for low in THIRDS)
 #: Distinct fingerprints below one starting node beyond which its next bits deal them out, and the number of those bits.
 NODE_ROWS = 1 << 20
 DEAL_BITS = 8
@@ -136,8 +138,9 @@ def linked(values: np.ndarray, node: np.ndarray, budget: int = BUDGET) -> np.nda
             al, ah, bl, bh, err = (x[~single] for x in (al, ah, bl, bh, err))
         if not len(al):
             continue
-        if d == 64:  # equal values, which do not occur
-            forest.add(al, bl)
+        if d == 64:  # several rows of one value, which do not occur
+            near = np.bitwise_count(values[al] ^ values[bl]) <= budget
+            forest.add(al[near], bl[near])
             continue
         am, bm = middle(al, ah, d), middle(bl, bh, d)
         own = al == bl
@@ -156,16 +159,16 @@ def _join_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not got:
         return
     turn, node, fp = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in got]) for i in range(3))
-    for k, low in enumerate(THIRDS):
+    for k, left in enumerate(TURNS):
         pick = turn == k
-        values, where = rotated(fp[pick].view(np.uint64), 42 - low), node[pick]
+        values, where = rotated(fp[pick].view(np.uint64), left), node[pick]
         order = np.lexsort((values, where))
         values, where = values[order], where[order]
         if not len(values):
             continue
         root = linked(values, where)
         child = np.flatnonzero(root != np.arange(len(root)))
-        back = lambda rows: rotated(values[rows], 64 - (42 - low)).view(np.int64)  # noqa: B023, E731
+        back = lambda rows: rotated(values[rows], 64 - left).view(np.int64)  # noqa: B023, E731
         yield pa.RecordBatch.from_arrays([pa.array(back(child)), pa.array(back(root[child]))], ["a", "b"])
 
 
