@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from verdikt.llm import simhash
+from verdikt.llm import chat, simhash
 
 from . import brute
 
@@ -59,3 +59,46 @@ def test_dense_nodes_lose_no_link(spark, node_rows):
     frame = spark.createDataFrame([(v,) for v in signed(values)], "fp long")
     edges = [(a % (1 << 64), b % (1 << 64)) for a, b in simhash.links(frame, node_rows).collect()]
     assert classes_of(values, edges) == brute.components(values)
+
+
+def plain_windows(tokens, system, budget, history_turns=2, history_tokens=128):
+    """(first, history, end) over a whole conversation."""
+    body = int(system and len(tokens) > 1)
+    head, out, first = tokens[0] if body else 0, [], body
+    while first < len(tokens):
+        history = 0
+        for h in range(1, history_turns + 1):
+            if first - h >= body and sum(tokens[first - h : first]) <= history_tokens and head + sum(tokens[first - h : first + 1]) <= budget:
+                history = h
+        end, used = first + 1, head + sum(tokens[first - history : first + 1])
+        while end < len(tokens) and used + tokens[end] <= budget:
+            used, end = used + tokens[end], end + 1
+        out.append((first, history, end))
+        first = end
+    return out
+
+
+@pytest.mark.parametrize("budget, block, chain", [(512, 1024, 256), (512, 1024, 2), (60, 8, 3), (7, 8, 2)])
+def test_windows_run_on_across_blocks(spark, monkeypatch, budget, block, chain):
+    monkeypatch.setattr(chat, "BLOCK", block)
+    monkeypatch.setattr(chat, "CHAIN", chain)
+    rng = random.Random(budget + chain)
+    long = 5000 if budget == 512 else 300
+    convs = {}
+    for c, (n, most) in enumerate([(long, 60), (long, 1), (long + 7, 600), (1024, 30), (1025, 30), (2048, 9), (block, 30), (block + 1, 30), (5, 9), (1, 9)]):
+        convs[c] = [(c, i, "system" if i == 0 and c % 2 == 0 else rng.choice(["user", "assistant"]), "w " * rng.randint(0, most)) for i in range(n)]
+    frame = spark.createDataFrame([r for rows in convs.values() for r in rows], "conv_id long, turn long, role string, text string").repartition(3)
+    w = chat.windows(frame, budget=budget)
+    got = {}
+    for r in w.collect():
+        got.setdefault(r.conv_id, []).append((r["first"], r.repeated, len(r.text)))
+    chars = {r.conv_id: r.formatted_chars for r in chat.read_back(w).collect()}
+    for c, rows in convs.items():
+        length = [len(f"{chat.OPEN}{role}\n{text}{chat.CLOSE}") for _, _, role, text in rows]
+        system = int(rows[0][2] == "system" and len(rows) > 1)
+        want = []
+        for first, history, end in plain_windows([3 + len(text.split()) for *_, text in rows], rows[0][2] == "system", budget):
+            repeated = 0 if first == system and not history else system + history
+            want.append((first, repeated, system * length[0] + sum(length[first - history : end])))
+        assert sorted(got[c]) == want
+        assert chars[c] == sum(x for _, _, x in want)

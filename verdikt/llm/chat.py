@@ -4,8 +4,10 @@ The turns of a conversation are numbered; prefix sums of their tokens choose spa
 together with the system turn and a limited history before the span.  A window holds the system turn, the history and
 the new turns; only new assistant texts are targets, so that each is learned once.
 
-Numbers and sums are worked out in blocks of turns with a few turns of the block before them: a conversation of any
-length is spread over tasks, and a window never has more turns than its budget has tokens.
+Numbers and sums are worked out in blocks of turns with a few turns of the blocks beside them: a conversation of any
+length is spread over tasks, and a window never has more turns than its budget has tokens.  Windows run on across blocks:
+a block tells, for each turn in which a window may enter it, where the first window behind it begins; these short lists
+are chained, CHAIN blocks at a time, so that each block knows its first window.
 
 Control strings inside texts are escaped by one backslash after the ``<``; that is undone by taking one away.
 
@@ -26,6 +28,8 @@ BUDGET = 512
 HISTORY_TURNS = 2
 HISTORY_TOKENS = 128
 BLOCK = 1024
+#: Blocks whose exits are put together into one.
+CHAIN = 256
 #: Tokens of the template around each turn.
 TURN_TOKENS = 3
 
@@ -59,13 +63,49 @@ def numbered(conversations: DataFrame) -> DataFrame:
     )
 
 
+def crossings(maps: DataFrame, size: int, width: int) -> DataFrame:
+    """(key, block, entry, stop): first window of each block after the first, and first window behind each before the last.
+
+    ``maps``: key, block and exits; a window that begins ``i`` turns into a block is followed by one that begins
+    ``exits[i]`` turns into the next block.
+    """
+    groups = maps.groupBy("key", F.floor(F.col("block") / CHAIN).alias("chain")).agg(F.sort_array(F.collect_list(F.struct("block", "exits"))).alias("maps"))
+    through = F.aggregate("maps", F.sequence(F.lit(0), F.lit(width - 1)), lambda at, m: F.transform(at, lambda x: F.get(m["exits"], x)))
+    chains = groups.select("key", "chain", through.alias("exits")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("chain", "exits"))).alias("maps"))
+    walk = lambda first, name: F.aggregate(
+        "maps",
+        F.struct(first.alias("at"), F.array().cast(f"array<struct<{name}:bigint,begin:int,exit:int>>").alias("all")),
+        lambda acc, m: let(
+            F.get(m["exits"], acc["at"]),
+            lambda x: F.struct(x.alias("at"), F.concat(acc["all"], F.array(F.struct(m[name].alias(name), acc["at"].alias("begin"), x.alias("exit")))).alias("all")),
+        ),
+        lambda acc: acc["all"],
+    )
+    begins = chains.select("key", F.inline(walk(F.lit(0), "chain"))).select("key", "chain", "begin")
+    exits = groups.join(begins, ["key", "chain"]).select("key", F.inline(walk(F.col("begin"), "block")))
+    at = (F.col("block") + 1) * size + F.col("exit")
+    none = F.lit(None).cast("bigint")
+    sides = F.array(F.struct(F.col("block").alias("block"), none.alias("entry"), at.alias("stop")), F.struct((F.col("block") + 1).alias("block"), at.alias("entry"), none.alias("stop")))
+    return exits.select("key", F.inline(sides)).groupBy("key", "block").agg(F.max("entry").alias("entry"), F.max("stop").alias("stop"))
+
+
 def spans(turns: DataFrame, budget: int, history_turns: int, history_tokens: int) -> DataFrame:
     """(key, first, end, history, system): windows take turns ``first`` to ``end - 1``, after ``history`` repeated ones."""
+    # a window has at most ``width`` turns, so it reaches into the next block and no further
+    width = max(1, budget // TURN_TOKENS)
+    size = max(BLOCK, width + 1, history_turns)
     system = turns.filter((F.col("idx") == 0) & (F.col("role") == "system")).select("key", F.col("tokens").alias("system"))
-    block = F.floor(F.col("idx") / BLOCK)
-    at = F.when(F.pmod("idx", F.lit(BLOCK)) >= BLOCK - history_turns, F.array(block, block + 1)).otherwise(F.array(block))
+    block = F.floor(F.col("idx") / size)
+    place = F.pmod("idx", F.lit(size))
+    none = F.array().cast("array<bigint>")
+    at = F.concat(
+        F.array(block),
+        F.when(place >= size - history_turns, F.array(block + 1)).otherwise(none),
+        F.when((place < width) & (block > 0), F.array(block - 1)).otherwise(none),
+    )
     rows = turns.select("key", "n_turns", "idx", "tokens", F.explode(at).alias("block"))
-    blocks = rows.groupBy("key", "block", "n_turns").agg(F.sort_array(F.collect_list(F.struct("idx", "tokens"))).alias("turns"))
+    rows = rows.withColumn("upto", F.sum("tokens").over(Window.partitionBy("key", "block").orderBy("idx")))
+    blocks = rows.groupBy("key", "block", "n_turns").agg(F.sort_array(F.collect_list(F.struct("idx", "tokens", "upto"))).alias("turns"))
     # the body starts behind a system turn, unless that is all there is
     blocks = blocks.join(system, "key", "left").withColumns(
         {"body": F.when(F.col("system").isNotNull() & (F.col("n_turns") > 1), 1).otherwise(0), "system": F.coalesce("system", F.lit(0).cast("bigint"))}
@@ -84,11 +124,28 @@ def spans(turns: DataFrame, budget: int, history_turns: int, history_tokens: int
             choice = F.when(F.coalesce(fits, F.lit(False)), F.struct(F.lit(h).alias("turns"), total.alias("tokens"))).otherwise(choice)
         return choice
 
+    def following(turn: Column, k: Column) -> Column:
+        """First turn behind a window that begins with the k-th known turn: the last sum within the budget, by halves."""
+        steps = F.array(*[F.lit(1 << b) for b in reversed(range(width.bit_length()))])
+        room = turn["upto"] - turn["tokens"] + budget - F.col("system") - open_window(turn, k)["tokens"]
+        fits = let(room, lambda r: F.aggregate(steps, F.lit(0), lambda n, x: F.when(F.coalesce(F.get("known", k + n + x - 1)["upto"] <= r, F.lit(False)), n + x).otherwise(n)))
+        return turn["idx"] + F.greatest(fits, F.lit(1))
+
+    # where windows that begin in a block leave it: every turn's next window, then twice as far in each round
+    stop = (F.col("block") + 1) * size
+    mapped = blocks.filter(stop < F.col("n_turns")).withColumn("base", F.greatest(F.col("block") * size, F.col("body")))
+    next_of = F.transform("known", lambda t, k: F.when((t["idx"] >= F.col("base")) & (t["idx"] < stop), following(t, k)))
+    mapped = mapped.withColumn("next", F.filter(next_of, lambda x: x.isNotNull()))
+    rounds = F.sequence(F.lit(1), F.lit(size.bit_length()))
+    ahead = F.aggregate(rounds, F.col("next"), lambda to, _: F.transform(to, lambda x: F.when(x >= stop, x).otherwise(F.get(to, (x - F.col("base")).cast("int")))))
+    exits = F.transform(F.slice(ahead, 1, width), lambda x: (x - stop).cast("int"))
+    blocks = blocks.join(crossings(mapped.select("key", "block", exits.alias("exits")), size, width), ["key", "block"], "left")
+
     window = "struct<first:bigint,history:int>"
     start = F.struct(F.array().cast(f"array<{window}>").alias("windows"), F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("k"))
 
     def step(acc: Column, turn: Column) -> Column:
-        mine = F.floor(turn["idx"] / BLOCK) == F.col("block")
+        mine = (F.floor(turn["idx"] / size) == F.col("block")) & (turn["idx"] >= F.coalesce("entry", F.lit(0)))
         more = (F.size(acc["windows"]) > 0) & (acc["used"] + turn["tokens"] <= budget)
         opened = let(
             open_window(turn, acc["k"]),
@@ -103,7 +160,7 @@ def spans(turns: DataFrame, budget: int, history_turns: int, history_tokens: int
         return F.when(~mine, passed).when(more, kept).otherwise(opened)
 
     blocks = blocks.withColumn("windows", F.aggregate("known", start, step, lambda acc: acc["windows"]))
-    last = F.least(F.col("n_turns"), (F.col("block") + 1) * BLOCK)
+    last = F.coalesce("stop", "n_turns")
     ends = F.transform("windows", lambda w, i: F.struct(w["first"].alias("first"), F.coalesce(F.get("windows", i + 1)["first"], last).alias("end"), w["history"].alias("history")))
     return blocks.select("key", F.col("body").alias("system"), F.inline(ends))
 
