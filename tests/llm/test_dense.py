@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from verdikt.llm import chat, simhash
+from verdikt.llm import chat, simhash, substrings
 
 from . import brute
 
@@ -102,3 +103,21 @@ def test_windows_run_on_across_blocks(spark, monkeypatch, budget, block, chain):
             want.append((first, repeated, system * length[0] + sum(length[first - history : end])))
         assert sorted(got[c]) == want
         assert chars[c] == sum(x for _, _, x in want)
+
+
+@pytest.mark.parametrize("hot_entries", [substrings.HOT_ENTRIES, 6, 1])
+def test_passage_of_many_documents_is_dealt(spark, hot_entries):
+    rng = random.Random(hot_entries)
+    some = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    passage, other = some(75), some(60)
+    texts = [" ".join(some(rng.randrange(45)) + (passage if k % 5 else other) + some(rng.randrange(45))) for k in range(80)]
+    rows = [(rng.randrange(70), t) for t in texts] + [(90, texts[0]), (91, texts[1]), (91, texts[1]), (92, " ".join(some(200))), (None, texts[2]), (93, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substrings.without_repeats(docs, hot_entries).collect()
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted(brute.without_repeats(rows), key=key)
+    # no task gets more distinct segments of an anchor than that
+    found = docs.filter("doc_id is not null").na.fill("").mapInArrow(substrings._segment_rows, substrings.SEGMENTS)
+    cold, hot = substrings.dealt(found, hot_entries)
+    assert (cold.groupBy("anchor").count().agg(F.max("count")).first()[0] or 0) <= hot_entries
+    assert (hot is not None) == (hot_entries < 50) and (hot is None or hot.count() > 0)

@@ -6,9 +6,10 @@ in the shard of its anchor, and anchors that one document alone has are dropped
 segment meet as one entry with their smallest doc_id.  The distinct segments of a shard are put into an FM-index;
 segments are streamed backwards through its wavelet tree, which gives matching statistics: the length (up to 50) and the
 interval of the longest match at every word.  Matches of full length report the smallest document of their interval.
-An anchor with a very large group of segments is indexed block by block, and each of its segments passes every block.
+An anchor with more than HOT_ENTRIES distinct segments is not put into one shard: the windows of its segments are dealt by
+their own hash, the smallest document of each is an aggregation, and windows that very many segments have are joined apart.
 
-Words are compared by bytes within a shard; anchors and whole segments by 64-bit hashes.
+Words are compared by bytes within a shard; anchors and whole segments by 64-bit hashes, windows of hot anchors by 128 bits.
 
 Defined results: null and empty texts have no words; rows without doc_id keep all their words and remove none elsewhere;
 repeated rows have one id, which is not smaller than itself, so they keep what no smaller id has; a passage repeated in
@@ -35,6 +36,8 @@ ANCHOR = 8
 RUN = 64
 #: Words in one index.
 SHARD_WORDS = 1 << 20
+#: Most distinct segments of an anchor that go to one task (fewer words than one index), and rows of one window in a join.
+HOT_ENTRIES = 4096
 
 
 def segments(texts: pa.Array, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
@@ -254,33 +257,91 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 4, kinds)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def removal_spans(docs: DataFrame) -> DataFrame:
+WINDOWS = "anchor bigint, seg bigint, at int, window binary, doc_id bigint"
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each window of each segment (at most RUN), with a hash of its words."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
+    for batch in batches:
+        out = []
+        for anchor, seg, doc, words in zip(*[c.to_pylist() for c in batch.columns]):
+            words = words.split(b" ")
+            out += [(anchor, seg, k, hashlib.blake2b(b" ".join(words[k : k + LENGTH]), digest_size=16).digest(), doc) for k in range(len(words) - LENGTH + 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 5, kinds)], ["anchor", "seg", "at", "window", "doc_id"])
+
+
+def _joined_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of a segment with their owners, as runs of one owner."""
+    for batch in batches:
+        out = []
+        for found in batch.column(2).to_pylist():
+            spans: list[dict[str, int]] = []
+            for at, owner in sorted((x["at"], x["owner"]) for x in found):
+                if spans and spans[-1]["end"] == at and spans[-1]["owner"] == owner:
+                    spans[-1]["end"] = at + 1
+                else:
+                    spans.append({"first": at, "end": at + 1, "owner": owner})
+            out.append(spans)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, _OWNERS)], ["anchor", "seg", "owners"])
+
+
+def dealt(found: DataFrame, hot_entries: int) -> tuple[DataFrame, DataFrame | None]:
+    """Entries (anchor, seg, windows, rep, many) of anchors that two documents have; those of hot anchors apart, if any."""
+    # copies of a segment are one entry, that of the smallest document
+    all_entries = found.groupBy("anchor", "seg", "windows").agg(F.min(F.struct("doc_id", "sum", "start")).alias("rep"), F.max("doc_id").alias("last"))
+    sizes = found.groupBy("anchor", "seg").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    sizes = sizes.groupBy("anchor").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.count("*").alias("n"))
+    hot = landed(sizes.filter(F.col("n") > hot_entries).coalesce(1).select("anchor", "least", "most"), "substrings-hot-anchors")
+    some = not hot.isEmpty()
+    cold = all_entries.join(hot, "anchor", "left_anti") if some else all_entries
+    group = Window.partitionBy("anchor")
+    cold = cold.withColumns({"least": F.min("rep.doc_id").over(group), "most": F.max("last").over(group), "entries": F.count("*").over(group)})
+    cold = cold.filter("least < most").select("anchor", "seg", "windows", "rep", (F.col("entries") > 1).alias("many"))
+    return cold, all_entries.join(hot.filter("least < most"), "anchor", "left_semi").select("anchor", "seg", "windows", "rep", F.lit(True).alias("many")) if some else None
+
+
+def hot_owners(words: DataFrame, hot_rows: int) -> DataFrame:
+    """Owners of the windows of hot anchors' segments that several segments of different documents have."""
+    rows = landed(words.mapInArrow(_window_rows, WINDOWS), "substrings-windows")
+    shared = rows.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
+    shared = landed(shared.filter("owner < most").select("window", "owner", "n"), "substrings-shared")
+    common = landed(shared.filter(F.col("n") > hot_rows).coalesce(1).select("window", "owner"), "substrings-common")
+    rest = rows.join(common, "window", "left_anti").join(shared.filter(F.col("n") <= hot_rows), "window").select("anchor", "seg", "at", "owner")
+    hits = rows.join(common, "window").select("anchor", "seg", "at", "owner").unionByName(rest)
+    return hits.groupBy("anchor", "seg").agg(F.collect_set(F.struct("at", "owner")).alias("found")).mapInArrow(_joined_runs, OWNERS)
+
+
+def removal_spans(docs: DataFrame, hot_entries: int = HOT_ENTRIES) -> DataFrame:
     """(doc_id, sum, spans): ranges of words that a smaller document has, for the rows that have any.
 
     ``docs``: doc_id (long) and text without nulls; ``sum`` tells rows of one id apart.
     """
     found = landed(docs.filter(F.col("doc_id").isNotNull()).mapInArrow(_segment_rows, SEGMENTS), "substrings-segments")
-    # copies of a segment are one entry, that of the smallest document
-    entries = found.groupBy("anchor", "seg", "windows").agg(F.min(F.struct("doc_id", "sum", "start")).alias("rep"), F.max("doc_id").alias("last"))
-    group = Window.partitionBy("anchor")
-    entries = entries.withColumns({"least": F.min("rep.doc_id").over(group), "most": F.max("last").over(group), "entries": F.count("*").over(group)})
-    entries = landed(entries.filter("least < most").select("anchor", "seg", "windows", "rep", (F.col("entries") > 1).alias("many")), "substrings-entries")
-
-    wanted = entries.filter("many").groupBy("rep.doc_id", "rep.sum").agg(F.collect_list(F.struct("rep.start", "windows", "anchor", "seg")).alias("wanted"))
     packed = docs.mapInArrow(_compressed, "doc_id bigint, sum int, packed binary")
-    words = packed.join(wanted, ["doc_id", "sum"]).select("doc_id", "packed", "wanted").mapInArrow(_wanted_words, "anchor bigint, seg bigint, doc_id bigint, words binary")
+
+    def words_of(entries: DataFrame) -> DataFrame:
+        wanted = entries.groupBy("rep.doc_id", "rep.sum").agg(F.collect_list(F.struct("rep.start", "windows", "anchor", "seg")).alias("wanted"))
+        return packed.join(wanted, ["doc_id", "sum"]).select("doc_id", "packed", "wanted").mapInArrow(_wanted_words, "anchor bigint, seg bigint, doc_id bigint, words binary")
+
+    cold, hot = dealt(found, hot_entries)
+    entries = landed(cold, "substrings-entries")
     # rows that are alike give a segment twice
-    sharded = words.repartition("anchor").sortWithinPartitions("anchor", "seg").mapInArrow(_shard_owners, OWNERS)
-    alone = entries.filter("not many").select("anchor", "seg", F.array(F.struct(F.lit(0).alias("first"), F.col("windows").alias("end"), F.col("rep.doc_id").alias("owner"))).alias("owners"))
+    sharded = words_of(entries.filter("many")).repartition("anchor").sortWithinPartitions("anchor", "seg").mapInArrow(_shard_owners, OWNERS)
+    own = F.array(F.struct(F.lit(0).alias("first"), F.col("windows").alias("end"), F.col("rep.doc_id").alias("owner"))).alias("owners")
+    alone = entries.filter("not many").select("anchor", "seg", own)
     owners = landed(sharded.dropDuplicates(["anchor", "seg"]).unionByName(alone), "substrings-owners")
+    if hot is not None:
+        # copies of a hot segment have its smallest document, whatever its windows have
+        owners = owners.unionByName(hot.select("anchor", "seg", own)).unionByName(landed(hot_owners(words_of(hot), hot_entries), "substrings-hot-owners"))
 
     spans = found.join(owners, ["anchor", "seg"]).select("doc_id", "sum", "start", F.inline("owners")).filter("owner < doc_id")
     span = F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("end") + (LENGTH - 1)).alias("end"))
     return spans.groupBy("doc_id", "sum").agg(F.collect_list(span).alias("spans"))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, hot_entries: int = HOT_ENTRIES) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document."""
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     packed = d.mapInArrow(_compressed, "doc_id bigint, sum int, packed binary")
-    return packed.join(removal_spans(d), ["doc_id", "sum"], "left").select("doc_id", "packed", "spans").mapInArrow(_kept, RESULT)
+    return packed.join(removal_spans(d, hot_entries), ["doc_id", "sum"], "left").select("doc_id", "packed", "spans").mapInArrow(_kept, RESULT)
