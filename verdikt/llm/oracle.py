@@ -91,4 +91,62 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM j LEFT JOIN gf ON j.lang IS NOT DISTINCT FROM gf.lang AND j.source IS NOT DISTINCT FROM gf.source
 """
 
-SQL: dict[str, str] = {"op2_substring_dedup": OP2, "op4_benchmark_decontamination": OP4, "op5_chat_formatting": OP5, "op9_quality_rules": OP9}
+
+def floor_mean(total: str, n: str) -> str:
+    return f"({total} - (({total} % {n}) + {n}) % {n}) // {n}"
+
+
+FINITE = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def clusters_sql(rounds: int = 3) -> str:
+    """Rounds written out one after the other; a distance and its centroid are one number."""
+    near = "SELECT r, min(list_sum(list_transform(range(1, 65), lambda i: (q[i] - m[i]) * (q[i] - m[i])))::BIGINT * 16 + c) AS b FROM k, {} GROUP BY r"
+    steps = []
+    for t in range(rounds):
+        steps.append(f"""a{t} AS ({near.format(f"c{t}")}),
+s{t} AS (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT b % 16 AS c, unnest(range(1, 65)) AS i, unnest(q) AS x FROM k JOIN a{t} USING (r)) GROUP BY c, i),
+m{t} AS (SELECT c, list({floor_mean("s", "n")} ORDER BY i) AS mean FROM s{t} GROUP BY c),
+c{t + 1} AS (SELECT c, coalesce(mean, m) AS m FROM c{t} LEFT JOIN m{t} USING (c)),""")
+    rest = "\n".join(steps)
+    return f"""
+WITH k AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE len(embedding) = 64 AND {FINITE}),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), q) - 1 AS c, q AS m FROM k QUALIFY c < 16),
+{rest}
+f AS ({near.format(f"c{rounds}")})
+SELECT vec_id, (b % 16)::INT AS cluster, b // 16 AS distance, sum(b // 16) OVER (PARTITION BY b % 16)::BIGINT AS cluster_inertia, sum(b // 16) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM k JOIN f USING (r) JOIN c{rounds} ON c = b % 16
+"""
+
+
+def codes_sql(rounds: int = 2) -> str:
+    near = "SELECT r, p, min(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - m[i]) * (x[i] - m[i])))::BIGINT * 64 + e) AS b FROM parts JOIN {} USING (p) GROUP BY r, p"
+    steps = []
+    for t in range(rounds):
+        steps.append(f"""a{t} AS ({near.format(f"c{t}")}),
+s{t} AS (SELECT p, e, i, sum(v)::BIGINT AS s, count(*) AS n FROM (SELECT p, b % 64 AS e, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS v FROM parts JOIN a{t} USING (r, p)) GROUP BY p, e, i),
+m{t} AS (SELECT p, e, list({floor_mean("s", "n")} ORDER BY i) AS mean FROM s{t} GROUP BY p, e),
+c{t + 1} AS (SELECT p, e, coalesce(mean, m) AS m FROM c{t} LEFT JOIN m{t} USING (p, e)),""")
+    rest = "\n".join(steps)
+    return f"""
+WITH k AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE embedding IS NOT NULL AND {FINITE}),
+parts AS (SELECT r, p, q[p * len(q) // 16 + 1:(p + 1) * len(q) // 16] AS x FROM (SELECT r, q, unnest(range(0, 16)) AS p FROM k)),
+c0 AS (SELECT p, e, x AS m FROM parts JOIN (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, q) - 1 AS e FROM k QUALIFY e < 64) USING (r)),
+{rest}
+f AS ({near.format(f"c{rounds}")}),
+g AS (SELECT r, string_agg(lpad(to_hex(b % 64), 2, '0'), '' ORDER BY p) AS code, sum(b // 64)::BIGINT AS error FROM f GROUP BY r)
+SELECT vec_id, lower(code) AS code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(m, ','), ',' ORDER BY p, e)) FROM c{rounds}) AS codebooks_sha256
+FROM k JOIN g USING (r)
+"""
+
+
+SQL: dict[str, str] = {
+    "op2_substring_dedup": OP2,
+    "op4_benchmark_decontamination": OP4,
+    "op5_chat_formatting": OP5,
+    "op9_quality_rules": OP9,
+    "op11_centroid_clustering": clusters_sql(),
+    "op13_vector_codes": codes_sql(),
+}
