@@ -142,11 +142,27 @@ FROM k JOIN g USING (r)
 """
 
 
+# bytes are pairs of hex digits; windows that start within or right behind a removed run belong to it
+OP12 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, doc_id, s, md5(substring(h, 2 * s + 1, 200)) AS k FROM (SELECT r, doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS s FROM d)),
+f AS (SELECT k, min((doc_id, s)) AS first FROM w GROUP BY k HAVING count(*) > 1),
+x AS (SELECT r, s FROM w JOIN f USING (k) WHERE (doc_id, s) > first),
+i AS (SELECT r, s, CASE WHEN s > lag(s) OVER (PARTITION BY r ORDER BY s) + 100 THEN 1 ELSE 0 END AS gap FROM x),
+g AS (SELECT r, min(s) AS a, max(s) + 100 AS b FROM (SELECT r, s, sum(gap) OVER (PARTITION BY r ORDER BY s) AS island FROM i) GROUP BY r, island),
+p AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS z FROM g),
+c AS (SELECT r, sum(b - a)::BIGINT AS gone, count(*) AS spans, string_agg(substring(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS kept, max(b) AS e FROM p JOIN d USING (r) GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN e IS NULL THEN h ELSE kept || substring(h, 2 * e + 1) END)) AS kept_sha256
+FROM d LEFT JOIN c USING (r)
+"""
+
 SQL: dict[str, str] = {
     "op2_substring_dedup": OP2,
     "op4_benchmark_decontamination": OP4,
     "op5_chat_formatting": OP5,
     "op9_quality_rules": OP9,
     "op11_centroid_clustering": clusters_sql(),
+    "op12_suffix_array_dedup": OP12,
     "op13_vector_codes": codes_sql(),
 }
