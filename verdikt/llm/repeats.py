@@ -42,8 +42,9 @@ HOT_SHARE = 1 / 65536
 INSPECTED = 4
 #: Bytes of texts whose segments one task gets, on average, and bytes of entries sorted together.
 TASK_BYTES = 16 << 20
-SORTED_BYTES = 4 << 20
+SORTED_BYTES = 2 << 20
 
+CODEC = "zstd"
 NO_ID = (1 << 63) - 1
 
 
@@ -135,7 +136,19 @@ def _windows(place: np.ndarray) -> np.ndarray:
     return (place >> 1 & 0x7F) + 1
 
 
-SEGMENTS = "anchor bigint, seg bigint, doc bigint, place bigint, copy boolean"
+SEGMENTS = "shard int, block binary"
+
+
+def _block(columns: list[np.ndarray]) -> bytes:
+    """Columns of whole numbers, byte by byte, compressed."""
+    table = np.stack(columns)
+    return len(columns[0]).to_bytes(8, "little") + pa.compress(table.view(np.uint8).reshape(*table.shape, 8).transpose(0, 2, 1).tobytes(), CODEC, asbytes=True)
+
+
+def _unblocked(block: bytes, columns: int) -> np.ndarray:
+    n = int.from_bytes(block[:8], "little")
+    raw = np.frombuffer(pa.decompress(block[8:], columns * n * 8, CODEC, asbytes=True), np.uint8)
+    return raw.reshape(columns, 8, n).transpose(0, 2, 1).copy().view(np.int64).reshape(columns, n)
 
 
 def _segments(data: np.ndarray, offsets: np.ndarray, hot: Hot) -> tuple[np.ndarray, ...]:
@@ -166,10 +179,12 @@ def _segments(data: np.ndarray, offsets: np.ndarray, hot: Hot) -> tuple[np.ndarr
     return np.searchsorted(offsets, start, "right") - 1, start, windows, least[start], seg, inside
 
 
-def _segment_rows(hot: Hot):
+def _segment_rows(hot: Hot, shards: int):
+    """Segments of each slice as one block for each shard that has any; blocks, not rows, are shuffled."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, PIECE):
                 ids, check = part.column(0).to_numpy(), part.column(1).to_numpy()
                 for data, offsets, rows, begins in _pieces(part):
                     if len(data) < LENGTH:
@@ -188,20 +203,21 @@ def _segment_rows(hot: Hot):
                     lead = first_of(new)
                     copy = (doc > doc[lead]) | (_start(place) > _start(place)[lead])
                     place[lead[copy]] |= 1
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(doc), pa.array(place), pa.array(copy)], ["anchor", "seg", "doc", "place", "copy"])
+                    # a copy needs no company, it goes anywhere
+                    shard = (np.where(copy, mix(seg + place.view(np.uint64)), mix(anchor)) % np.uint64(shards)).astype(np.int64)
+                    order = np.lexsort((_start(place), doc, shard))
+                    columns = [x[order] for x in (anchor.view(np.int64), seg.view(np.int64), doc, place, copy.astype(np.int64))]
+                    has, edges = np.unique(shard[order], return_index=True)
+                    blocks = [_block([c[a:b] for c in columns]) for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)])]
+                    yield pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), pa.array(blocks, pa.binary())], ["shard", "block"])
 
     return run
 
 
-def _columns(batches: Iterator[pa.RecordBatch], n: int) -> list[np.ndarray]:
-    """All rows of a partition, column by column."""
-    parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(n)] for b in batches]
-    return [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * n
-
-
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the segments of a partition's anchors: copies, and the entries of anchors that occur more than once."""
-    anchor, seg, doc, place, copy = _columns(batches, 5)
+    """Of the segments of a shard: copies, and the entries of anchors that occur more than once."""
+    blocks = [_unblocked(x.as_buffer().to_pybytes(), 5) for b in batches for x in b.column(1)]
+    anchor, seg, doc, place, copy = np.concatenate(blocks, axis=1) if blocks else np.zeros((5, 0), np.int64)
     copy = copy.astype(bool)
     away = np.flatnonzero(copy)
     here = np.flatnonzero(~copy)
@@ -223,9 +239,6 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-CODEC = "zstd"
-
-
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(2)
@@ -312,9 +325,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(doc, place): runs of windows that also start earlier, of documents (doc, check, text)."""
     hot, size = frequent_hashes(docs)
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
-    found = docs.mapInArrow(_segment_rows(hot), SEGMENTS)
-    met = found.repartition(tasks, F.when(F.col("copy"), F.xxhash64("doc", "place")).otherwise(F.col("anchor")))
-    met = landed(met.mapInArrow(_entries, "anchor bigint, doc bigint, place bigint, entry boolean"), "repeats-entries")
+    found = docs.mapInArrow(_segment_rows(hot, tasks), SEGMENTS).repartitionById(tasks, "shard")
+    met = landed(found.mapInArrow(_entries, "anchor bigint, doc bigint, place bigint, entry boolean"), "repeats-entries")
     wanted = met.filter("entry").groupBy("doc", F.expr(CHECK).alias("check")).agg(F.collect_list(F.struct("anchor", "place")).alias("wanted"))
     texts = packed(docs).join(wanted, ["doc", "check"]).select("doc", "n_bytes", "packed", "wanted").mapInArrow(_wanted, "anchor bigint, doc bigint, place bigint, text binary")
     solved = texts.repartition(tasks, "anchor").sortWithinPartitions("anchor").mapInArrow(_sorted, "doc bigint, place bigint")

@@ -53,7 +53,7 @@ class Suffixes:
 
     def _ranks(self) -> np.ndarray:
         """Rank of each suffix of the sample at its place; beyond the text shorter remainders come first."""
-        rank = np.full(self.n + PERIOD, -1, np.int64)
+        rank = np.full(self.n + PERIOD, -1, np.int32)
         at = np.flatnonzero(np.isin(np.arange(self.n) % PERIOD, COVER))
         if not len(at):
             return rank
