@@ -132,18 +132,20 @@ def alias_verdict(text: Col, prompt: Col | None = None) -> Column:
     return F.when(asks_yes_no, F.when(v == "Success", F.lit("Yes")).otherwise(F.lit("No"))).otherwise(v)
 
 
-def json_fields(t: Column) -> Column:
-    """Fields of a text that is one JSON object and nothing else, as a map of texts; else null.
+def json_listed(t: Column, kind: str) -> Column:
+    """The values of a text that is JSON objects, separated by commas, and nothing else; else null.
 
     Spark's JSON functions overlook what follows a complete value; as the only element of a list, the text has no
     room for more.  Single quotes and raw control characters are refused, as a strict parser does.
     """
-    listed = F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<map<string,string>>", {"allowSingleQuotes": "false"})
-    return F.when(t.startswith("{") & t.endswith("}") & (F.size(listed) == 1), F.get(listed, F.lit(0)))
+    listed = F.from_json(F.concat(F.lit("["), t, F.lit("]")), f"array<{kind}>", {"allowSingleQuotes": "false"})
+    return F.when(t.startswith("{") & t.endswith("}"), listed)
 
 
-def is_json_object(t: Column) -> Column:
-    return json_fields(t).isNotNull()
+def json_fields(t: Column) -> Column:
+    """Fields of a text that is one JSON object and nothing else, as a map of texts; else null."""
+    listed = json_listed(t, "map<string,string>")
+    return F.when(F.size(listed) == 1, F.get(listed, F.lit(0)))
 
 
 def _answer_field(t: Column) -> Column:
@@ -190,36 +192,39 @@ def scored_text(raw: Col, pred: Col, prefer: str = "raw") -> Column:
 
 # ---------------------------------------------------------------- scene objects
 
-SCENE_SCHEMA = (
-    "agent STRUCT<pos: ARRAY<STRING>, dir: STRING, carrying: STRING>, "
-    "front_cell STRUCT<pos: ARRAY<STRING>, type: STRING, state: STRING>, "
-    "objects ARRAY<STRUCT<type: STRING, pos: ARRAY<STRING>, color: STRING, state: STRING>>"
+#: Parts of a scene.  Fields whose kind counts are variants; numbers may also be written as texts.
+SCENE_PARTS = (
+    "agent: struct<pos: array<string>, dir: string, carrying: variant>, "
+    "front_cell: struct<pos: array<string>, type: variant, state: variant>, "
+    "objects: array<struct<type: variant, pos: array<string>, color: variant, state: variant>>"
 )
 
 
-def find_json_object(df: DataFrame, text: Column) -> DataFrame:
-    """``j_text``, ``j_mode``, ``j_fence``: the JSON object found in an answer, repaired if need be.
+def find_json_object(df: DataFrame, text: Column, parts: str = SCENE_PARTS) -> DataFrame:
+    """``j_value``, ``j_mode``, ``j_fence``: the JSON object found in an answer, repaired if need be.
 
     A fence is opened first, then the part from the first to the last brace is taken; trailing commas are
-    dropped only if it does not parse.  Modes are strict, recoverable and fail_json.
+    dropped only if it does not parse.  A text is parsed once (and once more if repaired) into the fields
+    ``parts`` that are asked for.  Modes are strict, recoverable and fail_json.
     """
-    t, parts, bare, cand, fixed = (F.col(c) for c in ("_t", "_parts", "_bare", "_cand", "_fixed"))
-    d = df.withColumn("_t", strip(F.coalesce(text, F.lit("")))).withColumn("_parts", F.split(t, "```", -1))
+    t, pieces, bare, cand, fixed = (F.col(c) for c in ("_t", "_pieces", "_bare", "_cand", "_fixed"))
+    d = df.withColumn("_t", strip(F.coalesce(text, F.lit("")))).withColumn("_pieces", F.split(t, "```", -1))
     d = d.withColumn(
         "_bare",
-        F.when(F.size(parts) == 1, t)
-        .when(F.size(parts) >= 3, strip(F.get(parts, F.lit(1))))
+        F.when(F.size(pieces) == 1, t)
+        .when(F.size(pieces) >= 3, strip(F.get(pieces, F.lit(1))))
         .otherwise(strip(F.replace(t, F.lit("```"), F.lit("")))),
     )
     whole = bare.startswith("{") & bare.endswith("}")
     d = d.withColumn("_cand", F.when(whole, bare).otherwise(F.regexp_extract(bare, r"(?s)\{.*\}", 0)))
-    d = d.withColumn("_ok", is_json_object(cand))
+    d = d.withColumn("_first", json_listed(cand, f"struct<{parts}>")).withColumn("_ok", F.coalesce(F.size("_first") == 1, F.lit(False)))
     d = d.withColumn("_fixed", F.when(~F.col("_ok") & (cand != ""), F.regexp_replace(cand, r",(\s*[}\]])", "$1")))
-    d = d.withColumn("j_text", F.when(F.col("_ok"), cand).when(is_json_object(fixed), fixed))
+    d = d.withColumn("_second", json_listed(fixed, f"struct<{parts}>"))
+    d = d.withColumn("j_value", F.when(F.col("_ok"), F.get("_first", F.lit(0))).when(F.size("_second") == 1, F.get("_second", F.lit(0))))
     d = d.withColumn(
         "j_mode",
-        F.when(F.col("j_text").isNull(), F.lit("fail_json"))
+        F.when(F.col("j_value").isNull(), F.lit("fail_json"))
         .when(F.col("_ok") & (cand == t), F.lit("strict"))
         .otherwise(F.lit("recoverable")),
     ).withColumn("j_fence", t.startswith("```"))
-    return d.drop("_t", "_parts", "_bare", "_cand", "_ok", "_fixed")
+    return d.drop("_t", "_pieces", "_bare", "_cand", "_first", "_ok", "_fixed", "_second")

@@ -173,71 +173,57 @@ def endpoint_picks(df: DataFrame, objects: str = "objects") -> DataFrame:
 # ---------------------------------------------------------------- scene score
 
 
-def _pair(a: Column) -> Column:
-    """A two-element list of numbers as struct(x, y), else null."""
-    x, y = json_int(F.get(a, F.lit(0))), json_int(F.get(a, F.lit(1)))
-    return F.when((F.size(a) == 2) & x.isNotNull() & y.isNotNull(), F.struct(x.alias("x"), y.alias("y")))
+def _whole(pair: Column) -> Column:
+    """Two numbers and nothing else."""
+    return (F.size(pair) == 2) & F.get(pair, F.lit(0)).isNotNull() & F.get(pair, F.lit(1)).isNotNull()
 
 
-def _kind(v: Column, path: str) -> Column:
-    """Type of a JSON value at a path: STRING, BOOLEAN, VOID, OBJECT<...>, ...; null where there is none."""
-    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+def _text(v: Column) -> Column:
+    """A variant that is a text; values of other types do not count."""
+    return F.when(F.schema_of_variant(v) == "STRING", strip(F.try_variant_get(v, "$", "string")))
 
 
-def _text(v: Column, path: str, value: Column) -> Column:
-    """A text field; values of other types do not count."""
-    return F.when(_kind(v, path) == "STRING", strip(value))
-
-
-def _state(v: Column, path: str, value: Column) -> Column:
+def _state(v: Column) -> Column:
     """State as text: a number or a truth value in its shortest form."""
-    number = F.coalesce(json_int(value).cast("string"), value)
-    return F.when(_kind(v, path) == "STRING", strip(value)).otherwise(number)
+    value = F.try_variant_get(v, "$", "string")
+    return F.when(F.schema_of_variant(v) == "STRING", strip(value)).otherwise(F.coalesce(json_int(value).cast("string"), value))
 
 
 def read_scene(df: DataFrame, text: Column) -> DataFrame:
-    """Canonical columns of the scene found in an answer text; ``p_mode`` says how it was found."""
-    d = P.find_json_object(df, text).withColumns(
-        {"_o": F.from_json("j_text", P.SCENE_SCHEMA, {"allowSingleQuotes": "false"}), "_v": F.try_parse_json("j_text")}
-    )
-    carry, kind = F.col("_o.agent.carrying"), _kind(F.col("_v"), "$.agent.carrying")
-    as_obj = kind.startswith("OBJECT")
-    inner = F.try_variant_get("_v", "$.agent.carrying", "variant")
-    carry_type = (
-        F.when(as_obj, F.coalesce(_text(inner, "$.type", F.get_json_object(carry, "$.type")), F.lit(UNKNOWN)))
-        .when(kind == "STRING", strip(carry))
-        .otherwise(F.lit(UNKNOWN))
-    )
-    carry_color = F.when(as_obj, _text(inner, "$.color", F.get_json_object(carry, "$.color")))
-    values = F.try_variant_get("_v", "$.objects", "array<variant>")
-    clean = F.zip_with(
-        "_o.objects", values,
-        lambda o, v: F.struct(
-            _text(v, "$.type", o["type"]).alias("type"), _pair(o["pos"]).alias("at"), _text(v, "$.color", o["color"]).alias("color"),
-            _state(v, "$.state", o["state"]).alias("state"),
-        ),
-    )
-    front_cell = F.try_variant_get("_v", "$.front_cell", "variant")
+    """Canonical columns of the scene found in an answer text; ``p_mode`` says how it was found.
+
+    The text is parsed once, into structs whose leaves are variants where their kind counts; a leaf is looked at where
+    it counts (the state of doors alone, for instance).
+    """
+    numbers = lambda a: F.transform(a, json_int)
+    d = P.find_json_object(df, text)
     d = d.withColumns(
-        {"_fpos": _pair(F.col("_o.front_cell.pos")), "_ftype": _text(front_cell, "$.type", F.col("_o.front_cell.type")), "_objs": clean, "_ckind": kind}
-    )
-    good = F.filter("_objs", lambda o: o["at"].isNotNull() & o["type"].isNotNull())
-    keys = F.transform(good, lambda o: object_key(o["type"], o["at"]["x"], o["at"]["y"], o["color"], o["state"]))
+        {
+            "_pos": numbers(F.col("j_value.agent.pos")), "_fpos": numbers(F.col("j_value.front_cell.pos")), "_ftype": _text(F.col("j_value.front_cell.type")),
+            "_ckind": F.schema_of_variant("j_value.agent.carrying"),
+        }
+    )
+    carry = F.col("j_value.agent.carrying")
+    field = lambda name: _text(F.try_variant_get(carry, f"$.{name}", "variant"))
+    as_obj = F.col("_ckind").startswith("OBJECT")
+    carry_type = F.when(as_obj, F.coalesce(field("type"), F.lit(UNKNOWN))).when(F.col("_ckind") == "STRING", _text(carry)).otherwise(F.lit(UNKNOWN))
+    read = F.transform("j_value.objects", lambda o: F.struct(_text(o["type"]).alias("type"), numbers(o["pos"]).alias("at"), o["color"].alias("color"), o["state"].alias("state")))
+    good = F.filter(read, lambda o: _whole(o["at"]) & o["type"].isNotNull())
+    keys = F.transform(good, lambda o: object_key(o["type"], F.get(o["at"], F.lit(0)), F.get(o["at"], F.lit(1)), _text(o["color"]), _state(o["state"])))
     front = F.struct(
-        F.col("_fpos.x").alias("x"), F.col("_fpos.y").alias("y"), F.col("_ftype").alias("type"),
-        semantic_state(F.col("_ftype"), _state(front_cell, "$.state", F.col("_o.front_cell.state"))).alias("state"),
+        F.get("_fpos", F.lit(0)).alias("x"), F.get("_fpos", F.lit(1)).alias("y"), F.col("_ftype").alias("type"), semantic_state(F.col("_ftype"), _state(F.col("j_value.front_cell.state"))).alias("state")
     )
     return d.withColumns(
         {
-            "p_pos": _pair(F.col("_o.agent.pos")),
-            "p_dir": json_int(F.col("_o.agent.dir")),
-            "p_carry": F.when(F.col("_ckind") != "VOID", F.struct(carry_type.alias("type"), carry_color.alias("color"))),
-            "p_front": F.when(F.col("_fpos").isNotNull() & F.col("_ftype").isNotNull(), front),
+            "p_pos": F.when(_whole(F.col("_pos")), F.struct(F.get("_pos", F.lit(0)).alias("x"), F.get("_pos", F.lit(1)).alias("y"))),
+            "p_dir": json_int(F.col("j_value.agent.dir")),
+            "p_carry": F.when(F.col("_ckind") != "VOID", F.struct(carry_type.alias("type"), F.when(as_obj, field("color")).alias("color"))),
+            "p_front": F.when(_whole(F.col("_fpos")) & F.col("_ftype").isNotNull(), front),
             "p_keys": F.array_distinct(F.coalesce(keys, F.array().cast("array<string>"))),
             "p_has_carry": F.col("_ckind").isNotNull(),
-            "p_has_objects": F.coalesce(_kind(F.col("_v"), "$.objects").startswith("ARRAY"), F.lit(False)),
+            "p_has_objects": F.col("j_value.objects").isNotNull(),
         }
-    ).withColumnsRenamed({"j_mode": "p_mode", "j_fence": "p_fence"}).drop("_o", "_v", "_fpos", "_ftype", "_objs", "_ckind", "j_text")
+    ).withColumnsRenamed({"j_mode": "p_mode", "j_fence": "p_fence"}).drop("j_value", "_pos", "_fpos", "_ftype", "_ckind")
 
 
 def score_scenes(df: DataFrame, weights: Mapping[str, float] = WEIGHTS, pass_mark: float = PASS_MARK) -> DataFrame:

@@ -60,8 +60,8 @@ def scene_responses(fx: Fixtures) -> DataFrame:
 
 
 def scored_scenes(fx: Fixtures, **options) -> DataFrame:
-    """Texts are read before the join, so only their canonical parts are shuffled."""
-    read = C.read_scene(scene_responses(fx).drop("scene_id"), F.col("raw")).drop("raw")
+    """Texts are dealt by uid, as the join with gold needs them, and read there: a scene's canonical parts are no smaller."""
+    read = C.read_scene(scene_responses(fx).drop("scene_id").repartition("uid"), F.col("raw")).drop("raw")
     return C.score_scenes(gold_scenes(fx).drop("objects").join(read, "uid"), **options)
 
 
