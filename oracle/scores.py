@@ -91,11 +91,11 @@ SELECT (SELECT count(*) FROM g) AS n_left, (SELECT count(*) FROM r) AS n_right,
 add("u5_distinct_assets", "exam_c", """
 SELECT image, env_task, sum(CASE WHEN framing = 'pos' THEN 2 ELSE 1 END)::bigint AS n_rows FROM exam_c GROUP BY ALL""")
 
-add("x1_choice_letter", "readings texts", r"""
-SELECT r.uid, r.model, r.attempt, r.letter, r.letter_mode AS parse_mode,
-       CASE WHEN regexp_full_match(t, '(?i)[ab]') THEN upper(t)
-            ELSE nullif(upper(regexp_extract(tq, '\b([ab])\b', 1)), '') END AS ab_letter
-FROM readings r JOIN texts x ON x.uid = r.uid AND x.model = r.model AND x.attempt = r.attempt""")
+add("x1_choice_letter", "texts", r"""
+SELECT uid, model, attempt, CASE WHEN regexp_full_match(t, '(?i)[abcd]') THEN upper(t) ELSE nullif(upper(found), '') END AS letter,
+       CASE WHEN regexp_full_match(t, '(?i)[abcd]') THEN 'strict' WHEN found <> '' THEN 'recoverable' ELSE 'fail' END AS parse_mode,
+       CASE WHEN regexp_full_match(t, '(?i)[ab]') THEN upper(t) ELSE nullif(upper(regexp_extract(tq, '\b([ab])\b', 1)), '') END AS ab_letter
+FROM (SELECT *, regexp_extract(tq, '\b([abcd])\b', 1) AS found FROM texts)""")
 add("x2_verdict", "readings", "SELECT uid, model, attempt, verdict, verdict_mode AS parse_mode FROM readings")
 add("x4_json_answer", "readings", "SELECT uid, model, attempt, json_label AS label, json_mode AS parse_mode FROM readings")
 SQL["x2_verdict_documents"] = with_views(["readings"], """

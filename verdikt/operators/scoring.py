@@ -86,8 +86,8 @@ def grade(joined: DataFrame) -> DataFrame:
     """
     pred = F.col("_read.value")
     scenes = "_b_score" in joined.columns
-    is_scene = (F.col("task") == "B") if scenes else F.lit(False)
-    known = F.col("task").isin(*UNPARSED) | is_scene
+    is_scene = F.coalesce(F.col("task") == "B", F.lit(False)) if scenes else F.lit(False)
+    known = F.coalesce(F.col("task").isin(*UNPARSED), F.lit(False)) | is_scene
     failure = (
         F.when(~F.col("answered"), F.lit("missing_response"))
         .when(F.col("is_error"), F.lit("api_error"))

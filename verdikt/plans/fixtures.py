@@ -154,6 +154,9 @@ FROM (SELECT event_id, grp, concat('g', grp) AS group_id, concat('env', grp % 6)
                    cast(floor(value) AS bigint) AS iv FROM {events}) v) w
 """
 
+# the same with the time of each step
+VIEWS["timed_steps"] = VIEWS["steps"].replace("SELECT group_id,", "SELECT ts, group_id,").replace("SELECT event_id, grp,", "SELECT ts, event_id, grp,")
+
 # the cell in front of the agent
 VIEWS["front_steps"] = """
 SELECT *, x + CASE dir WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS fx, y + CASE dir WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END AS fy FROM {steps}

@@ -37,14 +37,15 @@ def _(fx):
 
 
 def _torn(fx: Fixtures) -> str:
-    """One file per model; some lines are cut in the middle."""
+    """Sixteen files per model; some lines are cut in the middle."""
     r = fx("responses")
     line = F.to_json(F.struct("uid", "model", "attempt", "ingest_seq", "ok", "raw"))
     # ingest_seq is shared by the exams, so the uid completes the line order
     cut = (F.col("ingest_seq") > 300) & (F.col("ingest_seq") % 97 == 5)
-    text = r.select("model", "ingest_seq", "uid", F.when(cut, F.substring(line, F.lit(1), F.length(line) - 9)).otherwise(line).alias("value"))
+    text = r.select("model", (F.col("ingest_seq") % 16).alias("part"), "ingest_seq", "uid", F.when(cut, F.substring(line, F.lit(1), F.length(line) - 9)).otherwise(line).alias("value"))
     path = scratch_dir(fx.spark, "torn")
-    text.repartition("model").sortWithinPartitions("model", "ingest_seq", "uid").select("model", "value").write.partitionBy("model").text(path)
+    dealt = text.repartition("model", "part").sortWithinPartitions("model", "part", "ingest_seq", "uid")
+    dealt.select("model", "part", "value").write.partitionBy("model", "part").text(path)
     return path
 
 

@@ -11,25 +11,26 @@ from .registry import query
 
 
 PARTS = 4
-FILES_PER_TRIGGER = 1
 
 
-def _arrived(fx: Fixtures, part: Column, name: str, repeats: bool = False) -> str:
-    """The events as files that arrive one after the other; ``part`` says in which one a row comes.
+def _arrived(fx: Fixtures, part: Column, name: str, repeats: bool = False) -> tuple[str, int]:
+    """The events as files that arrive part after part, and the files of a part; ``part`` says in which one a row comes.
 
-    With ``repeats`` every tenth row comes again, one file later, as another answer.
+    With ``repeats`` every tenth row comes again, one part later, as another answer.  Each part is written by as many tasks as the
+    table is read by, and a trigger takes as many files.
     """
     path = scratch_dir(fx.spark, name)
     e = fx.spark.read.parquet(f"{fx.dir}/events.parquet").withColumn("_part", part)
+    files = e.rdd.getNumPartitions()
     e = e.withColumn("again", F.lit(False))
     if repeats:
         e = e.unionByName(e.filter("event_id % 10 = 0").withColumns({"_part": F.col("_part") + 1, "again": F.lit(True)}))
     for k in range(PARTS + repeats):
-        e.filter(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
+        e.filter(F.col("_part") == k).drop("_part").repartition(files).write.mode("append").parquet(path)
     # the row that closes the log
     last = e.filter("NOT again").orderBy("event_id").limit(1).withColumns({"event_id": F.lit(-1).cast("bigint"), "user_id": F.lit(-1).cast(e.schema["user_id"].dataType), "ts": T.closing_time(e)})
-    last.drop("_part").coalesce(1).write.mode("append").parquet(path)
-    return path
+    last.drop("_part").write.mode("append").parquet(path)
+    return path, files
 
 
 def _by_time(fx: Fixtures) -> Column:
@@ -43,14 +44,14 @@ def _by_time(fx: Fixtures) -> Column:
 
 
 class StreamFixtures(Fixtures):
-    """The same views over tables that are read as streams, a file at a time."""
+    """The same views over tables that are read as streams, a part at a time."""
 
-    def __init__(self, spark, sf_dir: str, path: str):
+    def __init__(self, spark, sf_dir: str, path: str, files_per_trigger: int):
         super().__init__(spark, sf_dir)
-        self.path = path
+        self.path, self.files_per_trigger = path, files_per_trigger
 
     def table(self, name: str) -> DataFrame:
-        return T.open_stream(self.spark, self.path, files_per_trigger=FILES_PER_TRIGGER)
+        return T.open_stream(self.spark, self.path, files_per_trigger=self.files_per_trigger)
 
 
 def epoch() -> Column:
@@ -74,7 +75,7 @@ def _run(fx: Fixtures, df: DataFrame, name: str) -> DataFrame:
 
 
 def _calls(fx: Fixtures, repeats: bool = False) -> DataFrame:
-    e = StreamFixtures(fx.spark, fx.dir, _arrived(fx, _by_time(fx), "calls", repeats)).table("events")
+    e = StreamFixtures(fx.spark, fx.dir, *_arrived(fx, _by_time(fx), "calls", repeats)).table("events")
     return e.select(instant("ts").alias("ts"), "again", "user_id", F.concat(F.lit("m"), F.col("user_id") % 3).alias("model"), (F.col("event_type") != "error").alias("ok"), "event_id", "value")
 
 
@@ -86,14 +87,30 @@ def _(fx):
     return _run(fx, T.first_answers(log, "90 days"), "st1").filter("uid <> 'q-1'").select("model", "uid", "answer")
 
 
-def _accuracy(fx: Fixtures) -> DataFrame:
+def _answers(fx: Fixtures) -> DataFrame:
     answers = F.array(*[F.lit(x) for x in ('{"answer": "holding"}', '{"answer": "dropped"}', "no idea", "__ERR__: 500")])
-    log = _calls(fx).select(
+    return _calls(fx).select(
         "ts", "model", F.get(answers, (F.col("event_id") % 5 % 4).cast("int")).alias("raw"), F.lit("").alias("pred"), "ok", F.lit(None).cast("string").alias("error"),
         F.concat(F.lit("E_v12.env"), F.floor(F.col("event_id") / 64) % 2, F.lit(".g"), F.floor(F.col("event_id") / 64), F.lit(".e"), F.col("event_id")).alias("uid"),
     )
-    gold = fx("exam_e").select("uid", "task", F.col("answer").alias("gold"))
-    return _run(fx, T.running_accuracy(log, gold, "1 day", "1 hour"), "st2")
+
+
+def _gold(fx: Fixtures) -> DataFrame:
+    """Gold of the exam; every ninth row never gets any."""
+    return fx("exam_e").filter("item_no % 9 <> 4").select("uid", "item_no", "task", F.col("answer").alias("gold"))
+
+
+def _accuracy(fx: Fixtures) -> DataFrame:
+    return _run(fx, T.running_accuracy(_answers(fx), _gold(fx).drop("item_no"), "1 day", "1 hour"), "st2")
+
+
+@query("st2_totals_with_late_gold")
+def _(fx):
+    """While the log comes in, a third of the gold is not there yet."""
+    gold = _gold(fx)
+    table = T.RunningTotals(fx.spark, scratch_dir(fx.spark, "st2-totals"))
+    table.follow(_answers(fx).filter("uid NOT LIKE '%.e-1'"), gold.filter("item_no % 3 <> 1"), scratch_dir(fx.spark, "st2-totals-checkpoint"))
+    return table.totals(gold)
 
 
 @query("st2_running_accuracy")
@@ -123,6 +140,8 @@ def _(fx):
 
 @query("st5_event_tracker")
 def _(fx):
-    """Every file brings the next quarter of each episode."""
-    path = _arrived(fx, F.floor(F.col("event_id") % 64 * PARTS / 64), "steps")
-    return _run(fx, T.track_events(StreamFixtures(fx.spark, fx.dir, path)("steps").filter("event_id >= 0")), "st5")
+    """Steps come by time, some of them a part late and after their successors."""
+    e = StreamFixtures(fx.spark, fx.dir, *_arrived(fx, _by_time(fx), "steps"))
+    steps = e("timed_steps").withColumn("ts", instant("ts"))
+    with T.state_in_rocks(fx.spark):
+        return _run(fx, T.track_events(steps, "1 hour"), "st5").filter("t >= 0")

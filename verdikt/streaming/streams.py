@@ -8,11 +8,12 @@ never written itself.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import parse as P
 from ..functions.text import n_where, ratio
@@ -54,20 +55,85 @@ def first_answers(log: DataFrame, delay: str, ts: str = "ts") -> DataFrame:
     return log.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["model", "uid"])
 
 
-def running_accuracy(log: DataFrame, gold: DataFrame, every: str, delay: str, error_prefix: str = P.ERROR_PREFIX) -> DataFrame:
-    """Answers joined to static gold and graded; counts per period, model and task add up to the accuracy so far."""
-    text = P.scored_text("raw", "pred")
+def read_log(log: DataFrame, error_prefix: str = P.ERROR_PREFIX) -> DataFrame:
+    """Answers of a log with their readings; texts stay behind."""
     flagged = log.withColumn("is_error", P.is_error("ok", "error", "raw", error_prefix)).withColumn("answered", F.lit(True))
-    parsed = P.read_answers(flagged, text).drop("raw", "pred", "error", "ok")
+    return P.read_answers(flagged, P.scored_text("raw", "pred")).drop("raw", "pred", "error", "ok")
+
+
+def graded(parsed: DataFrame, gold: DataFrame) -> DataFrame:
+    """Readings with the static gold row of their uid, graded; an answer without gold has no task and is no right one."""
     reading = (
         F.when(F.col("task") == "A", F.col("as_letter"))
         .when(F.col("task").isin("C", "D"), F.col("as_verdict"))
         .when(F.col("task") == "E", F.col("as_json"))
     )
-    graded = grade(parsed.withWatermark("ts", delay).join(gold, "uid").withColumn("_read", reading))
-    return graded.groupBy(F.window("ts", every).alias("w"), "model", "task").agg(
-        F.count("*").alias("n"), n_where(F.col("correct")).alias("n_correct"), n_where(F.col("failure") == "api_error").alias("n_error")
-    ).select(F.col("w.start").alias("period"), "model", "task", "n", "n_correct", "n_error")
+    return grade(parsed.join(gold, "uid", "left").withColumn("_read", reading))
+
+
+def _counts() -> list[Column]:
+    return [F.count("*").alias("n"), n_where(F.col("correct")).alias("n_correct"), n_where(F.col("failure") == "api_error").alias("n_error")]
+
+
+def running_accuracy(log: DataFrame, gold: DataFrame, every: str, delay: str, error_prefix: str = P.ERROR_PREFIX) -> DataFrame:
+    """Answers joined to static gold and graded; counts per period, model and task add up to the accuracy so far.
+
+    Answers without gold are counted with a null task.
+    """
+    answers = graded(read_log(log, error_prefix).withWatermark("ts", delay), gold)
+    per_period = answers.groupBy(F.window("ts", every).alias("w"), "model", "task").agg(*_counts())
+    return per_period.select(F.col("w.start").alias("period"), "model", "task", "n", "n_correct", "n_error")
+
+
+class RunningTotals:
+    """Counts per model and task that are right after every trigger, in two tables below ``path``.
+
+    A batch writes its own folder of both: ``counts`` of the answers that have gold, and the readings of those that are
+    ``waiting`` for it.  A batch that runs again replaces its folder, so no answer counts twice.  ``totals`` adds up the
+    counts and grades what waits against the gold of the moment; gold that comes late needs no second pass over the log.
+    """
+
+    COUNTS = "model string, task string, n bigint, n_correct bigint, n_error bigint, batch bigint"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _write(self, df: DataFrame, table: str, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/{table}/batch={batch}")
+
+    def _waiting_schema(self):
+        letter = "struct<value: string, mode: string>"
+        return f"uid string, model string, is_error boolean, answered boolean, as_letter {letter}, as_verdict {letter}, as_json {letter}, batch bigint"
+
+    def _table(self, table: str, schema: str) -> DataFrame:
+        """All folders of a table; before the first batch there are none."""
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
+        there = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{table}") if there else self.spark.createDataFrame([], schema)
+
+    def add(self, batch: DataFrame, number: int, gold: DataFrame) -> None:
+        """One batch of readings (``read_log``)."""
+        keep = ["uid", "model", "is_error", "answered", "as_letter", "as_verdict", "as_json"]
+        known = gold.select("uid", "task", "gold")
+        rows = batch.select(*keep).join(known.select("uid", F.lit(True).alias("_has_gold")), "uid", "left").persist()
+        try:
+            self._write(graded(rows.filter("_has_gold").drop("_has_gold"), known).groupBy("model", "task").agg(*_counts()), "counts", number)
+            self._write(rows.filter("_has_gold IS NULL").drop("_has_gold"), "waiting", number)
+        finally:
+            rows.unpersist()
+
+    def follow(self, log: DataFrame, gold: DataFrame, checkpoint: str, error_prefix: str = P.ERROR_PREFIX) -> None:
+        """Take in what has arrived on a stream, then stop; the next run goes on from the checkpoint."""
+        q = read_log(log, error_prefix).writeStream.foreachBatch(lambda batch, number: self.add(batch, number, gold))
+        q.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+    def totals(self, gold: DataFrame) -> DataFrame:
+        """model, task, n, n_correct, n_error so far; answers that still lack gold have a null task."""
+        counted = self._table("counts", self.COUNTS).drop("batch")
+        late = graded(self._table("waiting", self._waiting_schema()).drop("batch"), gold.select("uid", "task", "gold"))
+        rows = counted.unionByName(late.groupBy("model", "task").agg(*_counts()))
+        return rows.groupBy("model", "task").agg(*[F.sum(c).alias(c) for c in ("n", "n_correct", "n_error")])
 
 
 def throughput(calls: DataFrame, window: Column, delay: str) -> DataFrame:
@@ -91,34 +157,84 @@ def sessions(calls: DataFrame, gap: str, delay: str, key: str) -> DataFrame:
 
 
 EVENT_SCHEMA = "group_id string, t bigint, kind string, label string"
-STATE_SCHEMA = "carry string, held array<string>"
-
-
-def _track(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Events of one group's new steps; what is carried and what was held before is kept as state."""
-    carry, held = state.get if state.exists else (None, [])
-    held = set(held)
-    # frames come in any order; only the two columns that matter are kept until they are sorted
-    steps = sorted(((t, c) for f in frames for t, c in zip(f["t"], f["carry"])), key=lambda x: x[0])
-    out = []
-    for t, now in steps:
-        now = None if pd.isna(now) else now
-        if now is not None and carry is None:
-            out.append((key[0], t, "reacquire" if now in held else "pickup", now))
-            held.add(now)
-        elif now is None and carry is not None:
-            out.append((key[0], t, "drop", carry))
-            held.add(carry)
-        carry = now
-    state.update((carry, sorted(held)))
-    yield pd.DataFrame(out, columns=["group_id", "t", "kind", "label"])
-
-
-def track_events(steps: DataFrame) -> DataFrame:
-    """pickup, reacquire and drop events as steps arrive; a group's steps must arrive in order of ``t``.
-
-    A trigger holds only the new steps of a group; ``files_per_trigger`` bounds them.
+STEP_SCHEMA = "t bigint, carry string, at bigint"
+LAST_SCHEMA = "carry string, held array<string>, at bigint"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class EventTracker(StatefulProcessor):
+    """Events of one group from steps that come in any order.
+
+    Steps are held in a list until the watermark has passed their time; a timer at that time takes them out in order of
+    ``t``.  What is carried and what was held before is kept for ``idle`` of event time after the last step, then dropped.
     """
-    return steps.select("group_id", "t", "carry").groupBy("group_id").applyInPandasWithState(
-        _track, EVENT_SCHEMA, STATE_SCHEMA, "append", "NoTimeout"
-    )
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", STEP_SCHEMA)
+        self.last = handle.getValueState("last", LAST_SCHEMA)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = []
+        for frame in rows:
+            at = frame["ts"].astype("datetime64[ms]").astype("int64")
+            new += [(t, None if pd.isna(c) else c, a) for t, c, a in zip(frame["t"].tolist(), frame["carry"], at.tolist())]
+        self.waiting.appendList(new)
+        self.handle.registerTimer(min(a for _, _, a in new) + 1)
+        yield pd.DataFrame([], columns=["group_id", "t", "kind", "label"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        steps = list(self.waiting.get())
+        due, rest = sorted((s for s in steps if s[2] <= passed), key=lambda s: s[0]), [s for s in steps if s[2] > passed]
+        carry, held, last = self.last.get() or (None, [], None)
+        held, out = set(held or []), []
+        for t, thing, _ in due:
+            if thing is not None and carry is None:
+                out.append((key[0], t, "reacquire" if thing in held else "pickup", thing))
+                held.add(thing)
+            elif thing is None and carry is not None:
+                out.append((key[0], t, "drop", carry))
+                held.add(carry)
+            carry = thing
+        if due:
+            last = max(a for _, _, a in due)
+            self.last.update((carry, sorted(held), last))
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(min(a for _, _, a in rest) + 1)
+        elif due:
+            self.waiting.clear()
+            self.handle.registerTimer(last + self.idle_ms)
+        elif last is not None and expiredTimerInfo.getExpiryTimeInMs() >= last + self.idle_ms:
+            self.last.clear()
+        yield pd.DataFrame(out, columns=["group_id", "t", "kind", "label"])
+
+    def close(self) -> None:
+        pass
+
+
+@contextlib.contextmanager
+def state_in_rocks(spark: SparkSession) -> Iterator[None]:
+    """List state and timers need the RocksDB store; the session's own choice comes back afterwards."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def track_events(steps: DataFrame, delay: str, idle: str = "30 days", ts: str = "ts") -> DataFrame:
+    """pickup, reacquire and drop events of steps (group_id, t, carry, ts) that may come up to ``delay`` late.
+
+    Times rise with ``t`` within a group.  Steps later than ``delay`` are dropped, as by any watermark; start the query inside
+    ``state_in_rocks``.
+    """
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    rows = steps.select("group_id", "t", "carry", F.col(ts).alias("ts")).withWatermark("ts", delay)
+    return rows.groupBy("group_id").transformWithStateInPandas(EventTracker(idle_ms), EVENT_SCHEMA, "append", "eventTime")
