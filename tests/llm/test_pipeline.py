@@ -1,5 +1,6 @@
 """The pipeline and the registered queries against plain versions."""
 
+import random
 from collections import defaultdict
 
 import __spark_entry__ as entry
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF_DIR
 from tests.llm import brute
-from verdikt.llm import pii, quality
+from verdikt.llm import pii, quality, toxicity
 from verdikt.llm.queries import QUERIES
 
 
@@ -108,6 +109,39 @@ def test_substring_query(spark, documents):
 
 
 def test_toxicity_query(spark):
-    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
-    out = QUERIES["op8_toxicity"](spark, SF_DIR).join(labels, "doc_id").filter("held_out")
-    assert out.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int"))).first()[0] > 0.8
+    """Held out: the labels are wrong for some documents without any insult, so found are those that hold one."""
+    insults = {"trash", "pathetic", "idiot", "disgusting", "worthless", "stupid", "clown", "scum", "loser", "moron"}
+    tables = SF_DIR.replace("sf0.001", "sf0.01")
+    labels, docs = (spark.read.parquet(f"{tables}/{t}.parquet") for t in ("labels", "documents"))
+    rows = QUERIES["op8_toxicity"](spark, tables).join(labels, "doc_id").join(docs.select("doc_id", "text"), "doc_id").filter("held_out").collect()
+    holds = [bool(insults & {toxicity.unit(w) for w in toxicity.words_of(r.text or "")}) for r in rows]
+    assert sum(holds) >= 4 and all(r.predicted for r, h in zip(rows, holds) if h)
+    assert sum(r.predicted for r, h in zip(rows, holds) if not h) <= len(rows) // 50
+
+
+def test_toxicity_learns_despite_wrong_labels():
+    """One clean document in twenty is labelled toxic; recall, precision, and spellings never seen."""
+    rng = random.Random(4)
+    common = ["".join(rng.choice("aeinorst") for _ in range(rng.randrange(2, 8))) for _ in range(400)]
+    insults = ["dumbhead", "fatface", "jerkwad", "pigbrain"]
+    bags, truth = [], []
+    for i in range(700):
+        bad = i % 6 == 0
+        words = rng.choices(common, k=60) + ([rng.choice(insults)] if bad else [])
+        bags.append((bad or rng.random() < 0.05, " ".join(words)))
+        truth.append(bad)
+    machine = toxicity.fit(bags[:500])
+    said = [machine.probability(machine.worst(t)) >= 0.5 for _, t in bags[500:]]
+    right = sum(a and b for a, b in zip(said, truth[500:]))
+    assert right >= 0.9 * sum(truth[500:]) and right >= 0.9 * sum(said)
+    for word in insults:
+        k = len(word) // 2
+        for spelling in (word.upper(), word + "!!", word[:k] + "-" + word[k:], " ".join(word), word[:k] + word[k - 1 :]):
+            assert machine.probability(machine.worst(f"{common[0]} {spelling} {common[1]}")) >= 0.5, spelling
+
+
+def test_toxicity_examples_are_one_a_document(spark):
+    docs = spark.createDataFrame([(i, t) for i in range(1, 9) for t in ("b same same " + "x" * 40, "a other i d i o t", None)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)] + [(1, 1), (None, 1), (2, None)], "doc_id long, toxic int")
+    got = toxicity.examples(docs, labels)
+    assert got == toxicity.examples(docs.repartition(2), labels) and {u for _, u in got} == {"\n".join(sorted(["a", "other", "i", "d", "o", "t", "idiot"]))}

@@ -5,7 +5,8 @@ worst sentence.  The kernel of two units counts the subsequences of four letters
 gaps of three letters in all and each gap lessens its weight, so that inserted or repeated letters keep most of an
 insult.  Units are mapped to their kernel values with landmark units (Nyström), and a linear machine with squared hinge
 loss is trained there.  Only documents are labelled, so the unit that stands for a toxic document is chosen anew with
-each machine; all units of other documents are examples of the other class.
+each machine, among those that toxic documents have far oftener than others; all units of other documents are examples of
+the other class, and altered spellings of the chosen ones of the toxic class.
 
 The trained machine is one weight per subsequence (40^4 numbers), which is what landmarks and machine add up to; tasks
 score each distinct unit once.  It is fitted on at most SAMPLE labelled documents of each class, the first ones by a
@@ -43,6 +44,8 @@ REMEMBERED = 400_000
 LOWEST = -3.0
 #: Units whose subsequences are in memory together (some ten thousand numbers a unit at most).
 AT_ONCE = 2048
+#: Log of how much oftener toxic documents than others have a unit that may stand for them.
+MARKED = 1.5
 
 _SPELLING = {**{ord(c): None for c in "!\"#%&'()*+,-./:;<=>?[\\]^_`{|}~$"}, **{ord(a): ord(b) for a, b in zip("0134578@", "oieastba")}}
 _APART = re.compile(r"(?<!\S)[^\W_](?:[ .*_-][^\W_]){2,}(?!\S)")
@@ -190,12 +193,15 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float, rounds:
     return w
 
 
-def _altered(u: str, rng: np.random.Generator, times: int = 2) -> list[str]:
-    """Spellings with a letter put in or doubled, as further examples."""
+def _altered(u: str, rng: np.random.Generator) -> list[str]:
+    """Spellings with a letter put in, doubled or left out, as further examples."""
     out = []
-    for k in range(times if len(u) < LONGEST else 0):
+    for k in range(6 if len(u) < LONGEST else 0):
         at = int(rng.integers(1, max(2, len(u))))
-        out.append(u[:at] + (u[at - 1] if k else chr(97 + int(rng.integers(26)))) + u[at:])
+        out.append(u[:at] + (u[at - 1] if k > 3 else chr(97 + int(rng.integers(26)))) + u[at:])
+    if len(u) > 4:
+        at = int(rng.integers(1, len(u) - 1))
+        out.append(u[:at] + u[at + 1 :])
     return out
 
 
@@ -238,7 +244,11 @@ def fit(bags: list[tuple[bool, str]], seed: int = 7) -> Machine | None:
     keep = lam > 1e-3 * lam[-1]
     root = vec[:, keep] / np.sqrt(lam[keep])  # Nyström map: kernel values times this
 
-    toxic_docs = [d for d, t in zip(docs, toxic) if t]
+    # a unit that other documents have nearly as often cannot stand for the class: a wrongly labelled document has nothing but such
+    marks = (good == 0) | (odds > MARKED)
+    toxic_docs = [m for d, t in zip(docs, toxic) if t and len(m := d[marks[d]])]
+    if not toxic_docs:
+        return None
     stands = [_best(d, odds) for d in toxic_docs]
     # units of many toxic documents and of no other stand for the class, whichever unit is the worst of a document
     telling = Counter({int(i): int(bad[i]) for i in np.flatnonzero((bad >= max(3, n_bad // 200)) & (good == 0))})
@@ -250,13 +260,15 @@ def fit(bags: list[tuple[bool, str]], seed: int = 7) -> Machine | None:
         for u in sorted(yes):
             for v in _altered(u, rng):
                 if v not in is_clean:
-                    yes[v] = max(yes.get(v, 0.0), yes[u] / 4)
-        units = list(yes) + [names[i] for i in np.unique(np.concatenate([hard, common])) if names[i] not in yes]
+                    yes[v] = max(yes.get(v, 0.0), yes[u] / 2)
+        no = [i for i in np.unique(np.concatenate([hard, common])).tolist() if names[i] not in yes]
+        units = list(yes) + [names[i] for i in no]
         z = _kernel(units, landmarks) @ root
         x = np.hstack([z, np.ones((len(z), 1))])
         y = np.concatenate([np.ones(len(yes)), -np.ones(len(units) - len(yes))])
-        # both classes weigh the same
-        weight = np.concatenate([np.array(list(yes.values())) / sum(yes.values()), np.full(len(units) - len(yes), 1 / (len(units) - len(yes)))])
+        # both classes weigh the same; a unit of many documents, wrong in all of them, weighs more than one of few
+        of_docs = np.sqrt(np.maximum(good[no], 1))
+        weight = np.concatenate([np.array(list(yes.values())) / sum(yes.values()), of_docs / of_docs.sum()])
         w = _svm(x, y, weight, cost=2000.0)
         alpha, bias = root @ w[:-1], float(w[-1])
         weights = np.bincount(key, alpha[owner[row]] * value, SYMBOLS**4).astype(np.float32)
@@ -284,14 +296,21 @@ def _curve(worst: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 
 def examples(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[tuple[bool, str]]:
-    """At most ``most`` labelled texts of each class, of rows that are not held out, the first by a hash of the id."""
+    """At most ``most`` labelled texts of each class, of rows that are not held out, the first by a hash of the id.
+
+    Of an id with several texts the least one counts.  Tasks reduce a text to its distinct units that are short enough to be
+    learned from, a line each; the driver gets no text.
+    """
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)).select("doc_id", "toxic").distinct()
-    rows = []
-    for toxic in (1, 0):
-        ids = usable.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).dropna()
-        rows += [(toxic == 1, r.doc_id, r.text) for r in texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text").limit(2 * most).collect()]
-    return [(t, x) for t, _, x in sorted(rows)]
+    classes = [usable.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for toxic in (1, 0)]
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).dropna()
+    chosen = texts.join(F.broadcast(classes[0].unionByName(classes[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+    def units_of(batch: pa.Array) -> list[pa.Array]:
+        return [pa.array(["\n".join(sorted({w for w in words_of(x) if len(unit(w)) <= LONGEST})) for x in batch.to_pylist()], pa.string())]
+
+    rows = map_texts(chosen, units_of, T.StructType([T.StructField("units", T.StringType())]), ["doc_id", "toxic"]).collect()
+    return [(r.toxic == 1, r.units) for r in sorted(rows, key=lambda r: (r.toxic, r.doc_id))]
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
