@@ -75,6 +75,23 @@ def test_quality_fences_follow_the_group(spark):
     assert not out[1000] and all(k for i, k in out.items() if i != 1000)
 
 
+def test_quality_fences_differ_in_every_measure(spark):
+    """Two groups of other habits: each measure has its own fence in each, and what is usual in one is an outlier in the other."""
+    rng = random.Random(5)
+    plain = lambda: sentence(rng, 200, 5000)
+    long_words = lambda: " ".join(w * rng.choice([2, 3]) for w in plain().split())
+    odd = lambda: long_words() + " & %" * rng.randrange(1, 9) + "\na line\na line" * rng.randrange(1, 4) + " one more time" * rng.randrange(2, 30)
+    rows = [(i, odd() if i % 2 else plain(), "en", "odd" if i % 2 else "plain", None) for i in range(120)]
+    rows.append((1000, odd(), "en", "plain", None))
+    m = quality.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), [F.col(c) for c in ("doc_id", "lang", "source")])
+    f = {r.fence_source: r for r in quality.fences(quality.sketches(m), least_docs=20).collect()}
+    for measure, low, *_ in quality.FENCES:
+        side = f"{measure}_{'low' if low else 'high'}"
+        assert f["odd"][side] > f["plain"][side], side
+    verdict = {r.doc_id: r.kept for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), least_docs=20).collect()}
+    assert not verdict[1000] and sum(verdict.values()) >= 117
+
+
 def test_quality_sketch_is_mergeable(spark, docs):
     m = quality.measured(docs, [F.col("doc_id"), F.col("lang"), F.col("source")])
     one, other = quality.sketches(m), quality.sketches(m.repartition(7))

@@ -35,11 +35,14 @@ def verdicts(rows):
             continue
         key = next(key for key in ((0, r.lang, r.source), (1, r.lang), (2,)) if key == (2,) or len(pools[key]["symbols"]) >= quality.LEAST_DOCS)
         inside = True
-        for name, low, gap in quality.FENCES:
+        for name, low, per_mille, times in quality.FENCES:
             s = sorted(pools[key][name])
-            q1, q3 = (s[-(-q * len(s) // 4) - 1] for q in (1, 3))
-            reach = max(quality.REACH * (q3 - q1), gap)
-            inside &= v[name] >= q1 - reach if low else v[name] <= q3 + reach
+            at = lambda q: s[-(-q * len(s) // 1000) - 1]  # noqa: B023, E731
+            edge = lambda x: x + (1 << max(0, len(bin(x)) - 2 - quality.LEAD_BITS))
+            if low:
+                inside &= v[name] >= at(per_mille) - times * (edge(at(500)) - at(per_mille))
+            else:
+                inside &= v[name] <= edge(at(per_mille)) + times * (edge(at(per_mille)) - at(500))
         if inside:
             out.append(k)
     return out

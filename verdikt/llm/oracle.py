@@ -77,12 +77,13 @@ k AS (SELECT *, (x >> greatest(0, len(bin(x)) - 6)) << greatest(0, len(bin(x)) -
 sizes AS (SELECT lang, source, count(*) AS docs, sum(count(*)) OVER (PARTITION BY lang) AS lang_docs FROM j WHERE NOT base_failed GROUP BY lang, source),
 groups AS (SELECT lang, source, CASE WHEN docs >= 200 THEN 0 WHEN lang_docs >= 200 THEN 1 ELSE 2 END AS level FROM sizes),
 pools AS (SELECT 0 AS level, lang, source, measure, bucket FROM k UNION ALL SELECT 1, lang, NULL, measure, bucket FROM k UNION ALL SELECT 2, NULL, NULL, measure, bucket FROM k),
-q AS (SELECT level, lang, source, measure, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM pools GROUP BY ALL),
-f AS (SELECT level, lang, source, max(q3) FILTER (WHERE measure = 'word_length') + greatest(4 * max(q3 - q1) FILTER (WHERE measure = 'word_length'), 300) AS wl_high,
-  max(q1) FILTER (WHERE measure = 'word_length') - greatest(4 * max(q3 - q1) FILTER (WHERE measure = 'word_length'), 200) AS wl_low,
-  max(q3) FILTER (WHERE measure = 'symbols') + greatest(4 * max(q3 - q1) FILTER (WHERE measure = 'symbols'), 150) AS sy_high,
-  max(q3) FILTER (WHERE measure = 'dup_lines') + greatest(4 * max(q3 - q1) FILTER (WHERE measure = 'dup_lines'), 40) AS dl_high,
-  max(q3) FILTER (WHERE measure = 'repeats') + greatest(4 * max(q3 - q1) FILTER (WHERE measure = 'repeats'), 450) AS rp_high FROM q GROUP BY ALL),
+n AS (SELECT level, lang, source, measure, bucket, bucket + (1 << greatest(0, len(bin(bucket)) - 6)) AS edge, count(*) AS n FROM pools GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM n),
+q AS (SELECT level, lang, source, measure, min(bucket) FILTER (WHERE 10 * upto >= total) AS low, min(bucket) FILTER (WHERE 2 * upto >= total) AS mid, min(edge) FILTER (WHERE 2 * upto >= total) AS mid_edge,
+  min(edge) FILTER (WHERE 10 * upto >= 9 * total) AS high, min(edge) FILTER (WHERE 100 * upto >= 99 * total) AS top FROM c GROUP BY ALL),
+f AS (SELECT level, lang, source, max(4 * high - 3 * mid) FILTER (WHERE measure = 'word_length') AS wl_high, max(4 * low - 3 * mid_edge) FILTER (WHERE measure = 'word_length') AS wl_low,
+  max(4 * high - 3 * mid) FILTER (WHERE measure = 'symbols') AS sy_high, max(4 * top - 3 * mid) FILTER (WHERE measure = 'dup_lines') AS dl_high,
+  max(3 * top - 2 * mid) FILTER (WHERE measure = 'repeats') AS rp_high FROM q GROUP BY ALL),
 gf AS (SELECT groups.lang, groups.source, f.* EXCLUDE (level, lang, source) FROM groups JOIN f ON groups.level = f.level
   AND CASE WHEN groups.level < 2 THEN groups.lang END IS NOT DISTINCT FROM f.lang AND CASE WHEN groups.level < 1 THEN groups.source END IS NOT DISTINCT FROM f.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

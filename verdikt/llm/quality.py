@@ -3,7 +3,7 @@
 Each text is measured; the measures are counted into quantile sketches per language and source, and a document
 is rejected where it lies outside the fences that the sketches of its own group give.
 
-A sketch is a histogram whose buckets keep the leading bits of a number, so a quantile is at most 1/32 too low.
+A sketch is a histogram whose buckets keep the leading bits of a number, so a quantile is known to a thirty-second part.
 Sketches of any parts merge by adding counts: the result does not depend on partitions or on the order of merging.
 
 Defined results: null text has no words and fails the base rules; null language or source is a group of its own;
@@ -21,17 +21,17 @@ from .text import BLANK_RE, let, word_array
 LEAD_BITS = 6
 #: Fewest documents of a (language, source) group with fences of its own; smaller ones use the language's, then all.
 LEAST_DOCS = 200
-#: Fences lie this many interquartile ranges outside the quartiles ...
-REACH = 4
-#: ... or this far, if that is more: (measure, lower side, margin).
+#: A fence lies beyond a high (or low) quantile of the group's own sketch, as many times further as the quantile is away
+#: from the median: (measure, lower side, quantile per mille, times).  Both are read as the outer edges of their buckets, which
+#: is all the margin there is.  Junk may be a tenth of a group in the first three; repeated text has a long tail of its own.
 FENCES = [
-    ("word_length", False, 300),  # hundredths of a character per word
-    ("word_length", True, 200),
-    ("symbols", False, 150),  # per 1000 words
-    ("dup_lines", False, 40),  # per 1000 words
-    ("repeats", False, 450),  # words in repeated windows, per 1000 words
+    ("word_length", False, 900, 3),  # hundredths of a character per word
+    ("word_length", True, 100, 3),
+    ("symbols", False, 900, 3),  # per 1000 words
+    ("dup_lines", False, 990, 3),  # per 1000 words
+    ("repeats", False, 990, 2),  # words in repeated windows, per 1000 words
 ]
-MEASURES = list(dict.fromkeys(m for m, _, _ in FENCES))
+MEASURES = list(dict.fromkeys(m for m, *_ in FENCES))
 
 
 def window_hashes(words: Column) -> Column:
@@ -94,7 +94,11 @@ def sketches(m: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", "measure", _bucket("value").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def fences(sk: DataFrame, least_docs: int = LEAST_DOCS, reach: int = REACH) -> DataFrame:
+def _side(measure: str, low: bool) -> str:
+    return f"{measure}_{'low' if low else 'high'}"
+
+
+def fences(sk: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """One row per (lang, source): the fences of its own sketch, or of the smallest merged one that is large enough."""
     sizes = sk.filter(F.col("measure") == MEASURES[0]).groupBy("lang", "source").agg(F.sum("n").alias("docs"))
     groups = sizes.withColumn("lang_docs", F.sum("docs").over(Window.partitionBy("lang"))).withColumn(
@@ -108,24 +112,26 @@ def fences(sk: DataFrame, least_docs: int = LEAST_DOCS, reach: int = REACH) -> D
     merged = sk.select("measure", "bucket", "n", F.inline(levels)).groupBy("level", "pool_lang", "pool_source", "measure", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("level", "pool_lang", "pool_source", "measure")
     ranked = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
-    quartile = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("total"), F.col("bucket")))
-    pools = ranked.groupBy("level", "pool_lang", "pool_source", "measure").agg(quartile(1).alias("q1"), quartile(3).alias("q3"))
-    pools = pools.groupBy("level", "pool_lang", "pool_source").agg(
-        *[
-            F.max(F.when(F.col("measure") == m, F.col("q1") - F.greatest(reach * (F.col("q3") - F.col("q1")), F.lit(gap)) if low else F.col("q3") + F.greatest(reach * (F.col("q3") - F.col("q1")), F.lit(gap)))).alias(f"{m}_{'low' if low else 'high'}")
-            for m, low, gap in FENCES
-        ]
-    )
+    edge = F.col("bucket") + F.expr(f"shiftleft(1L, greatest(0, length(bin(bucket)) - {LEAD_BITS}))")
+    reached = lambda per_mille: 1000 * F.col("upto") >= per_mille * F.col("total")
+
+    def fence(measure: str, low: bool, per_mille: int, times: int) -> Column:
+        at = lambda q, value: F.min(F.when((F.col("measure") == measure) & reached(q), value))
+        if low:
+            return at(per_mille, F.col("bucket")) * (1 + times) - times * at(500, edge)
+        return at(per_mille, edge) * (1 + times) - times * at(500, F.col("bucket"))
+
+    pools = ranked.groupBy("level", "pool_lang", "pool_source").agg(*[fence(*f).alias(_side(*f[:2])) for f in FENCES])
     g, p = groups.alias("g"), pools.alias("p")
     same = (
         (F.col("g.level") == F.col("p.level"))
         & F.when(F.col("g.level") < 2, F.col("g.lang")).eqNullSafe(F.col("p.pool_lang"))
         & F.when(F.col("g.level") < 1, F.col("g.source")).eqNullSafe(F.col("p.pool_source"))
     )
-    return g.join(p, same).select(F.col("g.lang").alias("fence_lang"), F.col("g.source").alias("fence_source"), *[f"p.{m}_{'low' if low else 'high'}" for m, low, _ in FENCES])
+    return g.join(p, same).select(F.col("g.lang").alias("fence_lang"), F.col("g.source").alias("fence_source"), *["p." + _side(*f[:2]) for f in FENCES])
 
 
-def judged(docs: DataFrame, carry: bool = False, least_docs: int = LEAST_DOCS, reach: int = REACH) -> DataFrame:
+def judged(docs: DataFrame, carry: bool = False, least_docs: int = LEAST_DOCS) -> DataFrame:
     """Measures, ``base_failed`` and ``kept`` of each document; with ``carry`` also its whole row as ``row``.
 
     The measures are written once to the shared folder: the sketches and the verdicts read them from there.
@@ -134,11 +140,12 @@ def judged(docs: DataFrame, carry: bool = False, least_docs: int = LEAST_DOCS, r
         docs = docs if c in docs.columns else docs.withColumn(c, F.lit(None).cast("string"))
     keep = [F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")] + ([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else [])
     m = landed(measured(docs, keep), "quality")
-    f = fences(sketches(m), least_docs, reach)
+    f = fences(sketches(m), least_docs)
     inside = F.lit(True)
     values = _measure_values()
-    for name, low, _ in FENCES:
-        inside = inside & ((values[name] >= F.col(f"{name}_low")) if low else (values[name] <= F.col(f"{name}_high")))
+    for name, low, *_ in FENCES:
+        fence = F.col(_side(name, low))
+        inside = inside & ((values[name] >= fence) if low else (values[name] <= fence))
     out = m.join(f, m["lang"].eqNullSafe(f["fence_lang"]) & m["source"].eqNullSafe(f["fence_source"]), "left")
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"] + (["row"] if carry else [])
     return out.select(*names, (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"))
