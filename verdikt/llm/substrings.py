@@ -292,7 +292,7 @@ def dealt(found: DataFrame, hot_entries: int) -> tuple[DataFrame, DataFrame | No
     all_entries = found.groupBy("anchor", "seg", "windows").agg(F.min(F.struct("doc_id", "sum", "start")).alias("rep"), F.max("doc_id").alias("last"))
     sizes = found.groupBy("anchor", "seg").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     sizes = sizes.groupBy("anchor").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.count("*").alias("n"))
-    hot = landed(sizes.filter(F.col("n") > hot_entries).coalesce(1).select("anchor", "least", "most"), "substrings-hot-anchors")
+    hot = landed(sizes.filter(F.col("n") > hot_entries).select("anchor", "least", "most"), "substrings-hot-anchors")
     some = not hot.isEmpty()
     cold = all_entries.join(hot, "anchor", "left_anti") if some else all_entries
     group = Window.partitionBy("anchor")
@@ -306,7 +306,7 @@ def hot_owners(words: DataFrame, hot_rows: int) -> DataFrame:
     rows = landed(words.mapInArrow(_window_rows, WINDOWS), "substrings-windows")
     shared = rows.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
     shared = landed(shared.filter("owner < most").select("window", "owner", "n"), "substrings-shared")
-    common = landed(shared.filter(F.col("n") > hot_rows).coalesce(1).select("window", "owner"), "substrings-common")
+    common = landed(shared.filter(F.col("n") > hot_rows).select("window", "owner"), "substrings-common")
     rest = rows.join(common, "window", "left_anti").join(shared.filter(F.col("n") <= hot_rows), "window").select("anchor", "seg", "at", "owner")
     hits = rows.join(common, "window").select("anchor", "seg", "at", "owner").unionByName(rest)
     return hits.groupBy("anchor", "seg").agg(F.collect_set(F.struct("at", "owner")).alias("found")).mapInArrow(_joined_runs, OWNERS)
