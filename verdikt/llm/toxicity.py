@@ -136,20 +136,22 @@ class Machine:
         self.weights, self.bias, self.slope, self.middle = weights, bias, slope, middle
         self.known: dict[str, float] = {}
 
+    def worst_of(self, texts: list[str]) -> list[float]:
+        """The worst unit of each text; units that were not met before are scored together."""
+        words = [words_of(t) for t in texts]
+        every = set().union(*words)
+        fresh = [w for w in every if w not in self.known]
+        if len(self.known) + len(fresh) > REMEMBERED:
+            self.known.clear()
+            fresh = list(every)
+        units = [unit(w) for w in fresh]
+        some = [u for u in dict.fromkeys(units) if u]
+        score = dict(zip(some, unit_scores(some, self.weights, self.bias).tolist()))
+        self.known.update((w, score.get(u, LOWEST)) for w, u in zip(fresh, units))
+        return [max(map(self.known.__getitem__, ws), default=LOWEST) for ws in words]
+
     def worst(self, text: str) -> float:
-        words = words_of(text)
-        if not words:
-            return LOWEST
-        fresh = [w for w in words if w not in self.known]
-        if fresh:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-                fresh = list(words)
-            units = [unit(w) for w in fresh]
-            some = [u for u in dict.fromkeys(units) if u]
-            score = dict(zip(some, unit_scores(some, self.weights, self.bias).tolist()))
-            self.known.update((w, score.get(u, LOWEST)) for w, u in zip(fresh, units))
-        return max(map(self.known.__getitem__, words))
+        return self.worst_of([text])[0]
 
     def probability(self, worst: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * (worst - self.middle), -30, 30))))
@@ -321,7 +323,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(texts: pa.Array) -> list[pa.Array]:
         machine = shared.value
-        return [pa.array([machine.probability(machine.worst(x)) if machine else 0.0 for x in texts.to_pylist()], pa.float64())]
+        return [pa.array([machine.probability(x) for x in machine.worst_of(texts.to_pylist())] if machine else [0.0] * len(texts), pa.float64())]
 
     out = map_texts(docs, run, fields, ["doc_id"])
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
