@@ -106,7 +106,7 @@ def test_find_json_object(spark):
     got = [(r.j_value and r.j_value.a, r.j_mode, r.j_fence) for r in P.find_json_object(d, F.col("t"), "a: string").orderBy("i").collect()]
     bad = (None, "fail_json", False)
     assert got == [
-        ("1", "strict", False), ("1", "recoverable", True), ("[1, 2]", "recoverable", False), bad, bad, bad, bad,
+        ("1", "strict", False), ("1", "recoverable", True), ("[1,2]", "recoverable", False), bad, bad, bad, bad,
     ]
 
 
