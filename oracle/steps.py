@@ -227,6 +227,10 @@ add("v11_mask_window", "steps", """
 add("v11_first_seen_window", "steps", """
 , lim AS (SELECT group_id, least(seen, act - 1) + 1 AS end_t FROM (SELECT group_id, min(t) FILTER (WHERE visible = 'door') AS seen,
   min(t) FILTER (WHERE action = 5 AND front_type = 'door') AS act FROM steps GROUP BY group_id) x WHERE seen IS NOT NULL AND act IS NOT NULL AND least(seen, act - 1) >= 0)""" + WINDOW.replace("@EX", "s.front_type = 'door' AND s.front_color = 'red'"))
+add("v11_corridor_steps", "steps", """
+SELECT s.group_id, s.t, CASE WHEN front_color = 'red' THEN 'excluded' WHEN n BETWEEN 1 AND 5 THEN 'masked' ELSE 'void' END AS role
+FROM steps s JOIN (SELECT group_id, count(*) FILTER (WHERE visible = 'ball' AND front_color <> 'red') AS n FROM steps WHERE x < 3 GROUP BY group_id) g
+ ON g.group_id = s.group_id WHERE x < 3 AND (front_color = 'red' OR visible = 'ball')""")
 add("v11_corridor_window", "steps", """
 SELECT group_id, n AS n_visible, ex AS n_excluded, CASE WHEN n BETWEEN 1 AND 5 THEN m ELSE -1 END AS window_end, n BETWEEN 1 AND 5 AS accepted
 FROM (SELECT group_id, count(*) FILTER (WHERE visible = 'ball' AND front_color <> 'red') AS n, count(*) FILTER (WHERE front_color = 'red') AS ex,

@@ -303,6 +303,23 @@ def corridor_window(steps: DataFrame, visible: Column, evidence: Column, corrido
     return g.select("group_id", "n_visible", "n_excluded", F.when(ok, F.col("_end")).otherwise(F.lit(-1)).alias("window_end"), ok.alias("accepted"))
 
 
+def corridor_steps(steps: DataFrame, visible: Column, evidence: Column, corridor_x: int, max_visible: int) -> DataFrame:
+    """Role of every step of the corridor rule: ``masked`` in an accepted window, ``void`` in a rejected one, ``excluded``.
+
+    Steps at or behind the corridor have no role.  A sighting before the corridor always extends the window, so none is left
+    over as a leak.  Null evidence is none; a null ``visible`` or ``x`` is no sighting.  One row per step: groups are only
+    counted as wholes, and the verdict comes back block by block.
+    """
+    ev = F.coalesce(evidence, F.lit(False))
+    ahead = steps.filter(F.col("x") < corridor_x).select("group_id", "t", ev.alias("_ev"), F.coalesce(visible, F.lit(False)).alias("_vis"))
+    ahead = ahead.filter("_ev OR _vis")
+    windows = ahead.groupBy("group_id").agg(n_where(~F.col("_ev")).alias("_n"), F.max("t").alias("_last"))
+    role = (
+        F.when(F.col("_ev"), F.lit("excluded")).when(F.col("_n").between(1, max_visible), F.lit("masked")).otherwise(F.lit("void"))
+    )
+    return block_join(ahead, windows, ["group_id"], "_last").select("group_id", "t", role.alias("role"))
+
+
 def first_seen_limits(steps: DataFrame, visible: Column, interact: Column) -> DataFrame:
     """``end_t`` for the rule that masks up to the first sighting, but only before the interaction."""
     g = steps.groupBy("group_id").agg(F.min(F.when(visible, F.col("t"))).alias("seen"), F.min(F.when(interact, F.col("t"))).alias("act"))

@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.parse import ERROR_PREFIX
 from ..functions.text import col, first_line, n_where, nonblank, stable_int, strip
+from ..session import landed
 from .dims import with_exam_dims, with_uid
 from .gates import payload_scan
 from .joins import shard as hash_shard, spread_join, unanswered
+from .sequence import number_rows
 
 # Answer contracts, visual and temporal probes, privileged columns.
 LETTER_CONTRACT = "Answer with ONLY the correct letter (A/B/C/D). Return exactly one uppercase letter and no other text."
@@ -160,26 +162,41 @@ def action_mask(exam: DataFrame, token: str = "[UNKNOWN]") -> DataFrame:
     )
 
 
+def action_pool(exam: DataFrame, env: str = "env_task") -> DataFrame:
+    """The different actions of each environment with their place (``place``, from 0, by text).
+
+    Actions may be free texts, so a pool may be as long as an environment has rows: it is numbered range by range, and the
+    ranges are fixed by writing them once.
+    """
+    rows = exam.filter(nonblank("action").isNotNull() & F.col(env).isNotNull()).select(env, "action").distinct()
+    ranges = landed(rows.repartitionByRange(env, "action").withColumn("_range", F.spark_partition_id()), "actions")
+    return number_rows(ranges, [env], ["action"], F.col("_range"), "place").select(env, "action", "place")
+
+
 def action_shuffle(exam: DataFrame, seed: object, env: str = "env_task") -> DataFrame:
     """Replace the action by another one of the same environment, drawn by seed.
 
-    The actions of an environment are a vocabulary; they are collected as a set and joined back salted,
-    because one environment may hold most of the rows.
+    The draw is arithmetic: a number among the other actions, which skips the row's own place.  Rows meet the pool by place,
+    salted, because one environment or action may hold most of the rows.  A row without environment, or without another
+    action to take, stays as it is; one without an action may get any.
     """
-    pool = exam.filter(nonblank("action").isNotNull()).groupBy(env).agg(F.array_sort(F.collect_set("action")).alias("_pool"))
-    d = spread_join(exam, pool, [env], F.col("uid"), "left")
-    d = d.withColumn("_other", F.array_except("_pool", F.array("action")))
-    n = F.size("_other")
-    at = F.when(n > 0, (stable_int(F.concat_ws("|", F.lit(str(seed)), "uid")) % n).cast("int"))
-    new = F.get("_other", at)
-    return d.withColumns(
-        {
-            "original_action": F.when(new.isNotNull(), F.col("action")),
-            "prompt": F.when(new.isNotNull(), F.replace("prompt", F.col("action"), new)).otherwise(F.col("prompt")),
-            "action": F.coalesce(new, F.col("action")),
-            "ablation_type": F.when(new.isNotNull(), F.lit("shuffle")),
-        }
-    ).drop("_pool", "_other")
+    pool = action_pool(exam, env)
+    sizes = pool.groupBy(env).agg(F.count("*").alias("_n"))
+    spread = F.col("uid")
+    d = spread_join(exam, sizes, [env], spread, "left")
+    d = spread_join(d, pool.withColumnRenamed("place", "_own"), [env, "action"], spread, "left")
+    others = F.col("_n") - F.when(F.col("_own").isNotNull(), 1).otherwise(0)
+    at = F.when(others > 0, stable_int(F.concat_ws("|", F.lit(str(seed)), "uid")) % others)
+    d = d.withColumn("_place", at + F.when(at >= F.col("_own"), 1).otherwise(0))
+    d = spread_join(d, pool.select(env, F.col("place").alias("_place"), F.col("action").alias("_new")), [env, "_place"], spread, "left")
+    new = F.col("_new")
+    return d.select(
+        *[c for c in exam.columns if c not in ("prompt", "action", "original_action", "ablation_type")],
+        F.when(new.isNotNull(), F.col("action")).alias("original_action"),
+        F.when(new.isNotNull(), F.replace("prompt", F.col("action"), new)).otherwise(F.col("prompt")).alias("prompt"),
+        F.coalesce(new, F.col("action")).alias("action"),
+        F.when(new.isNotNull(), F.lit("shuffle")).alias("ablation_type"),
+    )
 
 
 def split_exam(exam: DataFrame) -> DataFrame:

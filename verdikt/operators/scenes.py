@@ -73,6 +73,9 @@ def state_signature(pos: Sequence[Column], direction: Column, carry: Sequence[Co
 # Where the agent stands in its own view, and the visible range.
 VIEW_AGENT = (4, 1)
 VIEW_RANGE = (1, 7)
+# Size of the state encoding, and the type and colour code of a cell that is not seen.
+ENCODING_SIZE = 7
+UNSEEN = (0, 0)
 
 
 def view_xy(wx: Column, wy: Column, ax: Column, ay: Column, direction: Column) -> tuple[Column, Column]:
@@ -91,20 +94,51 @@ def view_direction(ax: Column, ay: Column, fx: Column, fy: Column) -> Column:
     )
 
 
-def to_view(heads: DataFrame, objects: DataFrame, visible: Column | None = None, key: str = "scene_id") -> DataFrame:
+def seen_cells(encoding: str | Column) -> Column:
+    """The cells that a state encoding (array of columns of (type, colour, …) cells) shows, as bits of one number.
+
+    Bit 7x + y stands for cell (x, y).  Cells beyond 7 × 7, null cells and cells without type and colour are not seen; a
+    null encoding gives null.
+    """
+    enc = F.col(encoding) if isinstance(encoding, str) else encoding
+    inside = lambda i: i < ENCODING_SIZE
+
+    def bit(cell: Column, x: Column, y: Column) -> Column:
+        kind, color = F.get(cell, F.lit(0)), F.get(cell, F.lit(1))
+        shown = inside(x) & inside(y) & ~((kind == UNSEEN[0]) & (color == UNSEEN[1]))
+        return F.when(shown, F.call_function("shiftleft", F.lit(1).cast("bigint"), x * ENCODING_SIZE + y)).otherwise(F.lit(0).cast("bigint"))
+
+    total = lambda bits: F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a + b)
+    column = lambda cells, x: F.when(cells.isNull(), F.lit(0).cast("bigint")).otherwise(total(F.transform(cells, lambda c, y: bit(c, x, y))))
+    return total(F.transform(enc, column))
+
+
+def cell_is_seen(cells: Column, vx: Column, vy: Column) -> Column:
+    """Whether view cell (vx, vy) is among the ``seen_cells``; the encoding counts its columns from 0 and its rows from the far end."""
+    x, y = vx - VIEW_AGENT[0] + 3, 6 - (vy - VIEW_AGENT[1])
+    inside = x.between(0, ENCODING_SIZE - 1) & y.between(0, ENCODING_SIZE - 1)
+    at = F.when(inside, x * ENCODING_SIZE + y).cast("int")
+    return F.coalesce(F.getbit(cells, at) == 1, F.lit(False))
+
+
+def to_view(heads: DataFrame, objects: DataFrame, visible: Column | None = None, key: str = "scene_id", encoding: str | None = None) -> DataFrame:
     """Objects in view coordinates: in range, visible, and not the cell in front of the agent.
 
     ``heads`` gives agent cell (ax, ay), dir and front cell (fx, fy) per scene.  Repeated objects are dropped
-    first, so a scene has at most as many rows as it can hold objects.
+    first, so a scene has at most as many rows as it can hold objects.  ``encoding`` names the state encoding in ``heads``:
+    objects in cells that it does not show are left out.  It travels as one number, not as an array per object.
     """
     once = objects.select(key, "type", "px", "py", "color", "state").distinct()
-    j = once.join(heads.select(key, "ax", "ay", "dir", "fx", "fy"), key)
+    shown = [seen_cells(encoding).alias("_cells")] if encoding else []
+    j = once.join(heads.select(key, "ax", "ay", "dir", "fx", "fy", *shown), key)
     at = lambda x, y: view_xy(F.col(x), F.col(y), F.col("ax"), F.col("ay"), F.col("dir"))
     (vx, vy), (fx, fy), (gx, gy) = at("px", "py"), at("fx", "fy"), at("ax", "ay")
     j = j.withColumns({"vx": vx, "vy": vy, "_fx": fx, "_fy": fy, "view_dir": view_direction(gx, gy, fx, fy)})
     seen = F.col("vx").between(*VIEW_RANGE) & F.col("vy").between(*VIEW_RANGE)
     if visible is not None:
         seen = seen & visible
+    if encoding:
+        seen = seen & cell_is_seen(F.col("_cells"), F.col("vx"), F.col("vy"))
     ahead = (F.col("vx") == F.col("_fx")) & (F.col("vy") == F.col("_fy"))
     return j.filter(seen & ~ahead).select(
         key, "type", "vx", "vy", "color", F.when(F.col("type") == STATEFUL, F.coalesce("state", F.lit(0))).alias("state"), "view_dir"

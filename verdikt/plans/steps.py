@@ -268,6 +268,11 @@ def _(fx):
     return G.corridor_window(fx("steps"), F.col("visible") == "ball", F.col("front_color") == "red", 3, 5)
 
 
+@query("v11_corridor_steps")
+def _(fx):
+    return G.corridor_steps(fx("steps"), F.col("visible") == "ball", F.col("front_color") == "red", 3, 5)
+
+
 @query("v11_first_seen_window")
 def _(fx):
     steps = fx("steps")
