@@ -115,6 +115,12 @@ SELECT uid, 'stub' AS model, CASE WHEN v <> '' OR ends_with(uid, '3') THEN '' EL
  CASE WHEN v <> '' THEN 'd7_rejected' WHEN ends_with(uid, '3') THEN 'error' END AS finish_reason
 FROM (SELECT *, array_to_string(list_filter(['reward', 'widget', 'success'], lambda w: contains(lower(prompt), w)), ',') AS v FROM req) x
 WHERE NOT EXISTS (SELECT 1 FROM responses r WHERE r.uid = x.uid AND r.model = 'm2' AND r.attempt = 0)""")
+add("p17_usage_records", "exam_a exam_c exam_d exam_e", V_EXAM + """
+SELECT task, 'chat' AS protocol, finish_reason, count(*) AS n_calls, sum(p)::bigint AS prompt_tokens, sum(c)::bigint AS completion_tokens,
+ sum(p + c)::bigint AS total_tokens, round(avg(CASE WHEN finish_reason = 'stop' THEN 1.0 ELSE 0.0 END), 6) AS ok_rate
+FROM (SELECT substr(uid, 1, 1) AS task, CASE WHEN v <> '' THEN 'd7_rejected' WHEN ends_with(uid, '7') THEN 'length' ELSE 'stop' END AS finish_reason,
+  CASE WHEN v = '' THEN length(prompt) END AS p, CASE WHEN v = '' THEN length(uid) END AS c
+ FROM (SELECT *, array_to_string(list_filter(['reward', 'widget', 'success'], lambda w: contains(lower(prompt), w)), ',') AS v FROM req) x) y GROUP BY ALL""")
 MOCK = """
 , m AS (SELECT *, CASE WHEN hit THEN r WHEN task = 'E' THEN e[1 + p % len(e)] WHEN r = 'Success' THEN 'Fail' WHEN r = 'Fail' THEN 'Success'
    WHEN r IN ('A', 'B', 'C', 'D') THEN l[1 + p % len(l)] ELSE concat(r, '_wrong') END AS pred

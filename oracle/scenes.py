@@ -121,6 +121,10 @@ FOUND = "array_to_string(list_filter([" + ", ".join(f"'{t}'" for t in TERMS) + "
 add("v16_payload_scan", "", f"""
 SELECT conv_id, turn, v AS violations, v <> '' AS blocked, CASE WHEN v <> '' THEN concat('D7_VIOLATION:', v) END AS error,
  CASE WHEN v <> '' THEN 'd7_rejected' END AS finish_reason FROM (SELECT conv_id, turn, {FOUND} AS v FROM conversations) x""")
+add("v16_term_automaton", "", """
+SELECT conv_id, turn, len(v) AS n_terms, array_to_string(v, ',') AS violations, len(v) > 0 AS blocked, CASE WHEN len(v) > 0 THEN 'd7_rejected' END AS finish_reason
+FROM (SELECT conv_id, turn, list_filter(ws, lambda w: contains(lower(coalesce(text, '')), w)) AS v FROM conversations,
+ (SELECT coalesce(list(DISTINCT w ORDER BY w), []) AS ws FROM (SELECT unnest(string_split(lower(text), ' ')) AS w FROM benchmark) x WHERE length(w) >= 5) t) y""")
 add("v13_exam_gates", "exam_e", """
 SELECT gate, n_bad, n_bad = 0 AS passed, sample FROM (
 SELECT 'future_steps' AS gate, count(*) AS n_bad, min(uid) AS sample FROM exam_e WHERE anchor_step > query_step

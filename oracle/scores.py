@@ -219,6 +219,17 @@ SELECT concat('m', user_id % 3) AS model, count(*) AS n_calls, sum(event_id % 10
  sum(event_id % 7)::bigint AS completion_tokens, sum(event_id % 100 + event_id % 7)::bigint AS total_tokens,
  round(avg(value), 6) AS mean_latency, max(value) AS max_latency, round(quantile_cont(value, 0.5), 6) AS latency_p50, round(quantile_cont(value, 0.95), 6) AS latency_p95,
  round(avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END), 6) AS ok_rate FROM events GROUP BY 1""")
+add("a22_usage_sketches", "", """
+SELECT concat('m', user_id % 3) AS model, count(*) AS n_calls, sum(event_id % 100)::bigint AS prompt_tokens,
+ sum(event_id % 7)::bigint AS completion_tokens, sum(event_id % 100 + event_id % 7)::bigint AS total_tokens,
+ round(avg(value * 1.7::double + event_id / 1e7::double), 6) AS mean_latency, max(value * 1.7::double + event_id / 1e7::double) AS max_latency,
+ round(avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END), 6) AS ok_rate, true AS p50_in_bound, true AS p95_in_bound FROM events GROUP BY 1""")
+HIST = """(SELECT model, task, string_agg(concat(k, ':', c), ',' ORDER BY k) AS s FROM (SELECT model, task, {k} AS k, count(*) AS c FROM scored
+ WHERE {k} IS NOT NULL GROUP BY ALL) x GROUP BY ALL)"""
+add("a1_score_block", "scored", f"""
+SELECT b.*, p.s AS parse_modes, coalesce(f.s, '') AS failures FROM (SELECT model, task, {STATS} FROM scored GROUP BY model, task) b
+LEFT JOIN {HIST.format(k='parse_mode')} p ON p.model = b.model AND p.task = b.task
+LEFT JOIN {HIST.format(k='failure')} f ON f.model = b.model AND f.task = b.task""")
 add("w15_failure_examples", "scored", """
 SELECT failure, uid, model, task, row_number() OVER (PARTITION BY failure ORDER BY uid, model) AS rank
 FROM scored WHERE failure IS NOT NULL QUALIFY rank <= 50""")

@@ -461,21 +461,29 @@ REFUSED_ERROR = "D7_VIOLATION:"
 REFUSED_FINISH = "d7_rejected"
 
 
-def payload_scan(requests: DataFrame, terms: Sequence[str], prompt: str = "prompt") -> DataFrame:
-    """Forbidden terms found in each prompt; a hit turns the request into a refused response."""
-    low = F.lower(F.coalesce(F.col(prompt), F.lit("")))
-    listed = F.array(*[F.lit(t.lower()) for t in terms]).cast("array<string>")
-    found = F.filter(listed, lambda t: F.contains(low, t))
-    bad = F.size(found) > 0
+def refused(requests: DataFrame, found: Column) -> DataFrame:
+    """Requests with ``violations``; a row that has some becomes a refused response."""
+    # the list is made before it is tested, so that it is made once
+    bad = F.size("violations") > 0
     return requests.withColumn("violations", found).withColumns(
         {
             "blocked": bad,
-            "error": F.when(bad, F.concat(F.lit(REFUSED_ERROR), F.array_join(found, ","))),
+            "error": F.when(bad, F.concat(F.lit(REFUSED_ERROR), F.array_join("violations", ","))),
             "finish_reason": F.when(bad, F.lit(REFUSED_FINISH)),
         }
     )
 
 
+def payload_scan(requests: DataFrame, terms: Sequence[str], prompt: str = "prompt") -> DataFrame:
+    """Forbidden terms found in each prompt; a hit turns the request into a refused response.
+
+    Every term searches the prompt anew, which suits a handful; ``terms.automaton_scan`` reads it once for any number.
+    """
+    low = F.lower(F.coalesce(F.col(prompt), F.lit("")))
+    listed = F.array(*[F.lit(t.lower()) for t in terms]).cast("array<string>")
+    return refused(requests, F.filter(listed, lambda t: F.contains(low, t)))
+
+
 def audit_report(gated: DataFrame, keys: Sequence[str] = (), measures: Sequence[str] = ()) -> DataFrame:
     """Per reason: groups, share of all groups, and means of measures (passing groups only)."""
     r = F.coalesce(F.col("reason"), F.lit("pass"))

@@ -286,27 +286,51 @@ def to_response_rows(df: DataFrame, model: str, prefix: str = ERROR_PREFIX) -> D
     )
 
 
-RESPONSE_SCHEMA = "uid string, raw string, ok boolean, error string, finish_reason string, latency_ms double"
+# The token counts of a response record.
+USAGE = ["prompt_tokens", "completion_tokens", "total_tokens"]
+RESPONSE_SCHEMA = "uid string, raw string, ok boolean, error string, finish_reason string, latency_ms double, " + ", ".join(f"{u} bigint" for u in USAGE)
 
-Client = Callable[[list[str], list[str]], list[str]]
+#: What a client gives for a prompt: a text, or a mapping with ``text``, ``finish_reason`` and ``usage`` (token counts).
+Reply = str | Mapping[str, object]
+Client = Callable[[list[str], list[str]], list[Reply]]
 
 
-def _answers(client: Client, uids: list[str], prompts: list[str], prefix: str) -> list[str]:
-    """Answers of one batch; if the batch fails or answers with anything but texts, of its rows one by one."""
+def _whole(n: object) -> int | None:
+    return int(n) if isinstance(n, (int, float)) and n == n and abs(n) < 2**63 else None
+
+
+def _record(reply: object, prefix: str) -> dict[str, object] | None:
+    """Text, finish reason and token counts of a reply, None if it is none; a mapping without text is an error with its usage."""
+    if isinstance(reply, str):
+        return {"raw": reply, "finish": None}
+    if not isinstance(reply, Mapping):
+        return None
+    text, finish = reply.get("text"), reply.get("finish_reason")
+    usage = reply.get("usage") if isinstance(reply.get("usage"), Mapping) else {}
+    counts = {u: _whole(usage.get(u)) for u in USAGE}
+    if counts["total_tokens"] is None and None not in (counts["prompt_tokens"], counts["completion_tokens"]):
+        counts["total_tokens"] = counts["prompt_tokens"] + counts["completion_tokens"]
+    finish = None if finish is None else str(finish)
+    raw = text if isinstance(text, str) and text else f"{prefix} empty answer (finish_reason={finish})"
+    return {"raw": raw, "finish": finish, **counts}
+
+
+def _answers(client: Client, uids: list[str], prompts: list[str], prefix: str) -> list[dict[str, object]]:
+    """Records of one batch; if the batch fails or answers with anything but replies, of its rows one by one."""
     try:
-        raws = list(client(uids, prompts))
-        if len(raws) == len(uids) and all(isinstance(r, str) for r in raws):
-            return raws
+        records = [_record(r, prefix) for r in client(uids, prompts)]
+        if len(records) == len(uids) and None not in records:
+            return records
     except Exception:  # noqa: BLE001 - the batch is tried again row by row
         pass
-    raws = []
+    records = []
     for u, p in zip(uids, prompts):
         try:
-            (raw,) = client([u], [p])
-            raws.append(raw if isinstance(raw, str) else f"{prefix} no text: {raw!r}")
+            (reply,) = client([u], [p])
+            records.append(_record(reply, prefix) or {"raw": f"{prefix} no text: {reply!r}", "finish": None})
         except Exception as e:  # noqa: BLE001 - a failed call is a row, never a failed task
-            raws.append(f"{prefix} {type(e).__name__}: {e}")
-    return raws
+            records.append({"raw": f"{prefix} {type(e).__name__}: {e}", "finish": None})
+    return records
 
 
 def _call_batches(frames: Iterator[pd.DataFrame], make_client: Callable[[], Client], prefix: str, batch: int) -> Iterator[pd.DataFrame]:
@@ -316,16 +340,17 @@ def _call_batches(frames: Iterator[pd.DataFrame], make_client: Callable[[], Clie
         failure = f"{prefix} {type(e).__name__}: {e}"
         client = lambda uids, prompts: [failure] * len(uids)
     for pdf in frames:
-        out = pdf[["uid", "error", "finish_reason"]].assign(raw="", ok=False, latency_ms=0.0)
+        rows = {i: {"uid": u, "raw": "", "ok": False, "error": e, "finish_reason": f, "latency_ms": 0.0} for i, u, e, f in zip(pdf.index, pdf["uid"], pdf["error"], pdf["finish_reason"])}
         send = pdf[~pdf["blocked"]]
         for k in range(0, len(send), batch):
             part = send.iloc[k : k + batch]
             began = time.perf_counter()
-            raws = _answers(client, list(part["uid"]), list(part["prompt"]), prefix)
-            out.loc[part.index, "latency_ms"] = (time.perf_counter() - began) * 1000 / len(part)
-            out.loc[part.index, "raw"] = raws
-            out.loc[part.index, "ok"] = [not r.startswith(prefix) for r in raws]
-        yield out[["uid", "raw", "ok", "error", "finish_reason", "latency_ms"]]
+            records = _answers(client, list(part["uid"]), list(part["prompt"]), prefix)
+            took = (time.perf_counter() - began) * 1000 / len(part)
+            for i, r in zip(part.index, records):
+                rows[i].update(raw=r["raw"], ok=not r["raw"].startswith(prefix), finish_reason=r["finish"], latency_ms=took, **{u: r.get(u) for u in USAGE})
+        out = pd.DataFrame(list(rows.values()), columns=["uid", "raw", "ok", "error", "finish_reason", "latency_ms", *USAGE])
+        yield out.astype({u: "Int64" for u in USAGE})
 
 
 def batch_infer(
@@ -339,11 +364,13 @@ def batch_infer(
     batch: int = 64,
     provider: str | None = None,
     backend: str | None = None,
+    protocol: str | None = None,
 ) -> DataFrame:
     """Response rows of the requests that are still open, with the columns of the response record.
 
     Answered uids drop out, refused prompts become error rows without a call, and the rest goes to the caller's client
     in batches of ``batch`` prompts; the client is made once per task.  Whatever a client does is a row, never a failed task.
+    Token counts that a client reports are in the row (null where it does not), so ``scoring.usage_rollup`` runs on the log.
     """
     todo = unanswered(requests, log) if log is not None else requests
     if shard is not None:
@@ -353,10 +380,9 @@ def batch_infer(
     sent = scanned.select("uid", "prompt", "blocked", "error", "finish_reason").mapInPandas(
         lambda frames: _call_batches(frames, make_client, prefix, batch), RESPONSE_SCHEMA
     )
-    rows = to_response_rows(sent, model, prefix).select("uid", "model", "pred", "raw", "ok", "error", "finish_reason", "latency_ms")
-    rows = rows.withColumns(
-        {"shard": F.lit(shard[0] if shard else 0), "provider": F.lit(provider).cast("string"), "backend": F.lit(backend).cast("string")}
-    )
+    rows = to_response_rows(sent, model, prefix).select("uid", "model", "pred", "raw", "ok", "error", "finish_reason", "latency_ms", *USAGE)
+    given = {"provider": provider, "backend": backend, "protocol": protocol}
+    rows = rows.withColumns({"shard": F.lit(shard[0] if shard else 0), **{c: F.lit(v).cast("string") for c, v in given.items()}})
     return rows.join(requests.select("uid", *meta).dropDuplicates(["uid"]).withColumnRenamed("schema_version", "exam_schema_version"), "uid", "left") if meta else rows
 
 

@@ -97,7 +97,7 @@ def view_direction(ax: Column, ay: Column, fx: Column, fy: Column) -> Column:
 def seen_cells(encoding: str | Column) -> Column:
     """The cells that a state encoding (array of columns of (type, colour, …) cells) shows, as bits of one number.
 
-    Bit 7x + y stands for cell (x, y).  Cells beyond 7 × 7, null cells and cells without type and colour are not seen; a
+    Bit 7x + y stands for cell (x, y).  Cells beyond 7 × 7, null cells and cells too short to tell are not seen; a
     null encoding gives null.
     """
     enc = F.col(encoding) if isinstance(encoding, str) else encoding

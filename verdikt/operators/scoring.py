@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import parse as P
 from ..functions.text import n_where, ratio, share
 from . import scenes as C
-from .joins import first_per_key, gold_left_join, last_per_key
+from .joins import first_per_key, gold_left_join, last_per_key, spread_join
 
 # Failure codes, by task, in order of precedence after missing and error.
 UNPARSED = {"A": "A_no_letter", "C": "C_no_label", "D": "D_no_label", "E": "E_parse_error"}
@@ -276,8 +276,15 @@ def usable_accuracy(scores: DataFrame, classes: Sequence[str] = ("A", "B")) -> D
     )
 
 
-def coverage(gold: DataFrame, responses: DataFrame, models: Sequence[str]) -> DataFrame:
-    """Per model: gold, response lines, distinct uids, scored, missing, extra and duplicate counts."""
+def coverage(gold: DataFrame, responses: DataFrame, models: Sequence[str], file: str | Column | None = None) -> DataFrame:
+    """Per model: gold, response lines, distinct uids, scored, missing, extra and duplicate counts.
+
+    With ``file``, the file that a response was read from, also the number of files that have lines of the model.
+    """
+    if file is not None:
+        at = F.col(file) if isinstance(file, str) else file
+        files = responses.select("model", at.alias("_file")).distinct().groupBy("model").agg(F.count("_file").alias("n_files"))
+        return coverage(gold, responses, models).join(files, "model", "left").withColumn("n_files", F.coalesce("n_files", F.lit(0)))
     per_uid = responses.groupBy("uid", "model").agg(F.count("*").alias("_lines"))
     expected = gold.select("uid").withColumn("model", F.explode(F.array(*[F.lit(m) for m in models]))).withColumn("_g", F.lit(1))
     both = expected.join(per_uid, ["uid", "model"], "full")
@@ -359,3 +366,102 @@ def usage_rollup(calls: DataFrame, keys: Sequence[str], percentiles: Sequence[in
         *[F.round(F.percentile("latency_ms", p / 100), 6).alias(f"latency_p{p}") for p in percentiles],
         F.round(share(F.col("ok")), 6).alias("ok_rate"),
     )
+
+
+#: Size of a latency sketch; its rank error is below one hundredth.
+SKETCH_K = 512
+
+
+def usage_parts(calls: DataFrame, keys: Sequence[str], part: str, k: int = SKETCH_K) -> DataFrame:
+    """Mergeable usage of each key and part (say, a day): sums, maximum and a KLL sketch of the latencies.
+
+    A row has bounded size however many different latencies it stands for, so parts can be stored and later days added
+    without reading the calls again.  Calls without latency, or with NaN, count as calls and are not in the sketch.
+    """
+    lat = F.col("latency_ms").cast("double")
+    lat = F.when(~F.isnan(lat), lat)
+    return calls.groupBy(*keys, part).agg(
+        F.count("*").alias("n_calls"),
+        F.sum("prompt_tokens").alias("prompt_tokens"),
+        F.sum("completion_tokens").alias("completion_tokens"),
+        F.count(lat).alias("n_latency"),
+        F.sum(lat).alias("sum_latency"),
+        F.max(lat).alias("max_latency"),
+        n_where(F.col("ok")).alias("n_ok"),
+        F.kll_sketch_agg_double(lat, F.lit(k)).alias("latency_sketch"),
+    )
+
+
+def usage_from_parts(parts: DataFrame, keys: Sequence[str], percentiles: Sequence[int] = (50, 95)) -> DataFrame:
+    """The usage table over all parts of a key; percentiles come from the merged sketches, null without a latency."""
+    # an empty sketch has no quantile, so only sketches with values are merged
+    sketch = F.kll_merge_agg_double(F.when(F.col("n_latency") > 0, F.col("latency_sketch")))
+    g = parts.groupBy(*keys).agg(
+        F.sum("n_calls").alias("n_calls"),
+        F.sum("prompt_tokens").alias("prompt_tokens"),
+        F.sum("completion_tokens").alias("completion_tokens"),
+        F.sum("n_latency").alias("_n"),
+        F.sum("sum_latency").alias("_sum"),
+        F.max("max_latency").alias("max_latency"),
+        F.sum("n_ok").alias("_ok"),
+        sketch.alias("_sketch"),
+    )
+    return g.select(
+        *keys,
+        "n_calls",
+        "prompt_tokens",
+        "completion_tokens",
+        (F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"),
+        F.round(ratio(F.col("_sum"), F.col("_n")), 6).alias("mean_latency"),
+        "max_latency",
+        *[F.when(F.col("_n") > 0, F.kll_sketch_get_quantile_double("_sketch", F.lit(q / 100))).alias(f"latency_p{q}") for q in percentiles],
+        F.round(ratio(F.col("_ok"), F.col("n_calls")), 6).alias("ok_rate"),
+    )
+
+
+def rank_errors(calls: DataFrame, usage: DataFrame, keys: Sequence[str], percentiles: Sequence[int] = (50, 95)) -> DataFrame:
+    """How far the rank of each percentile in ``usage`` is from the rank asked for, over all calls, as ``error_p…``.
+
+    A value that occurs many times has a range of ranks; inside it the error is 0.
+    """
+    names = [f"latency_p{q}" for q in percentiles]
+    lat = F.when(~F.isnan(F.col("latency_ms").cast("double")), F.col("latency_ms").cast("double"))
+    d = spread_join(calls.select(*keys, lat.alias("_lat")), usage.select(*keys, *names), keys, F.col("_lat"))
+    g = d.groupBy(*keys).agg(
+        F.count("_lat").alias("_n"),
+        *[n_where(F.col("_lat") < F.col(c)).alias(f"_below_{c}") for c in names],
+        *[n_where(F.col("_lat") <= F.col(c)).alias(f"_upto_{c}") for c in names],
+    )
+    rank = lambda c: ratio(F.col(c), F.col("_n"))
+    error = lambda q: F.greatest(rank(f"_below_latency_p{q}") - q / 100, q / 100 - rank(f"_upto_latency_p{q}"), F.lit(0.0))
+    return g.select(*keys, *[error(q).alias(f"error_p{q}") for q in percentiles])
+
+
+def score_block(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The score statistics with counts of parse modes and failures as maps; without keys one row, also over no rows.
+
+    Rows without parse mode count as "fail", rows without failure are in no failure count.  Rows are first counted per mode
+    and failure, of which there are a few, so the lists put together here are short.
+    """
+    mode = F.coalesce(F.col("parse_mode"), F.lit("fail")).alias("_mode")
+    cells = scored.withColumn("_failure", F.col("failure")).groupBy(*keys, mode, "_failure").agg(
+        F.count("*").alias("_n"), F.sum("score").alias("_score"), F.count("score").alias("_scored"), n_where(F.col("correct")).alias("_hits")
+    )
+    g = cells.groupBy(*keys).agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n"),
+        F.round(ratio(F.sum("_score"), F.sum("_scored")), 6).alias("mean_score"),
+        F.round(ratio(F.sum("_hits"), F.sum("_n")), 6).alias("acc"),
+        F.round(ratio(F.sum(F.when(F.col("_failure") == "api_error", F.col("_n")).otherwise(0)), F.sum("_n")), 6).alias("api_error_rate"),
+        F.round(ratio(F.sum(F.when(F.col("_failure") == "missing_response", F.col("_n")).otherwise(0)), F.sum("_n")), 6).alias("missing_rate"),
+        F.collect_list(F.struct(F.col("_mode").alias("k"), F.col("_n").alias("n"))).alias("_modes"),
+        F.collect_list(F.when(F.col("_failure").isNotNull(), F.struct(F.col("_failure").alias("k"), F.col("_n").alias("n")))).alias("_failures"),
+    )
+    out = g.withColumns({"parse_modes": _counts(F.col("_modes")), "failures": _counts(F.col("_failures"))}).drop("_modes", "_failures")
+    return out if keys else out.na.fill(0.0)
+
+
+def _counts(pairs: Column) -> Column:
+    """Sums per name of (k, n) pairs, as a map in the order of names."""
+    names = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["k"])))
+    total = lambda k: F.aggregate(F.filter(pairs, lambda p: p["k"] == k), F.lit(0).cast("bigint"), lambda a, p: a + p["n"])
+    return F.map_from_arrays(names, F.transform(names, total))

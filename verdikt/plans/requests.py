@@ -247,6 +247,28 @@ def stub_client():
     return call
 
 
+def metered_client():
+    """A stub that reports its use; it gives no text for some prompts."""
+
+    def call(uids: list[str], prompts: list[str]) -> list[dict]:
+        return [
+            {"text": "" if u.endswith("7") else "Yes", "finish_reason": "length" if u.endswith("7") else "stop", "usage": {"prompt_tokens": len(p), "completion_tokens": len(u)}}
+            for u, p in zip(uids, prompts)
+        ]
+
+    return call
+
+
+@query("p17_usage_records")
+def _(fx):
+    """Usage by exam from the log that the inference job itself writes."""
+    from ..operators import scoring as S
+
+    log = R.batch_infer(R.build_requests(_exam(fx), "root/"), metered_client, "stub", terms=TERMS, protocol="chat")
+    use = S.usage_rollup(log.withColumn("task", F.substring("uid", 1, 1)), ["task", "protocol", "finish_reason"])
+    return use.select("task", "protocol", "finish_reason", "n_calls", "prompt_tokens", "completion_tokens", "total_tokens", "ok_rate")
+
+
 @query("i2_mock_responses")
 def _(fx):
     g = fx("gold_rows").withColumn("answer", F.when(F.col("task") == "A", F.upper(F.trim("answer"))).otherwise(F.col("answer")))

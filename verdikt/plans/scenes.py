@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import parse as P
-from ..operators import gates as G, joins as J, scenes as C, scoring as S
+from ..operators import gates as G, joins as J, scenes as C, scoring as S, terms as N
 from .fixtures import MODELS, Fixtures
 from .registry import query
 
@@ -214,6 +214,15 @@ def _(fx):
     return s.select("conv_id", "turn", F.array_join("violations", ",").alias("violations"), "blocked", "error", "finish_reason")
 
 
+@query("v16_term_automaton")
+def _(fx):
+    """Every turn against all longer words of the benchmark, in one pass a turn."""
+    words = fx("benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("w")).filter("length(w) >= 5")
+    c = fx("conversations").select("conv_id", "turn", F.col("text").alias("prompt"))
+    s = N.automaton_scan(c, N.term_list(words, "w"))
+    return s.select("conv_id", "turn", F.size("violations").alias("n_terms"), F.array_join("violations", ",").alias("violations"), "blocked", "finish_reason")
+
+
 @query("v13_exam_gates")
 def _(fx):
     e = fx("exam_e").withColumn("selected_steps", F.array(F.lit(0), F.col("anchor_step"), F.col("query_step")))

@@ -221,6 +221,14 @@ def _(fx):
     return S.score_stats(scored(fx), ["model"])
 
 
+@query("a1_score_block")
+def _(fx):
+    """The score block with its parse modes and failures as ``name:count`` texts."""
+    text = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws(":", e["key"], e["value"])), ",").alias(c)
+    b = S.score_block(scored(fx), ["model", "task"])
+    return b.select("model", "task", "n", "mean_score", "acc", "api_error_rate", "missing_rate", text("parse_modes"), text("failures"))
+
+
 @query("a2_score_rollup")
 def _(fx):
     sets = [["model"], ["model", "task"], ["model", "task", "env_task"]]
@@ -341,6 +349,23 @@ def _(fx):
     return S.usage_rollup(calls, ["model"])
 
 
+@query("a22_usage_sketches")
+def _(fx):
+    """Usage by day as mergeable parts, put together per model; the percentiles are held against the ranks in all calls."""
+    calls = fx("events").select(
+        F.concat(F.lit("m"), F.col("user_id") % 3).alias("model"),
+        F.to_date("ts").alias("day"),
+        (F.col("value") * 1.7 + F.col("event_id") / 1e7).alias("latency_ms"),
+        (F.col("event_type") != "error").alias("ok"),
+        (F.col("event_id") % 100).alias("prompt_tokens"),
+        (F.col("event_id") % 7).alias("completion_tokens"),
+    )
+    usage = S.usage_from_parts(S.usage_parts(calls, ["model"], "day"), ["model"])
+    errors = S.rank_errors(calls, usage, ["model"])
+    near = [(F.col(f"error_p{q}") <= 0.01).alias(f"p{q}_in_bound") for q in (50, 95)]
+    return usage.join(errors, "model").select("model", "n_calls", "prompt_tokens", "completion_tokens", "total_tokens", "mean_latency", "max_latency", "ok_rate", *near)
+
+
 @query("w15_failure_examples")
 def _(fx):
     return S.failure_examples(scored(fx))

@@ -36,12 +36,12 @@ def _(fx):
     return d.select("uid", "model", "attempt", "ok", "error", F.md5(F.col("raw").cast("binary")).alias("raw_md5"))
 
 
-def _torn(fx: Fixtures) -> str:
-    """Sixteen files per model; some lines are cut in the middle."""
+def _torn(fx: Fixtures, whole: bool = False) -> str:
+    """Sixteen files per model; some lines are cut in the middle, unless all shall be whole."""
     r = fx("responses")
     line = F.to_json(F.struct("uid", "model", "attempt", "ingest_seq", "ok", "raw"))
     # ingest_seq is shared by the exams, so the uid completes the line order
-    cut = (F.col("ingest_seq") > 300) & (F.col("ingest_seq") % 97 == 5)
+    cut = F.lit(False) if whole else (F.col("ingest_seq") > 300) & (F.col("ingest_seq") % 97 == 5)
     text = r.select("model", (F.col("ingest_seq") % 16).alias("part"), "ingest_seq", "uid", F.when(cut, F.substring(line, F.lit(1), F.length(line) - 9)).otherwise(line).alias("value"))
     path = scratch_dir(fx.spark, "torn")
     dealt = text.repartition("model", "part").sortWithinPartitions("model", "part", "ingest_seq", "uid")
@@ -69,6 +69,13 @@ def _(fx):
     return f.select("uid", "model", "attempt", "ingest_seq", "n_copies")
 
 
+@query("a10_coverage_files")
+def _(fx):
+    """Coverage of the exam by a log in many files, with their number."""
+    log = L.read_shards(fx.spark, _torn(fx, whole=True), TORN)
+    return S.coverage(fx("gold_rows"), log.select("uid", "model", "ingest.file"), MODELS, "file")
+
+
 def _exam_dir(fx: Fixtures) -> str:
     """Exam files of all tasks; some uids are repeated in older E files and in the C file."""
     root = scratch_dir(fx.spark, "exam")
