@@ -166,6 +166,16 @@ def test_contamination(spark, docs, rows, items, block_words):
     assert same(got, brute.contamination(pairs(rows), items))
 
 
+def test_documents_are_written_once_for_all_blocks(spark, docs, items, monkeypatch):
+    written, blocks = [], []
+    land, phrases = decontamination.landed, decontamination.Phrases
+    monkeypatch.setattr(decontamination, "landed", lambda df, name: (written.append(name), land(df, name))[1])
+    monkeypatch.setattr(decontamination, "Phrases", lambda *a: (blocks.append(a), phrases(*a))[1])
+    got = decontamination.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), ["doc_id"], block_words=100)
+    assert len(blocks) >= 10 and written == ["decontamination", "decontamination-blocks"]
+    assert got.count() == docs.count()
+
+
 def test_contamination_filter(spark, docs, rows, items, empty):
     bench = spark.createDataFrame(items, "item_id long, text string")
     kept = decontamination.keep_clean(docs, bench)

@@ -6,7 +6,8 @@ index holds only what can match.  The windows of all items are searched backward
 are located by sampled suffix positions, each occurrence is compared word by word, and spans are merged.
 
 The benchmark is read in blocks of at most BLOCK_WORDS window words.  A block is broadcast to the tasks, so that what is
-broadcast is bounded; documents pass once for each block.
+broadcast is bounded.  With several blocks the documents are numbered and written once, and that table is read once for each
+block; what comes back from a block are spans and items only.
 
 Defined results: null and empty texts have no words and no hits; a null or empty item matches nothing; items that share
 an item_id count once, and one without item_id is listed as an empty name; repeated rows are judged one by one; with an
@@ -171,8 +172,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: Sequence[str], wi
         while items is not None:
             after = next(parts, None)
             shared = context.broadcast(Phrases(items, window))
-            if done or after is not None:
-                d = landed(d, "decontamination") if "_number" in d.columns else landed(d.withColumn("_number", F.monotonically_increasing_id()), "decontamination")
+            if not done and after is not None:
+                d = landed(d.withColumn("_number", F.monotonically_increasing_id()), "decontamination")
+            if "_number" in d.columns:
                 done.append(map_texts(d, lambda x, s=shared: _columns(x, s.value), FIELDS, ["_number"]))
             else:
                 out = map_texts(d, lambda x, s=shared: _columns(x, s.value), FIELDS, ["_row"])
