@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import joins as J, scoring as S
 from ..operators.gates import audit_report, contract_fields
 from ..session import scratch_dir
-from ..sources import jsonl as L, sinks
+from ..sources import jsonl as L, log, sinks
 from .fixtures import MODELS, Fixtures
 from .registry import query
 from .scenes import exam_b, responses_b
@@ -72,8 +72,8 @@ def _(fx):
 @query("a10_coverage_files")
 def _(fx):
     """Coverage of the exam by a log in many files, with their number."""
-    log = L.read_shards(fx.spark, _torn(fx, whole=True), TORN)
-    return S.coverage(fx("gold_rows"), log.select("uid", "model", "ingest.file"), MODELS, "file")
+    answers = L.read_shards(fx.spark, _torn(fx, whole=True), TORN)
+    return S.coverage(fx("gold_rows"), answers.select("uid", "model", "ingest.file"), MODELS, "file")
 
 
 def _exam_dir(fx: Fixtures) -> str:
@@ -156,13 +156,16 @@ def _(fx):
 
 @query("s8_response_log")
 def _(fx):
-    """Two appends; the second one is the resumed rest, so every uid and model is in the log once."""
+    """Two batches; the second one is the resumed rest, so every uid and model is in the log once, also after a retry and compaction."""
     path = scratch_dir(fx.spark, "log")
+    schema = "uid string, model string, ingest_seq bigint, ok boolean"
     r = S.dedupe(fx("responses").select("uid", "model", "ingest_seq", "ok"))
-    sinks.append_response_log(r.filter("ingest_seq % 3 = 0"), path)
-    log = fx.spark.read.schema("uid string, model string, ingest_seq bigint, ok boolean").json(path)
-    sinks.append_response_log(J.unanswered(r, log, ["uid", "model"]), path)
-    again = fx.spark.read.schema("uid string, model string, ingest_seq bigint, ok boolean").json(path)
+    log.append_batch(r.filter("ingest_seq % 3 = 0"), path, "first")
+    rest = J.unanswered(r, log.read_log(fx.spark, path, schema), ["uid", "model"])
+    log.append_batch(rest, path, "rest")
+    log.append_batch(r, path, "rest")
+    log.compact(fx.spark, path, schema, fx.spark.sparkContext.defaultParallelism)
+    again = log.read_log(fx.spark, path, schema)
     return again.groupBy("model").agg(F.count("*").alias("n_lines"), F.count_distinct("uid").alias("n_uids"), F.sum("ingest_seq").alias("seq_sum"))
 
 
