@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .text import Col, col, nonblank, strip
 
-# Word lists, prefixes and the nearness limit that decide a verdict.
+# Word lists, prefixes and the nearness limit that decide a verdict.  The pattern looks at the first letter of a word
+# before it looks for an edge, which costs less at the many places where no word begins.
 SUCCESS_WORDS = ["succeed", "succeeded", "success", "successful", "successfully", "yes"]
 FAIL_WORDS = ["fail", "failed", "failure", "no"]
 NEGATED = ["unsuccess", "un-fail", "unfail"]
-VERDICT_PATTERN = r"(?U)\b(succeed(?:ed)?|success(?:ful(?:ly)?)?|fail(?:ed|ure)?|yes|no)\b"
+VERDICT_PATTERN = r"(?U)(?=[sfyn])\b(succeed(?:ed)?|success(?:ful(?:ly)?)?|fail(?:ed|ure)?|yes|no)\b"
 NEAR_CHARS = 15
 ALIAS_SUCCESS = ["success", "yes", "true", "succeed"]
 ALIAS_FAIL = ["fail", "no", "false", "failed", "failure"]
@@ -33,7 +34,7 @@ def letter_answer(text: Col, letters: str = "ABCD", strict_only: bool = False, s
     """A choice letter: alone is strict, the first free-standing one in a text is recoverable."""
     t = col(text) if stripped else strip(F.coalesce(col(text), F.lit("")))
     alone = t.rlike(f"(?i)^[{letters}]$")
-    found = F.upper(F.regexp_extract(t, rf"(?iU)\b([{letters}])\b", 1))
+    found = F.upper(F.regexp_extract(t, rf"(?iU)(?=[{letters}])\b([{letters}])\b", 1))
     if strict_only:
         return _parsed(F.when(alone, F.upper(t)), F.when(alone, F.lit("strict")).otherwise(F.lit("fail")))
     return _parsed(

@@ -179,9 +179,9 @@ def _(fx):
         .unionByName(fx("conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("."), "turn").alias("id"), "text"))
         .unionByName(fx("benchmark").select(F.concat(F.lit("b"), "item_id").alias("id"), "text"))
     )
-    r = texts.select("id", P.verdict("text").alias("v"), P.letter_answer("text").alias("a"))
+    r = P.read_answers(texts, F.col("text"), ["verdict", "letter"])
     return r.select(
-        "id", F.col("v.value").alias("verdict"), F.col("v.mode").alias("parse_mode"), F.col("a.value").alias("letter")
+        "id", F.col("as_verdict.value").alias("verdict"), F.col("as_verdict.mode").alias("parse_mode"), F.col("as_letter.value").alias("letter")
     )
 
 
