@@ -143,6 +143,25 @@ def test_toxicity_learns_despite_wrong_labels():
             assert machine.probability(machine.worst(f"{common[0]} {spelling} {common[1]}")) >= 0.5, spelling
 
 
+def test_toxicity_tolerates_letters_put_in():
+    """At every place, with letters the machine need not have met; clean words altered alike stay clean, and so does a clean neighbour."""
+    rng = random.Random(8)
+    common = ["".join(rng.choice("aeinorst") for _ in range(rng.randrange(2, 8))) for _ in range(400)]
+    insults, near = ["dumbhead", "fatface", "jerkwad", "pigbrain", "grumblers"], "grumbler"
+    bags = []
+    for i in range(600):
+        words = rng.choices(common, k=60) + ([rng.choice(insults)] if i % 6 == 0 else [near] * (i % 3 == 0))
+        bags.append((i % 6 == 0, " ".join(words)))
+    machine = toxicity.fit(bags)
+    says = lambda w: machine.probability(machine.worst(w)) >= 0.5
+    put_in = lambda w: [w[:k] + c + w[k:] for k in range(1, len(w)) for c in rng.sample("abcdefghijklmnopqrstuvwxyz", 5) + [w[k - 1]]]
+    altered = [says(v) for w in insults[:4] for v in put_in(w)]
+    assert sum(altered) >= 0.9 * len(altered)
+    assert not says(near) and all(map(says, insults))
+    clean = [says(v) for w in common[:60] if len(w) > 3 for v in put_in(w)]
+    assert sum(clean) <= 0.02 * len(clean)
+
+
 def test_toxicity_examples_are_one_a_document(spark):
     docs = spark.createDataFrame([(i, t) for i in range(1, 9) for t in ("b same same " + "x" * 40, "a other i d i o t", None)], "doc_id long, text string").repartition(4)
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)] + [(1, 1), (None, 1), (2, None)], "doc_id long, toxic int")

@@ -6,7 +6,8 @@ gaps of three letters in all and each gap lessens its weight, so that inserted o
 insult.  Units are mapped to their kernel values with landmark units (Nyström), and a linear machine with squared hinge
 loss is trained there.  Only documents are labelled, so the unit that stands for a toxic document is chosen anew with
 each machine, among those that toxic documents have far oftener than others; all units of other documents are examples of
-the other class, and altered spellings of the chosen ones of the toxic class.
+the other class, and altered spellings of the chosen ones of the toxic class.  A unit that some clean unit is as like as its own
+altered spellings are has no such examples, for to tolerate them would mark the clean unit too.
 
 The trained machine is one weight per subsequence (40^4 numbers), which is what landmarks and machine add up to; tasks
 score each distinct unit once.  It is fitted on at most SAMPLE labelled documents of each class, the first ones by a
@@ -44,6 +45,10 @@ REMEMBERED = 400_000
 LOWEST = -3.0
 #: Units whose subsequences are in memory together (some ten thousand numbers a unit at most).
 AT_ONCE = 2048
+#: Letters tried at each place of a unit, as altered spellings to learn from.
+INSERTED = 3
+#: Weight of all altered spellings of a unit together, the unit itself being 1.
+ALTERED = 4.0
 #: Log of how much oftener toxic documents than others have a unit that may stand for them.
 MARKED = 1.5
 
@@ -196,15 +201,25 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float, rounds:
 
 
 def _altered(u: str, rng: np.random.Generator) -> list[str]:
-    """Spellings with a letter put in, doubled or left out, as further examples."""
-    out = []
-    for k in range(6 if len(u) < LONGEST else 0):
-        at = int(rng.integers(1, max(2, len(u))))
-        out.append(u[:at] + (u[at - 1] if k > 3 else chr(97 + int(rng.integers(26)))) + u[at:])
+    """Spellings with a letter put in or doubled, at each place inside, and one with a letter left out, as further examples."""
+    if not 3 < len(u) < LONGEST:
+        return []
+    inside = range(1, len(u))
+    out = [u[:k] + chr(97 + x) + u[k:] for k in inside for x in rng.integers(26, size=INSERTED).tolist()]
+    out += [u[:k] + u[k - 1] + u[k:] for k in inside]
     if len(u) > 4:
         at = int(rng.integers(1, len(u) - 1))
         out.append(u[:at] + u[at + 1 :])
-    return out
+    return list(dict.fromkeys(out))
+
+
+def _tolerant(units: list[str], clean: list[str], rng: np.random.Generator) -> list[str]:
+    """Those of ``units`` that no clean unit is as like as their own altered spellings are.
+
+    To tolerate altered spellings of the others would mark the clean unit as well.
+    """
+    near = _kernel(clean, units).max(axis=0)
+    return [u for u, k in zip(units, near) if (own := _altered(u, rng)) and k < np.median(_kernel(own, [u]))]
 
 
 def _best(ids: np.ndarray, score: np.ndarray) -> int:
@@ -239,7 +254,12 @@ def fit(bags: list[tuple[bool, str]], seed: int = 7) -> Machine | None:
     common = np.argsort(-good, kind="stable")[: LANDMARKS // 4]
     spread = rng.choice(clean, min(len(clean), LANDMARKS // 4), replace=False)
     telling_first = np.argsort(-odds, kind="stable")[: LANDMARKS // 2]
-    landmarks = [names[i] for i in dict.fromkeys([*telling_first.tolist(), *common.tolist(), *spread.tolist()])]
+    is_clean = set(names[i] for i in clean)
+    tolerant = _tolerant([names[i] for i in telling_first], [names[i] for i in clean], rng)
+    # altered spellings of the units that tell most are landmarks too, for the machine can weigh only what landmarks hold
+    variants = [v for u in tolerant[: LANDMARKS // 16] for v in rng.permutation(_altered(u, rng))[: LANDMARKS // 16].tolist()]
+    tolerant = set(tolerant)
+    landmarks = list(dict.fromkeys([*(names[i] for i in (*telling_first, *common, *spread)), *variants]))
     row, key, value, owner = features(landmarks)
     k = _kernel(landmarks, landmarks).astype(float)
     lam, vec = np.linalg.eigh(k)
@@ -256,13 +276,12 @@ def fit(bags: list[tuple[bool, str]], seed: int = 7) -> Machine | None:
     telling = Counter({int(i): int(bad[i]) for i in np.flatnonzero((bad >= max(3, n_bad // 200)) & (good == 0))})
     hard = rng.choice(clean, min(len(clean), 6000), replace=False)
     weights, bias, score = np.zeros(SYMBOLS**4, np.float32), 0.0, np.zeros(len(names))
-    is_clean = set(names[i] for i in clean)
     for _ in range(4):
         yes = {names[i]: float(n) for i, n in (Counter(stands) | telling).items()}
-        for u in sorted(yes):
-            for v in _altered(u, rng):
-                if v not in is_clean:
-                    yes[v] = max(yes.get(v, 0.0), yes[u] / 2)
+        for u in sorted(tolerant & yes.keys()):
+            more = [v for v in _altered(u, rng) if v not in is_clean]
+            for v in more:
+                yes[v] = max(yes.get(v, 0.0), yes[u] * ALTERED / len(more))
         no = [i for i in np.unique(np.concatenate([hard, common])).tolist() if names[i] not in yes]
         units = list(yes) + [names[i] for i in no]
         z = _kernel(units, landmarks) @ root
@@ -279,17 +298,27 @@ def fit(bags: list[tuple[bool, str]], seed: int = 7) -> Machine | None:
         # a toxic document whose best unit looks like the other class has nothing to teach
         stands = [i for i in best if score[i] > -0.5] or best
         hard = np.concatenate([hard[:6000], clean[np.argsort(-score[clean], kind="stable")[:4000]]])
-    slope, middle = _curve(np.array([score[d].max() for d in docs]), toxic.astype(float))
+    # for the curve, a toxic document counts half as it is and half with a spelling of its unit that the machine did not learn from
+    fresh = {}
+    for k, i in enumerate(stands):
+        other = [v for v in _altered(names[i], rng) if v not in yes and v not in is_clean] if names[i] in tolerant else []
+        if other:
+            fresh[k] = other[int(rng.integers(len(other)))]
+    weight = np.ones(len(docs) + len(fresh))
+    weight[np.flatnonzero([t and len(d[marks[d]]) > 0 for d, t in zip(docs, toxic)])[list(fresh)]] = 0.5
+    weight[len(docs) :] = 0.5
+    worst = np.concatenate([[score[d].max() for d in docs], unit_scores(list(fresh.values()), weights, bias)])
+    slope, middle = _curve(worst, np.concatenate([toxic, np.ones(len(fresh))]).astype(float), weight)
     return Machine(weights, bias, slope, middle)
 
 
-def _curve(worst: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+def _curve(worst: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Logistic curve through the labels, by Newton steps."""
     x = np.stack([worst, np.ones(len(worst))], 1)
     w = np.array([2.0, 0.0])
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(2), x.T @ (label - q) - 0.1 * w)
+        step = np.linalg.solve((x * (weight * q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(2), x.T @ (weight * (label - q)) - 0.1 * w)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
