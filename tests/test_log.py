@@ -98,3 +98,14 @@ def test_digest_of_a_large_file_takes_chunks(tmp_path):
     digest = lines.file_digest(str(file))
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000  # kilobytes
     assert digest == "c698c87fb53058d493492b61f4c74189"
+
+
+def test_rows_that_share_their_order_are_many_packed_files(fx):
+    from pyspark.sql import functions as F
+
+    from verdikt.plans.scenes import responses_b
+    from verdikt.plans.sources import _log
+
+    lines = fx.spark.read.text(_log(fx, responses_b(fx))).groupBy(F.input_file_name().alias("file")).count().collect()
+    assert max(r["count"] for r in lines) < sum(r["count"] for r in lines) / 2
+    assert all(r.file.endswith(".gz") for r in lines)
