@@ -139,3 +139,26 @@ def test_questions_of_one_pool_draw_their_own_states(fx):
     large = [q for q in by_pool.values() if len(q) > 2]
     assert large and any(len({frozenset(s) for s in q.values()}) > 1 for q in large)
     assert all(len(set(s)) == len(s) <= H.POOL_LOOK for q in by_pool.values() for s in q.values())
+
+
+def test_answers_are_read_once_and_after_the_join(fx):
+    """Text reading stays above the join with gold, and a filter on what it gives does not repeat it."""
+    from verdikt.operators import scoring as S
+    from verdikt.plans.scores import scored
+
+    plan = S.histogram(scored(fx), "failure", ["model", "task"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    assert plan.index("regexp_extract_all") < plan.index("Join")
+
+
+def test_first_and_last_answers_are_joined_to_gold_once_for_all_models(spark):
+    """Same rows as the join per model, with repeated gold, foreign uids and models, and a model without answers."""
+    from verdikt.operators.joins import gold_left_join, picked_left_join
+
+    gold = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), ("c", 4), (None, 5)], "uid string, item int")
+    log = [("a", "m0", 3, "x"), ("a", "m0", 1, "y"), ("a", "m1", 2, None), ("b", "m1", 5, "z"), ("b", "m9", 1, "w"), ("q", "m0", 1, "v"), ("b", None, 1, "u"), (None, "m0", 1, "t")]
+    log = spark.createDataFrame(log, "uid string, model string, ingest_seq bigint, raw string")
+    for keep, pick in (("first", first_per_key), ("last", last_per_key)):
+        plain = gold_left_join(gold, pick(log, ["uid", "model"], "ingest_seq"), ["m0", "m1", "m2"])
+        out = picked_left_join(gold, log, ["m0", "m1", "m2"], "ingest_seq", keep)
+        assert sorted(map(str, out.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))

@@ -72,6 +72,24 @@ def gold_left_join(gold: DataFrame, responses: DataFrame, models: Sequence[str])
     return out.withColumn("answered", F.coalesce("answered", F.lit(False)))
 
 
+def picked_left_join(gold: DataFrame, responses: DataFrame, models: Sequence[str], order: str, keep: str = "first") -> DataFrame:
+    """``gold_left_join`` with the first (or last) response per uid and model; gold is dealt once for all models.
+
+    A uid's responses become one row with a struct per model, so neither gold nor uid is shuffled and sorted once per model.
+    """
+    fn = F.min_by if keep == "first" else F.max_by
+    rest = [c for c in responses.columns if c not in ("uid", "model")]
+    ours = lambda m, c: F.when(F.col("model") == m, c)
+    made = lambda i, m: [fn(ours(m, F.struct(*rest)), ours(m, F.col(order))).alias(f"_r{i}"), F.count(ours(m, F.lit(1))).alias(f"_n{i}")]
+    by_uid = responses.filter(F.col("model").isin(*models)).groupBy("uid").agg(*[c for i, m in enumerate(models) for c in made(i, m)])
+    out = gold.join(by_uid, "uid", "left")
+    n = lambda i: F.coalesce(f"_n{i}", F.lit(0))
+    each = [F.struct(F.lit(m).alias("model"), F.col(f"_r{i}").alias("r"), F.when(n(i) > 0, n(i)).alias("n_copies"), (n(i) > 0).alias("answered")) for i, m in enumerate(models)]
+    out = out.select(*gold.columns, F.explode(F.array(*each)).alias("_m"))
+    others = [F.col(c) for c in gold.columns if c != "uid"]
+    return out.select("uid", F.col("_m.model").alias("model"), *others, *[F.col("_m.r")[c].alias(c) for c in rest], "_m.n_copies", "_m.answered")
+
+
 def extra_responses(gold: DataFrame, responses: DataFrame, n: int | None = 50) -> DataFrame:
     """Answered uids that no exam knows; ``n`` bounds the listing, not the check."""
     extra = responses.select("uid").distinct().join(gold.select("uid"), "uid", "left_anti")
