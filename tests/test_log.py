@@ -109,3 +109,23 @@ def test_rows_that_share_their_order_are_many_packed_files(fx):
     lines = fx.spark.read.text(_log(fx, responses_b(fx))).groupBy(F.input_file_name().alias("file")).count().collect()
     assert max(r["count"] for r in lines) < sum(r["count"] for r in lines) / 2
     assert all(r.file.endswith(".gz") for r in lines)
+
+
+def test_a_torn_file_is_written_by_a_task_of_its_own(fx, monkeypatch):
+    from pyspark.sql import DataFrameWriter, functions as F
+
+    from verdikt.plans.sources import _torn
+
+    seen = []
+    monkeypatch.setattr(DataFrameWriter, "text", lambda self, path: seen.append(self._df))
+    _torn(fx)
+    files = seen[0].groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("model", "part").alias("n")).collect()
+    assert len(files) > 4 and max(r.n for r in files) == 1
+
+
+def test_order_column_travels_once(spark):
+    from verdikt.operators.joins import first_per_key
+
+    df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 3, "z")], "uid string, place int, v string")
+    out = first_per_key(df, ["uid"], "place", keep_order=False)
+    assert sorted(map(tuple, out.collect())) == [("a", "y", 2), ("b", "z", 1)]
