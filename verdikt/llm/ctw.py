@@ -3,15 +3,15 @@
 A byte is eight binary decisions.  Each decision has a node for every context of 0 to DEPTH preceding bytes (and the
 bits of the byte so far); a node estimates by Krichevsky and Trofimov from its counts, and its weighted probability is
 the mean of its own estimate and of what its longer contexts give.  Counts are gathered from all training texts; the
-tree is then fixed, and the probability of a byte mixes all depths with the weights that the training texts left.
+tree is then fixed, and the probability of a byte mixes all depths with the weights that the training texts left.  The
+text is lower-cased (A-Z), each text begins after zero bytes and ends with one, which does not occur in words.
 
-A context of two bytes and a byte are one of 2^24 numbers, which bounds the counts that are collected and the table of
-log-probabilities that is broadcast, whatever the corpus; this is why DEPTH is 2.  The text is lower-cased (A-Z), each
-text begins after two zero bytes and ends with one, which does not occur in words.
-
-The base score needs the corpus count of every token: documents are put into chunks of bounded bytes, the distinct
-tokens of a chunk go to buckets by hash in compressed blocks, each bucket adds up its tokens, and the corpus counts go
-back to the chunk's texts.  Blocks instead of one row per chunk and token keep what is shuffled below the input.
+Neither the tree nor the token counts are ever in one place.  Documents are put into chunks of bounded bytes.  The
+distinct symbols of a chunk (a byte and the DEPTH bytes before it) go to buckets by their two nearest bytes, in
+compressed blocks; a bucket adds them up and holds whole subtrees, so it works out their weights.  What is above, at most
+65,535 nodes, is summed by Spark and broadcast; then each bucket sends every chunk the log-probabilities of its symbols.
+The model grows with the corpus, and the number of buckets with the chunks.  Tokens of the base score take the same way.
+Blocks instead of one row per chunk and symbol keep what is shuffled small.
 
 Defined results: null and empty texts are the end token alone; rows without doc_id are learned from; repeated rows count
 each; with no training tokens the base score is that of unseen tokens; an empty table gives an empty result; other
@@ -23,17 +23,20 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import landed
-from .text import buffers, lower_byte, slices
+from . import contexts as C
+from .text import slices
 
-DEPTH = 2
-#: Bytes of text in a chunk whose tokens are looked up together.
+DEPTH = 5
+#: Bytes of text in a chunk whose symbols and tokens are looked up together.
 CHUNK_BYTES = 8 << 20
 END = b"\n"
 
@@ -42,131 +45,75 @@ def held_out_id(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 1
 
 
-def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers (byte before last, last byte, byte) of every byte and end of the texts, and the first one of each text."""
-    off, data = buffers(texts)
-    base = off[0]
-    size = np.diff(off) + 3  # two zero bytes, the text, one zero byte
-    at = np.concatenate([[0], np.cumsum(size)])
-    out = np.zeros(at[-1], np.int32)
-    text = lower_byte()[data[base : off[-1]]]
-    out[np.arange(len(text)) + np.repeat(at[:-1] + 2 - (off[:-1] - base), np.diff(off))] = text
-    key = (out[:-2] << 16) | (out[1:-1] << 8) | out[2:]
-    own = np.ones(len(key), bool)
-    own[(at[1:-1, None] - np.array([2, 1])).ravel()] = False  # those that would cross into the next text
-    return key[own], at[:-1] - 2 * np.arange(len(texts))
-
-
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """Log of the gamma function for positive numbers: Stirling's series eight steps up."""
-    low = np.zeros(len(x))
-    for k in range(8):
-        low += np.log(x + k)
-    y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - low
-
-
 class Tree:
-    """Probabilities of bytes after every context, from counts of (byte before last, last byte, byte)."""
+    """A tree over contexts of two bytes in one process, from counts of (byte before last, last byte, byte)."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        levels = [self._level(keys.astype(np.int64), counts, d) for d in range(DEPTH + 1)]
-        #: per depth: nodes, probability of a one by the node's own counts, and the share that its own estimate has
-        self.levels = []
-        longer = None
-        for d in range(DEPTH, -1, -1):
-            node, zero, one = levels[d]
-            own = _log_gamma(zero + 0.5) + _log_gamma(one + 0.5) - _log_gamma(zero + one + 1) - math.log(math.pi)
-            if longer is None:
-                weighted, share = own, np.ones(len(node))
-            else:
-                children = np.bincount(np.searchsorted(node, self._parent(longer[0], d + 1)), longer[1], len(node))
-                weighted = np.logaddexp(own, children) - math.log(2)
-                share = np.exp(own - math.log(2) - weighted)
-            longer = (node, weighted)
-            self.levels.insert(0, (node, (one + 0.5) / (zero + one + 1), share))
-
-    @staticmethod
-    def _level(keys: np.ndarray, counts: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Nodes of depth d, as numbers context * 256 + (1 and the bits so far), and their counts of zeros and ones."""
-        context, byte = (keys >> 8) & ((1 << 8 * d) - 1), keys & 255
-        node = np.concatenate([(context << 8) | (1 << k) | (byte >> (8 - k)) for k in range(8)])
-        bit = np.concatenate([(byte >> (7 - k)) & 1 for k in range(8)])
-        n = np.tile(counts, 8)
-        node, where = np.unique(node, return_inverse=True)
-        return node, np.bincount(where, n * (bit == 0), len(node)), np.bincount(where, n * (bit == 1), len(node))
-
-    @staticmethod
-    def _parent(node: np.ndarray, d: int) -> np.ndarray:
-        """The same decision after a context of d - 1 bytes."""
-        return ((node >> 8) & ((1 << 8 * (d - 1)) - 1)) << 8 | node & 255
-
-    def byte_logs(self, context: np.ndarray) -> np.ndarray:
-        """Log10 probabilities of the 256 bytes after each context, one row each.
-
-        A node without counts gives one half, as its longer contexts do; from the longest context to none each node
-        mixes its own estimate with what the longer one gave.
-        """
-        p = np.full((len(context), 255), 0.5)
-        for d in range(DEPTH, -1, -1):
-            node, one, share = self.levels[d]
-            if len(node):
-                want = ((context & ((1 << 8 * d) - 1))[:, None] << 8) | np.arange(1, 256)
-                at = np.minimum(np.searchsorted(node, want), len(node) - 1)
-                p = np.where(node[at] == want, share[at] * one[at] + (1 - share[at]) * p, p)
-        byte, logs = np.arange(256), np.zeros((len(context), 256))
-        for k in range(8):
-            q = p[:, ((1 << k) | (byte >> (8 - k))) - 1]
-            logs += np.log10(np.where((byte >> (7 - k)) & 1, q, 1 - q))
-        return logs
+        keys = keys.astype(np.int64)
+        self.key, self.n = C.added_up([((keys >> 8 & 255) << 16 | (keys >> 16) << 8 | keys & 255, counts.astype(np.int64))])
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """Row of each of the 65,536 contexts, and the rows: seen contexts, then one for unseen ones per last byte.
-
-        At most 65,792 rows of 256 numbers of four bytes.
-        """
-        seen = np.unique(self.levels[DEPTH][0] >> 8)
-        absent = np.setdiff1d(np.arange(1 << 16), seen)
-        last = np.unique(absent & 255)
-        one_of = absent[[int(np.flatnonzero((absent & 255) == b)[0]) for b in last]] if len(absent) else absent
-        row = np.zeros(1 << 16, np.int32)
-        row[seen] = np.arange(len(seen))
-        row[absent] = len(seen) + np.searchsorted(last, absent & 255)
-        contexts = np.concatenate([seen, one_of])
-        return row, np.concatenate([self.byte_logs(contexts[k : k + 2048]).astype(np.float32) for k in range(0, len(contexts), 2048)])
+        """Row of each of the 65,536 contexts (last byte first), and the rows: log10 probabilities of 256 bytes."""
+        every = np.arange(1 << 24)
+        counts = np.zeros(len(every), np.int64)
+        counts[self.key] = self.n
+        above = C.upper(*C.summed(C.Subtree(self.key, self.n, C.TOP).top_nodes()))
+        logs = [C.Subtree(every[k : k + (1 << 20)], counts[k : k + (1 << 20)], C.TOP).logs(above) for k in range(0, len(every), 1 << 20)]
+        return np.arange(1 << 16), np.concatenate(logs).astype(np.float32).reshape(1 << 16, 256)
 
 
 def scores(texts: pa.Array, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Log10 probability of each text and its end."""
-    key, first = symbols(texts)
+    """Log10 probability of each text and its end by a table of contexts of two bytes."""
+    key, first = C.symbols(texts, C.TOP)
     row, logs = table
     return np.add.reduceat(logs[row[key >> 8], key & 255], first, dtype=np.float64) if len(first) else np.zeros(0)
 
 
 def _chunked(docs: DataFrame) -> DataFrame:
-    """doc_id, text and chunk: consecutive documents of a partition, of CHUNK_BYTES or one longer text."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text", T.StringType()), T.StructField("chunk", T.LongType())])
+    """chunk and part: consecutive documents of a partition, of CHUNK_BYTES or one longer text, as compressed Arrow."""
+    fields = ["doc_id", "text"]
+
+    def row(chunk: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            for part in parts:
+                w.write_batch(part)
+        return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["chunk", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        chunk, size = TaskContext.get().partitionId() << 32, 0
+        chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch.select(fields)):
                 more = part.column(1).nbytes
                 if size and size + more > CHUNK_BYTES:
-                    chunk, size = chunk + 1, 0
+                    yield row(chunk, held)
+                    chunk, held, size = chunk + 1, [], 0
                 size += more
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, chunk))], schema.fieldNames())
+                held.append(part)
+        if held:
+            yield row(chunk, held)
+
+    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "chunk bigint, part binary")
 
-    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, schema)
 
+def _parts(chunk: pa.Scalar) -> Iterator[pa.RecordBatch]:
+    """doc_id and text of a chunk, a bounded slice at a time."""
+    with pa.ipc.open_stream(chunk.as_buffer()) as batches:
+        yield from batches
 
-#: Blocks: the tokens of a chunk that fall into one bucket, and a number for each.  Bucket -1 holds (context, byte) counts.
+
+#: Blocks: the tokens of a chunk that fall into one bucket, and a number for each.  Buckets below 0 hold symbols (-1 - bucket).
 BLOCKS = "chunk bigint, bucket int, tokens binary, n binary"
 _BLOCKS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("tokens", pa.binary()), ("n", pa.binary())])
-#: Buckets of tokens for each shuffle partition.
+#: Buckets for each shuffle partition, at least; and chunks for each bucket, at most, so that a bucket stays as large.
 BUCKETS = 4
+CHUNKS = 4
+#: Numbers of a bucket's rows in front of those of the chunks: its sum, the nodes of its subtrees' tops.
+SUM, TOPS = -1, -2
+#: Bytes of blocks that are handed on together.
+BATCH_BYTES = 4 << 20
 
 
 def _packed(values: list[bytes] | np.ndarray) -> bytes:
@@ -182,48 +129,114 @@ def _numbers(block: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(block), np.int64)
 
 
-def _count_blocks(buckets: int):
-    """Function that tells, of each chunk, its distinct tokens with their training counts, and the (context, byte) counts."""
+def _packed_sorted(key: np.ndarray) -> bytes:
+    return _packed(np.diff(key, prepend=np.int64(0)))
+
+
+def _sorted_numbers(block: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(block))
+
+
+def _blocks(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of BLOCKS as batches of bounded bytes."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += sum(len(x) for x in r[2:] if x is not None) + 32
+        if size > BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held), _BLOCKS)], schema=_BLOCKS)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held), _BLOCKS)], schema=_BLOCKS)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield tuple(c[k].as_py() for c in batch.columns)
 
-    def told(chunk: int, tokens: Counter, keys: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+
+def _dealt(key: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Buckets of sorted symbols, and the places of each one's."""
+    of = C.bucket_of(key, DEPTH, buckets)
+    order = np.argsort(of, kind="stable")
+    for places in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+        if len(places):
+            yield int(of[places[0]]), places
+
+
+def _count_blocks(buckets: int):
+    """Function that tells, of each chunk, its distinct tokens and symbols with their training counts."""
+
+    def told(chunk: int, part: pa.Scalar) -> Iterator[tuple]:
+        tokens, keys = Counter(), []
+        for docs in _parts(part):
+            held = [held_out_id(x) for x in docs.column(0).to_pylist()]
+            texts = docs.column(1)
+            for k, out in enumerate(held):
+                words = texts[k].as_buffer().to_pybytes().lower().split()
+                words.append(END)
+                tokens.update(dict.fromkeys(words, 0) if out else words)
+            for out in (False, True):
+                key, n = np.unique(C.symbols(texts.filter(pa.array([x == out for x in held])), DEPTH)[0], return_counts=True)
+                keys.append((key, n * (not out)))
         parts: dict[int, list[bytes]] = {}
         for w in sorted(tokens):
             parts.setdefault(zlib.crc32(w) % buckets, []).append(w)
-        rows = [(chunk, b, _packed(ws), _packed(np.array([tokens[w] for w in ws]))) for b, ws in parts.items()]
-        if keys:
-            key, where = np.unique(np.concatenate([k for k, _ in keys]), return_inverse=True)
-            n = np.bincount(where, np.concatenate([n for _, n in keys]), len(key)).astype(np.int64)
-            rows.append((chunk, -1, _packed(key), _packed(n)))
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _BLOCKS)], schema=_BLOCKS)
+        for b, ws in parts.items():
+            yield chunk, b, _packed(ws), _packed(np.array([tokens[w] for w in ws]))
+        key, n = C.added_up(keys)
+        for b, places in _dealt(key, buckets):
+            yield chunk, -1 - b, _packed_sorted(key[places]), _packed(n[places])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, tokens, keys = None, Counter(), []
         for batch in batches:
-            for part in slices(batch.select(["chunk", "doc_id", "text"])):
-                held = [held_out_id(x) for x in part.column(1).to_pylist()]
-                texts = part.column(2)
-                for k, (c, out) in enumerate(zip(part.column(0).to_pylist(), held)):
-                    if c != chunk:
-                        if chunk is not None:
-                            yield told(chunk, tokens, keys)
-                        chunk, tokens, keys = c, Counter(), []
-                    words = texts[k].as_buffer().to_pybytes().lower().split()
-                    words.append(END)
-                    tokens.update(dict.fromkeys(words, 0) if out else words)
-                # a slice may hold the end of one chunk and the start of the next; sums do not mind which tells its bytes
-                train = texts.filter(pa.array([not x for x in held]))
-                if len(train):
-                    keys.append(np.unique(symbols(train)[0], return_counts=True))
-        if chunk is not None:
-            yield told(chunk, tokens, keys)
+            for chunk, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield from _blocks(told(chunk, part))
 
     return run
 
 
-def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Corpus counts of each bucket's symbols, and the tops of its subtrees; rows come by bucket."""
+
+    def told() -> Iterator[tuple]:
+        for bucket, rows in groupby(_rows(batches), lambda r: r[1]):
+            total, new, waiting = (np.zeros(0, np.int64), np.zeros(0, np.int64)), [], 0
+            for _, _, key, n in rows:
+                new.append((_sorted_numbers(key), _numbers(n)))
+                waiting += len(new[-1][0])
+                if waiting > len(total[0]) + (1 << 20):
+                    total, new, waiting = C.added_up([total, *new]), [], 0
+            key, n = C.added_up([total, *new])
+            yield SUM, bucket, _packed_sorted(key), _packed(n)
+            tops = C.Subtree(key, n, DEPTH).top_nodes()
+            yield TOPS, bucket, b"", _packed(C.summed(tops).ravel())
+
+    yield from _blocks(told())
+
+
+def _top_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for key, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array(_numbers(key).astype(np.int32)), pa.array(_numbers(n))], ["key", "n"])
+        for n in batch.column(0).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _numbers(n).reshape(4, -1)], ["node", "weighted", "zero", "one"])
+
+
+def _logs_back(above):
+    """Function that sends every chunk the log-probabilities of its symbols; a bucket's sum comes before its chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> Iterator[tuple]:
+            for bucket, rows in groupby(_rows(batches), lambda r: r[1]):
+                _, _, key, n = next(rows)
+                key, n = _sorted_numbers(key), _numbers(n)
+                logs = C.Subtree(key, n, DEPTH).logs(above.value).astype(np.float32)
+                for chunk, _, asked, _ in rows:
+                    yield chunk, bucket, None, logs[np.searchsorted(key, _sorted_numbers(asked))].tobytes()
+
+        yield from _blocks(told())
+
+    return run
 
 
 def _corpus_counts(blocks: pa.Table) -> pa.Table:
@@ -233,7 +246,7 @@ def _corpus_counts(blocks: pa.Table) -> pa.Table:
         for w, k in zip(_tokens(tokens), _numbers(n).tolist()):
             total[w] += k
     known = [n for n in total.values() if n]
-    rows = [(-1, 0, b"", _packed(np.array([sum(known), len(known)])))]
+    rows = [(SUM, 0, b"", _packed(np.array([sum(known), len(known)])))]
     for chunk, tokens in zip(blocks["chunk"].to_pylist(), blocks["tokens"].to_pylist()):
         rows.append((chunk, 0, tokens, _packed(np.array([total[w] for w in _tokens(tokens)]))))
     return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows), _BLOCKS)], schema=_BLOCKS)
@@ -243,37 +256,53 @@ def scored(docs: DataFrame) -> DataFrame:
     """Base score and context-tree score of each document, learned from those that are not held out."""
     spark = docs.sparkSession
     d = landed(_chunked(docs), "ctw-chunks")
-    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(BUCKETS * partitions, d.count() // CHUNKS)
+    tasks = max(partitions, buckets // BUCKETS)
     blocks = landed(d.mapInArrow(_count_blocks(buckets), BLOCKS), "ctw-blocks")
-    keys = blocks.filter("bucket = -1").select("tokens", "n").mapInArrow(_key_rows, "key int, n bigint")
-    found = keys.groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most 2^24 rows
-    shared = spark.sparkContext.broadcast(Tree(found["key"].to_numpy(), found["n"].to_numpy()).table())
+    asked = blocks.filter("bucket < 0")
+    sums = landed(asked.repartition(tasks, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_sums, BLOCKS), "ctw-sums")
+    tops = sums.filter(F.col("chunk") == TOPS).select("n").mapInArrow(_top_rows, "node bigint, weighted bigint, zero bigint, one bigint")
+    top = tops.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("weighted", "zero", "one")]).toArrow()  # at most 65,280 rows
+    above = spark.sparkContext.broadcast(C.upper(*[top[c].to_numpy() for c in ("node", "weighted", "zero", "one")]))
+    logs = sums.filter(F.col("chunk") == SUM).unionByName(asked.withColumn("n", F.lit(None).cast("binary")))
+    logs = logs.repartition(tasks, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_logs_back(above), BLOCKS)
     counts = landed(blocks.filter("bucket >= 0").groupBy("bucket").applyInArrow(_corpus_counts, BLOCKS), "ctw-counts")
-    sums = [_numbers(bytes(r.n)) for r in counts.filter("chunk = -1").select("n").collect()]  # one row a bucket
-    total, distinct = (int(sum(s[k] for s in sums)) for k in (0, 1))
+    found = [_numbers(bytes(r.n)) for r in counts.filter(F.col("chunk") == SUM).select("n").collect()]  # one row a bucket
+    total, distinct = (int(sum(s[k] for s in found)) for k in (0, 1))
     floor = total + 0.5 * (distinct + 1)
     id_type = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), *FIELDS])
 
-    def chunk_scores(texts: pa.Table, counts: pa.Table) -> pa.Table:
+    def chunk_scores(parts: pa.Table, replies: pa.Table) -> pa.Table:
         log: dict[bytes, float] = {}
-        for tokens, c in zip(counts["tokens"].to_pylist(), counts["n"].to_pylist()):
-            log.update(zip(_tokens(tokens), np.log10((_numbers(c) + 0.5) / floor).tolist()))
+        tree: dict[int, np.ndarray] = {}
+        for bucket, tokens, n in zip(*(replies[c].to_pylist() for c in ("bucket", "tokens", "n"))):
+            if bucket < 0:
+                tree[-1 - bucket] = np.frombuffer(n, np.float32)
+            else:
+                log.update(zip(_tokens(tokens), np.log10((_numbers(n) + 0.5) / floor).tolist()))
         unseen = math.log10(0.5 / floor)
         rows = []
-        for batch in texts.select(["doc_id", "text"]).combine_chunks().to_batches():
-            for part in slices(batch):
-                raw = part.column(1)
-                for i, text, model in zip(part.column(0).to_pylist(), raw, scores(raw, shared.value).tolist()):
+        for chunk in parts["part"]:
+            found = [C.distinct(C.symbols(docs.column(1), DEPTH)) for docs in _parts(chunk)]
+            key = np.unique(np.concatenate([f[0] for f in found]))
+            value = np.empty(len(key), np.float32)
+            for b, places in _dealt(key, buckets):
+                value[places] = tree[b]
+            for docs, (own, place, first) in zip(_parts(chunk), found):
+                model = np.add.reduceat(value[np.searchsorted(key, own)][place], first, dtype=np.float64)
+                for i, text, score in zip(docs.column(0).to_pylist(), docs.column(1), model.tolist()):
                     text = text.as_buffer().to_pybytes()
                     words = text.lower().split()
                     words.append(END)
                     x = np.fromiter(map(log.__getitem__, words), float, len(words))
-                    rows.append((i, held_out_id(i), len(x), int((x > unseen).sum()), total, float(x.sum()), model, -model / math.log10(2) / (len(text) + 1)))
-        kinds = [texts.schema.field("doc_id").type, *_ARROW]
+                    rows.append((i, held_out_id(i), len(x), int((x > unseen).sum()), total, float(x.sum()), score, -score / math.log10(2) / (len(text) + 1)))
+        kinds = [docs_type, *_ARROW]
         return pa.table([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=schema.fieldNames())
 
-    return d.groupBy("chunk").cogroup(counts.filter("chunk >= 0").groupBy("chunk")).applyInArrow(chunk_scores, schema)
+    docs_type = to_arrow_type(id_type)
+    return d.groupBy("chunk").cogroup(counts.filter("chunk >= 0").unionByName(logs).groupBy("chunk")).applyInArrow(chunk_scores, schema)
 
 
 FIELDS = [
