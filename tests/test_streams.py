@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from verdikt.streaming import streams as T
@@ -75,3 +76,75 @@ def test_totals_follow_a_stream(spark, log, tmp_path):
         log.filter(f"uid = '{uid}'").coalesce(1).write.mode("append").parquet(src)
         table.follow(T.open_stream(spark, src), gold, str(tmp_path / "check"))
         assert counts(table, gold)[("m", "C")] == want
+
+
+class Kept:
+    """A list or value of the state that counts the calls into it."""
+
+    def __init__(self):
+        self.rows, self.calls = [], 0
+
+    def _call(self, rows):
+        self.calls, self.rows = self.calls + 1, rows
+
+    def appendValue(self, row):
+        self._call([*self.rows, row])
+
+    def put(self, rows):
+        self._call(list(rows))
+
+    def update(self, row):
+        self._call([row])
+
+    def clear(self):
+        self._call([])
+
+
+class Handle:
+    def __init__(self):
+        self.waiting, self.last, self.timers = Kept(), Kept(), []
+        self.waiting.get = lambda: iter(self.waiting.rows)
+        self.last.get = lambda: self.last.rows[0] if self.last.rows else None
+        self.getListState, self.getValueState = lambda *_: self.waiting, lambda *_: self.last
+        self.registerTimer = self.timers.append
+
+
+class Clock:
+    def __init__(self, at):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: at
+
+
+def test_calls_into_the_state_do_not_grow_with_the_groups():
+    ms = lambda t: int(t.timestamp() * 1000)
+    at = lambda m: T0 + timedelta(minutes=m)
+    steps = [(f"g{g}", t, "a" if t % 3 == 1 else None, at(t)) for t in range(9) for g in range(500)]
+    random.Random(3).shuffle(steps)
+    handle, tracker = Handle(), T.EventTracker(86_400_000)
+    tracker.init(handle)
+    got = []
+    for part in (steps[:3000], steps[3000:]):
+        frame = pd.DataFrame(part, columns=["group_id", "t", "carry", "ts"])
+        got += list(tracker.handleInputRows((0,), iter([frame]), None))
+    offset = int(pd.Timestamp(T0).value // 10**6) - ms(T0)  # the frames have no zone
+    for m in (4, 20):
+        now = Clock(ms(at(m)) + offset)
+        got += list(tracker.handleExpiredTimer((0,), now, now))
+    assert handle.waiting.calls + handle.last.calls <= 6 and len(handle.timers) <= 8
+    rows = pd.concat(got)
+    want = [(f"g{g}", *e) for g in range(500) for e in events([(t, "a" if t % 3 == 1 else None) for t in range(9)])]
+    assert sorted(rows.itertuples(index=False, name=None)) == sorted(want)
+    # a day later nothing is kept any more
+    now = Clock(ms(at(20)) + offset + 3 * 86_400_000)
+    assert list(tracker.handleExpiredTimer((0,), now, now)) == [] and handle.last.rows == [] and handle.waiting.rows == []
+
+
+def test_groups_of_one_bucket_keep_apart(spark, tmp_path):
+    rows = [(g, t, c, T0 + timedelta(minutes=t)) for g in ("a", "b", None) for t, c in enumerate([None, "x", None, "x" if g == "a" else "y", None])]
+    rows.append(("end", -1, None, T0 + timedelta(days=90)))
+    src, out, check = (str(tmp_path / x) for x in ("src", "out", "check"))
+    spark.createDataFrame(rows, "group_id string, t bigint, carry string, ts timestamp").coalesce(1).write.parquet(src)
+    with T.state_in_rocks(spark):
+        T.run_available(T.track_events(T.open_stream(spark, src), "1 hour", buckets=1), out, check)
+    got = spark.read.schema(T.EVENT_SCHEMA).parquet(out).collect()
+    for g in ("a", "b", None):
+        assert sorted((r.t, r.kind, r.label) for r in got if r.group_id == g) == events([(t, c) for i, t, c, _ in rows if i == g])

@@ -12,6 +12,7 @@ import contextlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -157,16 +158,33 @@ def sessions(calls: DataFrame, gap: str, delay: str, key: str) -> DataFrame:
 
 
 EVENT_SCHEMA = "group_id string, t bigint, kind string, label string"
-STEP_SCHEMA = "t bigint, carry string, at bigint"
-LAST_SCHEMA = "carry string, held array<string>, at bigint"
+STATE_SCHEMA = "rows binary"
+STEPS = pa.schema([("group_id", pa.string()), ("t", pa.int64()), ("carry", pa.string()), ("at", pa.int64())])
+CARRIED = pa.schema([("group_id", pa.string()), ("carry", pa.string()), ("held", pa.list_(pa.string())), ("at", pa.int64())])
+#: Keys of the tracker's state, which must stay the same as long as a checkpoint is used.
+BUCKETS = 512
+DAY_MS = 86_400_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _block(columns: list, schema: pa.Schema) -> tuple[bytes]:
+    """Rows as one value of the state."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(pa.RecordBatch.from_arrays([pa.array(c, f.type, from_pandas=True) for c, f in zip(columns, schema)], schema=schema))
+    return (out.getvalue().to_pybytes(),)
+
+
+def _block_rows(block: bytes) -> Iterator[tuple]:
+    return zip(*(c.to_pylist() for c in pa.ipc.open_stream(block).read_all().columns))
+
+
 class EventTracker(StatefulProcessor):
-    """Events of one group from steps that come in any order.
+    """Events of the groups of one bucket from steps that come in any order.
 
-    Steps are held in a list until the watermark has passed their time; a timer at that time takes them out in order of
-    ``t``.  What is carried and what was held before is kept for ``idle`` of event time after the last step, then dropped.
+    A call into the state costs more than many steps do, so a key is a bucket of groups and the steps of a trigger are one
+    value.  Steps are held until the watermark has passed their time; a timer at that time takes them out in order of ``t``.
+    What a group carries and held before is kept for ``idle`` of event time after its last step (up to a day more), then dropped.
     """
 
     def __init__(self, idle_ms: int):
@@ -174,44 +192,54 @@ class EventTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", STEP_SCHEMA)
-        self.last = handle.getValueState("last", LAST_SCHEMA)
+        self.waiting = handle.getListState("waiting", STATE_SCHEMA)
+        self.last = handle.getValueState("last", STATE_SCHEMA)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = []
+        first = None
         for frame in rows:
             at = frame["ts"].astype("datetime64[ms]").astype("int64")
-            new += [(t, None if pd.isna(c) else c, a) for t, c, a in zip(frame["t"].tolist(), frame["carry"], at.tolist())]
-        self.waiting.appendList(new)
-        self.handle.registerTimer(min(a for _, _, a in new) + 1)
-        yield pd.DataFrame([], columns=["group_id", "t", "kind", "label"])
+            self.waiting.appendValue(_block([frame["group_id"], frame["t"], frame["carry"], at], STEPS))
+            first = at.min() if first is None else min(first, at.min())
+        self.handle.registerTimer(int(first) + 1)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        steps = list(self.waiting.get())
-        due, rest = sorted((s for s in steps if s[2] <= passed), key=lambda s: s[0]), [s for s in steps if s[2] > passed]
-        carry, held, last = self.last.get() or (None, [], None)
-        held, out = set(held or []), []
-        for t, thing, _ in due:
+        passed, now = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        steps = [s for block, in self.waiting.get() for s in _block_rows(block)]
+        due, rest = sorted((s for s in steps if s[3] <= passed), key=lambda s: s[1]), [s for s in steps if s[3] > passed]
+        kept = self.last.get()
+        known = {g: (carry, set(held), at) for g, carry, held, at in _block_rows(kept[0])} if kept else {}
+        out = []
+        for group, t, thing, at in due:
+            carry, held, last = known.get(group) or (None, set(), at)
             if thing is not None and carry is None:
-                out.append((key[0], t, "reacquire" if thing in held else "pickup", thing))
+                out.append((group, t, "reacquire" if thing in held else "pickup", thing))
                 held.add(thing)
             elif thing is None and carry is not None:
-                out.append((key[0], t, "drop", carry))
+                out.append((group, t, "drop", carry))
                 held.add(carry)
-            carry = thing
+            known[group] = (thing, held, max(last, at))
         if due:
-            last = max(a for _, _, a in due)
-            self.last.update((carry, sorted(held), last))
+            if rest:
+                self.waiting.put([_block(list(zip(*rest)), STEPS)])
+            else:
+                self.waiting.clear()
         if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(min(a for _, _, a in rest) + 1)
-        elif due:
-            self.waiting.clear()
-            self.handle.registerTimer(last + self.idle_ms)
-        elif last is not None and expiredTimerInfo.getExpiryTimeInMs() >= last + self.idle_ms:
+            self.handle.registerTimer(min(s[3] for s in rest) + 1)
+        busy = {s[0] for s in rest}
+        idle = [g for g, (_, _, last) in known.items() if last + self.idle_ms <= now and g not in busy]
+        for group in idle:
+            del known[group]
+        if known and (due or idle):
+            self.last.update(_block(list(zip(*((g, carry, sorted(held), last) for g, (carry, held, last) in known.items()))), CARRIED))
+        elif idle:
             self.last.clear()
-        yield pd.DataFrame(out, columns=["group_id", "t", "kind", "label"])
+        if known:
+            # whole days, so that the timers of one day are one
+            ends = max(min(last for _, _, last in known.values()) + self.idle_ms, now + 1)
+            self.handle.registerTimer(-(-ends // DAY_MS) * DAY_MS)
+        return iter([pd.DataFrame(out, columns=["group_id", "t", "kind", "label"])] if out else [])
 
     def close(self) -> None:
         pass
@@ -229,12 +257,13 @@ def state_in_rocks(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
-def track_events(steps: DataFrame, delay: str, idle: str = "30 days", ts: str = "ts") -> DataFrame:
+def track_events(steps: DataFrame, delay: str, idle: str = "30 days", ts: str = "ts", buckets: int = BUCKETS) -> DataFrame:
     """pickup, reacquire and drop events of steps (group_id, t, carry, ts) that may come up to ``delay`` late.
 
     Times rise with ``t`` within a group.  Steps later than ``delay`` are dropped, as by any watermark; start the query inside
-    ``state_in_rocks``.
+    ``state_in_rocks``.  A task holds one bucket's waiting steps at a time; the events do not depend on ``buckets``.
     """
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-    rows = steps.select("group_id", "t", "carry", F.col(ts).alias("ts")).withWatermark("ts", delay)
-    return rows.groupBy("group_id").transformWithStateInPandas(EventTracker(idle_ms), EVENT_SCHEMA, "append", "eventTime")
+    bucket = F.pmod(F.xxhash64("group_id"), F.lit(buckets)).cast("int").alias("bucket")
+    rows = steps.select(bucket, "group_id", "t", "carry", F.col(ts).alias("ts")).withWatermark("ts", delay)
+    return rows.groupBy("bucket").transformWithStateInPandas(EventTracker(idle_ms), EVENT_SCHEMA, "append", "eventTime")
