@@ -235,7 +235,7 @@ def find_json_object(df: DataFrame, text: Column, parts: str = SCENE_PARTS, keep
     )
     whole = bare.startswith("{") & bare.endswith("}")
     d = d.withColumn("_cand", F.when(whole, bare).otherwise(F.regexp_extract(bare, r"(?s)\{.*\}", 0)))
-    # a comma before the last brace never parses, and a text without commas to drop does not parse the second time: a refused text costs most
+    # a comma before the last brace never parses, and a text without commas to drop does not parse the second time
     open_end = cand.rlike(r",\s*\}\z")
     d = d.withColumn("_first", F.when(~open_end, json_listed(cand, f"struct<{parts}>"))).withColumn("_ok", F.coalesce(F.size("_first") == 1, F.lit(False)))
     d = d.withColumn("_fixed", F.when(~F.col("_ok") & (cand != ""), F.regexp_replace(cand, r",(\s*[}\]])", "$1")))
